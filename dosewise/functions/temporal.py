@@ -36,10 +36,10 @@ def interval_seconds(s) -> Column:
     c = F.trim(_c(s))
     pat = r"^(?:(-?\d+) days?,? ?)?(\d+):(\d{1,2}):(\d{1,2})(?:\.\d+)?$"
     ok = c.rlike(pat)
-    days = F.coalesce(F.try_cast(F.regexp_extract(c, pat, 1), "bigint"), F.lit(0))
-    hh = F.try_cast(F.regexp_extract(c, pat, 2), "bigint")
-    mm = F.try_cast(F.regexp_extract(c, pat, 3), "bigint")
-    ss = F.try_cast(F.regexp_extract(c, pat, 4), "bigint")
+    days = F.coalesce((F.regexp_extract(c, pat, 1)).try_cast("bigint"), F.lit(0))
+    hh = (F.regexp_extract(c, pat, 2)).try_cast("bigint")
+    mm = (F.regexp_extract(c, pat, 3)).try_cast("bigint")
+    ss = (F.regexp_extract(c, pat, 4)).try_cast("bigint")
     return F.when(ok, days * 86400 + hh * 3600 + mm * 60 + ss)
 
 

@@ -105,7 +105,7 @@ def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int
     """Pivot the event log into the wide monitor layout (one row per user).
 
     Columns: ``PtID``, ``DateEnroll`` (M/D/YYYY text) and per study-calendar day
-    ``ddd`` (1-based ``day_idx``): ``dateddd``, ``MEMS_dateddd_time1..k``,
+    ``ddd`` (1-based ``day_idx``): ``dateddd``, ``MEMS_dateddd_time0..k-1`` (one digit),
     ``MEMS_dateddd_numtimes`` and, from the second day on,
     ``MEMS_dateddd_interval`` / ``MEMS_dateddd_withinrange``.  Cells are text,
     as in a CSV export.  ``n_days`` bounds the column count (plan-time).
@@ -117,7 +117,8 @@ def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int
         F.first("numtimes").alias("numtimes"),
         F.first("interval_s").alias("interval_s"),
         F.first("withinrange").alias("withinrange"),
-        F.map_from_entries(F.collect_list(F.struct("slot", F.date_format("datetime", "HH:mm:ss")))).alias("times"),
+        F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct(
+            "slot", F.date_format("datetime", "HH:mm:ss"))))).alias("times"),
     )
     aggs = [F.date_format(F.min("enroll"), "M/d/yyyy").alias("DateEnroll")]
     for d in range(1, n_days + 1):
@@ -125,7 +126,7 @@ def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int
         on = F.col("day_idx") == d
         aggs.append(F.max(F.when(on, F.date_format("date", "MM/dd/yyyy"))).alias(tag))
         for s in range(1, spec.max_slots + 1):
-            aggs.append(F.max(F.when(on, F.element_at("times", F.lit(s)))).alias(f"MEMS_{tag}_time{s}"))
+            aggs.append(F.max(F.when(on, F.element_at("times", F.lit(s)))).alias(f"MEMS_{tag}_time{s - 1}"))
         aggs.append(F.max(F.when(on, F.col("numtimes").cast("string"))).alias(f"MEMS_{tag}_numtimes"))
         if d > 1:
             aggs.append(F.max(F.when(on, F.when(F.col("interval_s").isNotNull(), F.concat(
