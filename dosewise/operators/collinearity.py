@@ -135,13 +135,20 @@ def histogram(df: DataFrame, cols, bins: int = 10) -> DataFrame:
 
 
 def row_stats(df: DataFrame, cols, prefix: str) -> DataFrame:
-    """Row-wise mean and sample std across ``cols`` (NULLs skipped; n<2 -> NULL std)."""
-    arr = F.filter(F.array(*[F.col(_q(c)).cast("double") for c in cols]), lambda x: x.isNotNull())
-    n = F.size(arr)
-    mean = F.try_divide(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x), n)
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    std = F.when(n > 1, F.sqrt(ss / (n - 1)))
-    return df.withColumns({prefix + "mean": F.when(n > 0, mean), prefix + "std": std})
+    """Row-wise mean and sample std across ``cols`` (NULLs skipped; n<2 -> NULL std).
+
+    Plain arithmetic over the listed columns, so it stays inside whole-stage codegen.
+    """
+    xs = [F.col(_q(c)).cast("double") for c in cols]
+    n = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
+    total = F.lit(0.0)
+    for x in xs:
+        total = total + F.coalesce(x, F.lit(0.0))
+    mean = F.when(n > 0, total / n)
+    ss = F.lit(0.0)
+    for x in xs:
+        ss = ss + F.coalesce((x - mean) * (x - mean), F.lit(0.0))
+    return df.withColumns({prefix + "mean": mean, prefix + "std": F.when(n > 1, F.sqrt(ss / (n - 1)))})
 
 
 def mean_days_between(df: DataFrame, group_cols, date_col: str) -> DataFrame:

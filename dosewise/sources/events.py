@@ -113,24 +113,30 @@ def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int
     idc = spec.id_col
     days = daily_use(events, spec)
     slots = slot_openings(events, spec)
+    itv = F.when(F.col("interval_s").isNotNull(), F.concat(
+        F.floor(F.col("interval_s") / 86400).cast("string"), F.lit(" days "),
+        F.date_format(F.timestamp_seconds(F.col("interval_s") % 86400), "HH:mm:ss")))
     per_day = days.join(slots, [idc, "date"], "left").groupBy(idc, "enroll", "date", "day_idx").agg(
-        F.first("numtimes").alias("numtimes"),
-        F.first("interval_s").alias("interval_s"),
-        F.first("withinrange").alias("withinrange"),
+        F.first("numtimes").cast("string").alias("n"),
+        F.first(itv).alias("i"),
+        F.first("withinrange").cast("string").alias("w"),
         F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct(
-            "slot", F.date_format("datetime", "HH:mm:ss"))))).alias("times"),
+            "slot", F.date_format("datetime", "HH:mm:ss"))))).alias("t"),
     )
-    aggs = [F.date_format(F.min("enroll"), "M/d/yyyy").alias("DateEnroll")]
+    # one row per user holding a day -> cells map (bounded by the study length),
+    # then every wide column is a plain projection of that map
+    per_user = per_day.groupBy(idc).agg(
+        F.date_format(F.min("enroll"), "M/d/yyyy").alias("DateEnroll"),
+        F.map_from_entries(F.collect_list(F.struct(
+            "day_idx", F.struct(F.date_format("date", "MM/dd/yyyy").alias("d"), "n", "i", "w", "t")))).alias("_days"))
+    # projection as SQL text: hundreds of columns plan far faster than Column objects
+    cols = [f"`{idc}` AS PtID", "DateEnroll"]
     for d in range(1, n_days + 1):
         tag = f"date{d:03d}"
-        on = F.col("day_idx") == d
-        aggs.append(F.max(F.when(on, F.date_format("date", "MM/dd/yyyy"))).alias(tag))
-        for s in range(1, spec.max_slots + 1):
-            aggs.append(F.max(F.when(on, F.element_at("times", F.lit(s)))).alias(f"MEMS_{tag}_time{s - 1}"))
-        aggs.append(F.max(F.when(on, F.col("numtimes").cast("string"))).alias(f"MEMS_{tag}_numtimes"))
+        day = f"element_at(_days, {d})"
+        cols.append(f"{day}.d AS {tag}")
+        cols += [f"element_at({day}.t, {s}) AS MEMS_{tag}_time{s - 1}" for s in range(1, spec.max_slots + 1)]
+        cols.append(f"{day}.n AS MEMS_{tag}_numtimes")
         if d > 1:
-            aggs.append(F.max(F.when(on, F.when(F.col("interval_s").isNotNull(), F.concat(
-                F.floor(F.col("interval_s") / 86400).cast("string"), F.lit(" days "),
-                F.date_format(F.timestamp_seconds(F.col("interval_s") % 86400), "HH:mm:ss"))))).alias(f"MEMS_{tag}_interval"))
-            aggs.append(F.max(F.when(on, F.col("withinrange").cast("string"))).alias(f"MEMS_{tag}_withinrange"))
-    return per_day.groupBy(F.col(idc).alias("PtID")).agg(*aggs)
+            cols += [f"{day}.i AS MEMS_{tag}_interval", f"{day}.w AS MEMS_{tag}_withinrange"]
+    return per_user.selectExpr(*cols)
