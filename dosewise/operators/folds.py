@@ -15,7 +15,7 @@ from .scan import running_sums
 
 def seeded_hash(seed: int, *keys) -> Column:
     """First 8 hex digits of md5('seed|k1|k2...') as BIGINT in [0, 2^32)."""
-    parts = [F.lit(str(seed))]
+    parts = [seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))]
     for k in keys:
         parts += [F.lit("|"), (F.col(k) if isinstance(k, str) else k).cast("string")]
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("bigint")
