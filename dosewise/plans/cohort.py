@@ -11,8 +11,14 @@ from ..sources.events import dose_events
 
 
 def clocked_events(events: DataFrame, spec: CohortSpec = CohortSpec()) -> DataFrame:
-    """Dose events after enrollment, on the study clock, after washout (before slot dedup)."""
-    df = study_clock(dose_events(events, spec), tod=spec.tod)
+    """Dose events after enrollment, on the study clock, after washout (before slot dedup).
+
+    One hash exchange on the subject id here serves every later window and
+    aggregate keyed by (subject, ...): slot dedup, gaps, day and period
+    aggregates.  Rows per subject are bounded (days x (slots + 1)), so the
+    subject key cannot be skewed after the slot cap.
+    """
+    df = study_clock(dose_events(events, spec).repartition(spec.id_col), tod=spec.tod)
     return washout(df, spec.washout_days)
 
 

@@ -38,35 +38,54 @@ def _events(events: DataFrame, spec: CohortSpec) -> DataFrame:
     ).where(F.col("ts").isNotNull() & F.col(spec.id_col).isNotNull()).withColumn("date", F.to_date("ts"))
 
 
+def _bounds(ev: DataFrame):
+    """(first, last) event date of the table as ONE scalar subquery (reused for both)."""
+    b = ev.select(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+    return b.getField("lo"), b.getField("hi")
+
+
 def daily_use(events: DataFrame, spec: CohortSpec = CohortSpec()) -> DataFrame:
-    """One row per (user, calendar day) of the whole study calendar.
+    """One row per (user, calendar day) from enrollment to the table's last date.
 
     Columns: id, enroll, date, day_idx, numtimes, first_ts, interval_s, withinrange.
+
+    Plan: one partial aggregate per (user, day); one window per user gives the
+    enrollment date, the interval since the previous used day and the next
+    used day, and each used day then emits itself plus the non-use days up to
+    the next used day (one generator -- no calendar table, no join).  Per-user
+    partitions hold one row per used day, bounded by the study length.
     """
     idc = spec.id_col
     ev = _events(events, spec)
+    min_d, max_d = _bounds(ev)
     used = ev.groupBy(idc, "date").agg(
         F.count(F.lit(1)).cast("int").alias("numtimes"),
         F.date_trunc("second", F.min("ts")).cast("timestamp_ntz").alias("first_ts"),
     )
-    # previous *used* day of the same user; bounded per user by study length
     w = Window.partitionBy(idc).orderBy("date")
-    used = used.withColumn("interval_s", seconds_between(F.lag("first_ts").over(w), F.col("first_ts")))
-
-    min_d = ev.select(F.min("date")).scalar()
-    max_d = ev.select(F.max("date")).scalar()
-    users = used.groupBy(idc).agg(F.min("date").alias("enroll"))
-    calendar = users.select(idc, "enroll", F.explode(F.sequence("enroll", max_d)).alias("date"))
+    used = used.select(
+        idc, "date", "numtimes", "first_ts",
+        seconds_between(F.lag("first_ts").over(w), F.col("first_ts")).alias("interval_s"),
+        F.lead("date").over(w).alias("_next"),
+        F.min("date").over(Window.partitionBy(idc)).alias("enroll"),
+    )
+    # materialise the gap bounds first: a subquery may not sit inside a higher-order function
+    used = used.withColumn("_gap_hi", F.coalesce(F.date_sub("_next", 1), max_d))
+    gap_lo = F.date_add("date", 1)
+    gap_days = F.when(gap_lo <= F.col("_gap_hi"), F.sequence(gap_lo, F.col("_gap_hi"))) \
+        .otherwise(F.array().cast("array<date>"))
+    day = F.struct(F.col("date").alias("d"), F.col("numtimes").alias("n"), F.col("first_ts").alias("f"),
+                   F.col("interval_s").alias("i"))
+    idle = F.transform(gap_days, lambda d: F.struct(d.alias("d"), F.lit(0).alias("n"),
+                                                    F.lit(None).cast("timestamp_ntz").alias("f"),
+                                                    F.lit(None).cast("bigint").alias("i")))
+    days = used.select(idc, "enroll", F.explode(F.concat(F.array(day), idle)).alias("x"))
     lo, hi = spec.within_range_s
-    return (
-        calendar.join(used, [idc, "date"], "left")
-        .select(
-            idc, "enroll", "date",
-            (F.datediff("date", min_d) + 1).alias("day_idx"),
-            F.coalesce("numtimes", F.lit(0)).alias("numtimes"),
-            "first_ts", "interval_s",
-            F.coalesce(F.col("interval_s").between(lo, hi).cast("int"), F.lit(0)).alias("withinrange"),
-        )
+    return days.select(
+        idc, "enroll", F.col("x.d").alias("date"),
+        (F.datediff(F.col("x.d"), min_d) + 1).alias("day_idx"),
+        F.col("x.n").alias("numtimes"), F.col("x.f").alias("first_ts"), F.col("x.i").alias("interval_s"),
+        F.coalesce(F.col("x.i").between(lo, hi).cast("int"), F.lit(0)).alias("withinrange"),
     )
 
 
@@ -87,18 +106,27 @@ def dose_events(events: DataFrame, spec: CohortSpec = CohortSpec(), after_enroll
 
     Columns: id, enroll, date, day_idx, slot, datetime, numtimes, interval_s, withinrange.
     ``after_enrollment`` keeps only days strictly after the enrollment day.
+
+    Each day's (at most ``max_slots``) openings are gathered into one small
+    array, joined 1:1 to the day row, de-duplicated to distinct seconds, given
+    the empty-slot marker when the day has spare capacity, and exploded once.
     """
     idc = spec.id_col
     days = daily_use(events, spec)
     if after_enrollment:
         days = days.where(F.col("enroll") < F.col("date"))
-    empty = days.where(F.col("numtimes") < spec.max_slots).select(
-        idc, "date", (F.col("numtimes") + 1).alias("slot"), F.lit(None).cast("timestamp_ntz").alias("datetime"))
-    slots = slot_openings(events, spec).unionByName(empty)
-    # full-row distinct that keeps the first slot (two openings in one second collapse)
-    slots = slots.groupBy(idc, "date", "datetime").agg(F.min("slot").alias("slot"))
-    return slots.join(days.drop("first_ts"), [idc, "date"], "inner").select(
-        idc, "enroll", "date", "day_idx", "slot", "datetime", "numtimes", "interval_s", "withinrange")
+    ops = slot_openings(events, spec).groupBy(idc, "date").agg(
+        F.array_sort(F.collect_list(F.struct("slot", "datetime"))).alias("_ops"))  # <= max_slots per day
+    j = days.drop("first_ts").join(ops, [idc, "date"], "left")
+    ops_t = "array<struct<slot:int,datetime:timestamp_ntz>>"
+    distinct = F.filter(F.coalesce(F.col("_ops"), F.array().cast(ops_t)),
+                        lambda x, i: (i == 0) | (x["datetime"] != F.get(F.col("_ops"), i - 1)["datetime"]))
+    marker = F.when(F.col("numtimes") < spec.max_slots, F.array(F.struct(
+        (F.col("numtimes") + 1).alias("slot"), F.lit(None).cast("timestamp_ntz").alias("datetime")))) \
+        .otherwise(F.array().cast(ops_t))
+    out = j.select("*", F.explode(F.concat(distinct, marker)).alias("_o"))
+    return out.select(idc, "enroll", "date", "day_idx", F.col("_o.slot").alias("slot"),
+                      F.col("_o.datetime").alias("datetime"), "numtimes", "interval_s", "withinrange")
 
 
 def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int = 31) -> DataFrame:
