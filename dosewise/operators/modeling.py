@@ -93,8 +93,9 @@ def estimator(method: str, params: dict, n_train: int, seed: int):
     """Spark estimator for one method and one hyper-parameter point."""
     if method == "LogisticR":
         c = float(params.get("C", 1.0))
+        # solver budget of the usual single-machine default: 100 iterations, tol 1e-4
         return LogisticRegression(regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0, standardization=False,
-                                  maxIter=200)
+                                  maxIter=100, tol=1e-4)
     if method == "RF":
         return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
                                       maxDepth=int(params.get("max_depth", 5) or 5),
@@ -106,7 +107,7 @@ def estimator(method: str, params: dict, n_train: int, seed: int):
                              minInfoGain=float(params.get("gamma", 0.0)) * 1e-3, seed=seed)
     if method == "SVM":
         c = float(params.get("C", 1.0))
-        return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=100, standardization=False)
+        return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=100, tol=1e-4, standardization=False)
     raise ValueError(method)
 
 
@@ -278,3 +279,77 @@ def repeated_cv(df: DataFrame, features, label_col: str, id_col: str, method: st
         rocs = r if rocs is None else rocs.unionByName(r)
     method_col = F.lit(method).alias("method")
     return mets.select(method_col, "*"), aucs.select(method_col, "*"), rocs.select(method_col, "*")
+
+
+def final_model(df: DataFrame, features, label_col: str, id_col: str, method: str, seed: int = 42, **kw):
+    """Final classifier on a 50/50 subject-grouped split (fold 0 held out); metric rows per side."""
+    from .folds import first_fold_split
+
+    tr, te = first_fold_split(df, id_col, label_col, seed=seed)
+    ptr, pte, model, feats = train_test(tr, te, features, label_col, id_col, method, seed, **kw)
+    preds = ptr.withColumn("type", F.lit("train")).unionByName(pte.withColumn("type", F.lit("test")))
+    mets = classification_metrics(preds, ["type"]).select(F.lit(method).alias("method"), "*")
+    pts = roc_points(pte)
+    return mets, auc(pts).select(F.lit(method).alias("method"), "*"), pts, model, feats
+
+
+def predict_all_methods(fs, methods=METHODS, tuned: bool = False, select_feats: bool = False, runs: int = 5,
+                        k: int = 5, repeated: bool = True, params: dict | None = None):
+    """Every method on one prepared feature set: repeated CV rows and the final model rows.
+
+    Returns a dict of DataFrames (pred, auc, roc, final_pred, final_auc), each
+    carrying the configuration columns used by the report layer.
+    """
+    df = cut_lineage(fs.df)
+    feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
+    cfg = [F.lit(fs.name).alias("featureset"), F.lit(select_feats).alias("features_selected"),
+           F.lit(tuned).alias("tuned"), F.lit(fs.n_lags).alias("n_lags")]
+    out = {k_: None for k_ in ("pred", "auc", "roc", "final_pred", "final_auc")}
+
+    def add(key, part):
+        part = part.select(*cfg, "*")
+        out[key] = part if out[key] is None else out[key].unionByName(part, allowMissingColumns=True)
+
+    for method in methods:
+        p = (params or {}).get(method)
+        if repeated:
+            mets, aucs, rocs = repeated_cv(df, feats, fs.target_col, fs.id_col, method, runs, k, params=p,
+                                           tuned=tuned, select_feats=select_feats, impute=False)
+            add("pred", mets)
+            add("auc", aucs.groupBy("method").agg(F.avg("auc").alias("auc_mean"),
+                                                  F.stddev_pop("auc").alias("auc_std")))
+            add("roc", rocs)
+        mets, a, _, _, _ = final_model(df, feats, fs.target_col, fs.id_col, method, params=p, tuned=tuned,
+                                       select_feats=select_feats, impute=False)
+        add("final_pred", mets)
+        add("final_auc", a)
+    return out
+
+
+def tune_lags(fs, lag_range=range(1, 8), depth_range=range(1, 6), runs: int = 5, k: int = 5,
+              exclusion: dict | None = None):
+    """Lag-count x forest-depth sweep (random forest, untuned) on one horizon feature set.
+
+    Drops the ramp-up periods first (``horizon > threshold``), prepares the
+    maximum lag frame per lag count, and returns final-model metric rows with
+    ``n_lags`` and ``max_depth`` for ``results.lag_tuning_curve``.  The input
+    feature set is not modified.
+    """
+    from ..config import LAG_TUNING_EXCLUSION
+    from .clock import horizon_exclusion
+    from .lagging import prepare
+
+    thr = (exclusion or LAG_TUNING_EXCLUSION)[fs.horizon]
+    base = fs.with_df(horizon_exclusion(fs.df, fs.horizon, thr))
+    rows = None
+    for n in lag_range:
+        lagged = prepare(base, n_lags=n, check_nulls=False)
+        df = cut_lineage(lagged.df)
+        feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
+        for depth in depth_range:
+            mets, _, _, _, _ = final_model(df, feats, fs.target_col, fs.id_col, "RF", seed=depth,
+                                           params={"max_depth": depth, "n_estimators": 100}, impute=False)
+            part = mets.select(F.lit(fs.name).alias("featureset"), F.lit(n).alias("n_lags"),
+                               F.lit(depth).alias("max_depth"), "*")
+            rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -1,0 +1,5 @@
+"""Streaming operators.
+
+The analysed workload reads one batch export per study; it has no streams,
+watermarks or stateful operators, so this package is intentionally empty.
+"""

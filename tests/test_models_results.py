@@ -75,3 +75,21 @@ def test_linear_attribution_sums_to_centered_prediction(spark, data):
     assert abs(total - (pred - pred.mean()).sum()) < 1e-6
     top = top_features(attr).collect()
     assert [r.feature for r in top] == ["x1", "x2"]
+
+
+def test_predict_all_methods_and_tune_lags_small(spark):
+    from conftest import SF_SMALL
+    from dosewise.operators.lagging import prepare
+    from dosewise.operators.modeling import predict_all_methods, tune_lags
+    from dosewise.plans.featuresets import category_levels_for, featureset
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    fs = featureset(ev, "study_day")
+    lagged = prepare(fs, n_lags=1, levels=category_levels_for())
+    out = predict_all_methods(lagged, methods=("LogisticR",), runs=1, k=2)
+    assert {r.type for r in out["pred"].collect()} == {"train", "test"}
+    assert out["final_auc"].count() == 1 and out["roc"].where("j = 99").count() == 2
+    rows = tune_lags(fs, lag_range=[1], depth_range=[1], exclusion={"study_day": 10})
+    r = rows.where("type = 'test'").first()
+    assert (r.n_lags, r.max_depth, r.method) == (1, 1, "RF")
+    assert fs.df.count() > 0  # the input feature set is not filtered in place
