@@ -39,6 +39,10 @@ def sampled_attribution(model, df: DataFrame, key_cols, features, background: Da
                         seed: int = 0, max_rows: int = 1000) -> DataFrame:
     """Permutation-sampled Shapley values of ``model.transform(...)['score']``.
 
+    Experimental: on the 39-column lagged daily set the (row, sample) x
+    background stage does not finish planning/executing in reasonable time
+    yet, so no registered query uses it.
+
     ``df`` and ``background`` are first reduced to seeded samples of at most
     ``max_rows`` rows (checkpointed, so the coalition plan starts from a short
     lineage).  Returns (_rid, keys..., feature, shap) where ``_rid`` is the
@@ -65,7 +69,8 @@ def sampled_attribution(model, df: DataFrame, key_cols, features, background: Da
     s = s.join(F.broadcast(bg.select("_bid", *[F.col(_q(f)).alias(f"b_{i}") for i, f in enumerate(feats)])),
                "_bid")  # background capped at max_rows rows
     pos_arr = F.array(*[F.array(*[F.lit(int(v)) for v in pos[k]]) for k in range(n_samples)])
-    s = s.withColumn("_pos", F.element_at(pos_arr, F.col("_s") + 1))
+    # (explained row, sample) pairs with their background row: <= max_rows x n_samples rows
+    s = cut_lineage(s.withColumn("_pos", F.element_at(pos_arr, F.col("_s") + 1)))
     # coalition k (0..p): features at positions < k take the explained value, the rest the background
     c = s.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(p))))
     vals = [F.when(F.element_at("_pos", i + 1) < F.col("_k"), F.col(f"x_{i}")).otherwise(F.col(f"b_{i}"))
