@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.attribution import linear_attribution
+from ..operators.attribution import linear_attribution, sampled_attribution
 from ..operators.evaluation import auc, classification_metrics, roc_points
 from ..operators.folds import seeded_hash, seeded_sample
+from ..operators.modeling import fit
 from ..operators.results import (condense, featureset_title, legend_label, prettify, read_results, summarize,
                                  top_features, write_results, with_final_auc)
 from ..session import ensure_checkpoint_dir
@@ -200,6 +201,16 @@ def q_top_features(spark, sf_dir):
         .withColumn("mean_abs_shap", r6("mean_abs_shap"))
 
 
+@register("sampled_attribution")
+def q_sampled_attribution(spark, sf_dir):
+    """Permutation-sampled Shapley values of the depth-2 forest on the final test split (<= 1000 rows,
+    background <= 1000 training rows), summarised as mean |attribution| per feature."""
+    tr, te, feats, fs = _final_split(spark, sf_dir)
+    model = fit(tr, feats, fs.target_col, "RF", {"n_estimators": 100, "max_depth": 2}, 42)
+    attr = sampled_attribution(model, te, [fs.id_col] + feats, feats, tr, n_samples=32, seed=42)
+    return top_features(attr, n=len(feats))
+
+
 @register("results_io")
 def q_results_io(spark, sf_dir):
     """Persist the per-run metric rows partitioned by configuration, read them back and summarise."""

@@ -57,3 +57,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+class conf_override:
+    """Temporarily set SQL confs (restored on exit) around eager steps of one operator."""
+
+    def __init__(self, spark: SparkSession, **confs):
+        self.spark, self.confs, self.old = spark, {k.replace("__", "."): v for k, v in confs.items()}, {}
+
+    def __enter__(self):
+        for k, v in self.confs.items():
+            self.old[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+        return self
+
+    def __exit__(self, *exc):
+        for k, v in self.old.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False

@@ -93,3 +93,21 @@ def test_predict_all_methods_and_tune_lags_small(spark):
     r = rows.where("type = 'test'").first()
     assert (r.n_lags, r.max_depth, r.method) == (1, 1, "RF")
     assert fs.df.count() > 0  # the input feature set is not filtered in place
+
+
+def test_sampled_attribution_is_additive(spark, data):
+    from dosewise.operators.attribution import sampled_attribution
+
+    feats = ["x1", "x2", "noise"]
+    model = fit(data, feats, "y", "RF", {"n_estimators": 10, "max_depth": 3}, seed=1)
+    rows = data.limit(20)
+    bg = data.orderBy("pid", "x1").limit(1)
+    attr = sampled_attribution(model, rows, ["pid", "x1", "x2", "noise"], feats, bg, n_samples=4, seed=5)
+    sums = {r._rid: r.s for r in attr.groupBy("_rid").agg(F.sum("shap").alias("s")).collect()}
+    keyed = rows.withColumn("_rid", F.md5(F.concat_ws("|", *[F.col(c).cast("string")
+                                                            for c in ["pid", "x1", "x2", "noise"]])))
+    fx = {r._rid: r.score for r in model.transform(keyed.withColumn("y_true", F.col("y"))).collect()}
+    fb = model.transform(bg.withColumn("y_true", F.col("y"))).first().score
+    assert len(sums) == 20
+    for rid, s in sums.items():
+        assert abs(s - (fx[rid] - fb)) < 1e-9
