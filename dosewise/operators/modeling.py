@@ -220,18 +220,30 @@ def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed
 
 def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_col: str, method: str, seed: int,
                params: dict | None = None, tuned: bool = False, select_feats: bool = False,
-               impute: bool = True):
-    """One train/test step: impute -> (select) -> scale (LR/SVM) -> fit/tune -> predict.
+               impute: bool = True, oversample: bool = True, nominal=()):
+    """One train/test step: impute -> oversample (SMOTE / SMOTE-NC) -> (select) -> scale (LR/SVM)
+    -> fit/tune -> predict.
 
-    The scaler and imputer are fitted on the training frame only.  Returns
-    (train predictions, test predictions, fitted model, features used).
+    Imputer, oversampler and scaler see the training frame only; synthetic rows
+    keep their base row's subject id.  Returns (train predictions, test
+    predictions, fitted model, features used).
     """
+    from .oversample import smote
+
     feats = list(features)
     if impute:
         nulls = train.agg(*[F.count(F.when(F.col(_q(c)).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(feats)]
                           ).first()
         if any(nulls):
             train, test = chained_impute(train, [train, test], feats)
+    if oversample:
+        from ..session import conf_override
+
+        noms = [c for c in nominal if c in feats]
+        # wide interpolation projections over checkpointed lag tables: see attribution.py on constraints
+        with conf_override(train.sparkSession, spark__sql__constraintPropagation__enabled="false"):
+            train = cut_lineage(smote(train.select(id_col, label_col, *[_q(f) for f in feats]), feats, label_col,
+                                      id_col, k=5, seed=seed, nominal=noms).drop("synthetic"))
     if select_feats:
         feats = select_by_forest(train, feats, label_col, seed)
     if method in ("LogisticR", "SVM"):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluation import classification_metrics
 from ..operators.folds import first_fold_split
 from ..operators.modeling import repeated_cv, select_by_forest, train_test, tune
+from ..operators.oversample import smote
 from ..operators.scaling import chained_impute, minmax, mode_fill
 from ..session import cut_lineage
 from . import oracle as O
@@ -76,7 +77,8 @@ def _train_predict(method, params):
     def q(spark, sf_dir):
         tr, te, feats, fs = _final_split(spark, sf_dir)
         ptr, pte, _, _ = train_test(tr, te, feats, fs.target_col, fs.id_col, method, 42, params=params,
-                                     impute=False)  # feature set checked NULL-free
+                                     impute=False,  # feature set checked NULL-free
+                                     nominal=list(fs.nominal_cols))
         return _metric_rows(ptr, pte, method)
     return q
 
@@ -116,3 +118,24 @@ def q_repeated_cv(spark, sf_dir):
     mets, _, _ = repeated_cv(df, feats, fs.target_col, fs.id_col, "LogisticR", runs=5, k=5, params={"C": 1.0},
                              impute=False)
     return mets
+
+
+def _day_lagged(spark, sf_dir):
+    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=True)
+    df = cut_lineage(fs.df)
+    feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
+    return fs, df, feats
+
+
+@register("smote")
+def q_smote(spark, sf_dir):
+    """Daily lagged set topped up to balanced classes (exact 5-NN SMOTE, all columns continuous)."""
+    fs, df, feats = _day_lagged(spark, sf_dir)
+    return smote(df, feats, fs.target_col, fs.id_col, k=5, seed=42)
+
+
+@register("smote_nc")
+def q_smote_nc(spark, sf_dir):
+    """Same with the lagged time-of-day and weekday indicators as nominal columns (SMOTE-NC)."""
+    fs, df, feats = _day_lagged(spark, sf_dir)
+    return smote(df, feats, fs.target_col, fs.id_col, k=5, seed=42, nominal=list(fs.nominal_cols))
