@@ -43,3 +43,15 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id)
 """
+
+SQL["op6_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM win) WHERE doc_id > low),
+gone AS (SELECT doc_id, list_distinct(list(i + k)) AS spots FROM later, (SELECT unnest(range(0, 13)) AS k) GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+cut AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM w JOIN gone USING (doc_id) WHERE NOT list_contains(spots, i) GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN spots IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(cut.t, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
