@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import jaccard_join, line_quality, substring_dedup
+from . import jaccard_join, line_quality, rans_output, segment_bpe, substring_dedup
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_removed_lines", "n_removed_words", "kept")
 
 
+@register
+def op2_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 @register
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -36,4 +42,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@register
+def op10_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_output.write_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 ORACLE: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
