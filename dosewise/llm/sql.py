@@ -55,3 +55,39 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0
        sha256(CASE WHEN spots IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(cut.t, '') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
+
+SQL["op5_phrase_index"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+q AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i:i+12], ' ') AS g, 13 AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM b WHERE len(ws) >= 13)
+  UNION SELECT item_id, array_to_string(ws, ' '), len(ws) FROM b WHERE len(ws) BETWEEN 1 AND 12),
+sizes AS (SELECT DISTINCT n FROM q),
+p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n),
+hit AS (SELECT p.doc_id, p.i, p.n, q.item_id FROM p JOIN q ON q.n = p.n AND q.g = array_to_string(p.ws[p.i:p.i + p.n - 1], ' ')),
+cover AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS spot FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+SQL["op9_line_runs"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS place FROM d WHERE text IS NOT NULL),
+held AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+win AS (SELECT doc_id, pos, line AS a, lead(line, 1) OVER o AS b, lead(line, 2) OVER o AS c FROM held WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS r FROM win WHERE c IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest(range(0, 3)) AS k)),
+runs AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) AS n FROM (
+  SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone) GROUP BY doc_id, island) GROUP BY doc_id),
+cut AS (SELECT doc_id, place FROM held JOIN gone USING (doc_id, pos)),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.place) AS t FROM l ANTI JOIN cut ON l.doc_id = cut.doc_id AND l.place = cut.place GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
