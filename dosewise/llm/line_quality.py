@@ -45,6 +45,8 @@ def _lines(run: W.Run):
     breaks = np.flatnonzero(run.data == 10)
     starts = np.union1d(run.offsets[:-1][np.diff(run.offsets) > 0], breaks + 1)
     starts = starts[starts < len(run.data)]
+    if not len(starts):
+        return (np.empty(0, np.int64),) * 5
     ends = np.append(starts[1:], len(run.data))
     ends = ends - ((ends > starts) & (run.data[np.maximum(ends, 1) - 1] == 10))
     first, last = np.searchsorted(run.starts, starts), np.searchsorted(run.starts, ends)

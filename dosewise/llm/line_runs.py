@@ -30,11 +30,12 @@ from .store import BROADCAST_BYTES, keep
 
 MIN_LINES = 3
 WORD = r"[^\x20\x09-\x0D]"
-KEY = ["_id", "_none", "_text"]
+#: Working columns; no input column may have one of these names.
+KEY = ["__run_id", "__run_none", "__run_text"]
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_id"), F.col(id_col).isNull().alias("_none"), F.xxhash64(F.col(text_col)).alias("_text")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(KEY[0]), F.col(id_col).isNull().alias(KEY[1]), F.xxhash64(F.col(text_col)).alias(KEY[2])]
 
 
 def _again(names: DataFrame) -> DataFrame:
@@ -61,31 +62,31 @@ def suffix_names(docs: DataFrame, depth: int, id_col="doc_id", text_col="text")
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col="doc_id", text_col="text") -> DataFrame:
-    """(document key, gone): positions, among the lines with a word, of the later copies of repeated runs."""
+    """(document key, __run_gone): positions, among the lines with a word, of the later copies of repeated runs."""
     names = suffix_names(docs, min_lines, id_col, text_col)
-    place = F.struct("_none", "_id", "_text", "pos")
+    place = F.struct(KEY[1], KEY[0], KEY[2], "pos")
     first = names.groupBy("name").agg(F.min(place).alias("first"))
     later = names.join(first, "name").where(place > F.col("first"))
-    return later.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1)))))).alias("gone"))
+    return later.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1)))))).alias("__run_gone"))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col="doc_id", text_col="text") -> DataFrame:
     """The input columns, the text without later copies of runs of ``min_lines`` lines or more, and n_lines, n_removed and longest_run."""
     gone = keep(repeated_lines(docs, min_lines, id_col, text_col))
-    size = gone.agg(F.sum(F.size("gone") * 4 + 64).alias("n")).first()["n"] or 0
+    size = gone.agg(F.sum(F.size("__run_gone") * 4 + 64).alias("n")).first()["n"] or 0
     side = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     out = docs.withColumns({n: c for n, c in zip(KEY, _key(docs, id_col, text_col))}).join(side, KEY, "left")
-    out = out.withColumn("_lines", F.split(text_col, "\n"))
+    out = out.withColumn("__run_lines", F.split(text_col, "\n"))
     # places of the lines with a word, then of those that stay
-    places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
-    out = out.withColumn("_held", F.when(F.col("_lines").isNotNull(), places))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.transform("gone", lambda g: F.get("_held", g)))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    places = F.filter(F.sequence(F.lit(0), F.size("__run_lines") - 1), lambda i: F.get("__run_lines", i).rlike(WORD))
+    out = out.withColumn("__run_held", F.when(F.col("__run_lines").isNotNull(), places))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__run_lines") - 1), F.transform("__run_gone", lambda g: F.get("__run_held", g)))
+    text = F.when(F.col("__run_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__run_lines", i)), "\n"))
     # a deleted line continues its run if the line before is deleted too
-    run = F.aggregate("gone", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), lambda s, g: F.struct(
+    run = F.aggregate("__run_gone", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), lambda s, g: F.struct(
         g.alias("last"), F.when(g == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1)).alias("run"),
         F.greatest(s["best"], F.when(g == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))).alias("best")), lambda s: s["best"])
-    counts = {"n_lines": F.coalesce(F.size("_held"), F.lit(0)), "n_removed": F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)),
-              "longest_run": F.coalesce(F.when(F.col("gone").isNotNull(), run), F.lit(0))}
-    counts["n_lines"] = F.when(F.col("_held").isNull(), F.lit(0)).otherwise(F.size("_held"))
-    return out.withColumns({text_col: text, **{k: v.cast("long") for k, v in counts.items()}}).drop(*KEY, "gone", "_lines", "_held")
+    counts = {"n_lines": F.coalesce(F.size("__run_held"), F.lit(0)), "n_removed": F.coalesce(F.when(F.col("__run_gone").isNotNull(), F.size("__run_gone")), F.lit(0)),
+              "longest_run": F.coalesce(F.when(F.col("__run_gone").isNotNull(), run), F.lit(0))}
+    counts["n_lines"] = F.when(F.col("__run_held").isNull(), F.lit(0)).otherwise(F.size("__run_held"))
+    return out.withColumns({text_col: text, **{k: v.cast("long") for k, v in counts.items()}}).drop(*KEY, "__run_gone", "__run_lines", "__run_held")
