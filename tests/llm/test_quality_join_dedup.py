@@ -131,7 +131,11 @@ def brute_substring(rows, window):
     return sorted(out, key=repr)
 
 
-def test_substring_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("heavy", [False, True])
+def test_substring_dedup_matches_brute_force(spark, monkeypatch, heavy):
+    if heavy:  # most shared prefixes take the way of the heavy ones
+        for name, value in (("HEAVY_SAMPLE", 1), ("HEAVY_LEAST", 2), ("HEAVY_SHARE", 0.0)):
+            monkeypatch.setattr(substring_dedup, name, value)
     rnd = random.Random(11)
     passages = [prose(rnd, n, 50) for n in (12, 13, 14, 40, 70)]
     rows = edge_rows()
