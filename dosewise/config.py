@@ -41,15 +41,14 @@ class TimeOfDayBins:
 class CohortSpec:
     """How the `events` table is read as a dose-event (pill-bottle) study.
 
-    Every event counts as one bottle opening.  A calendar day keeps at most
-    ``max_slots`` recorded openings, like the fixed per-day time columns of a
-    wide monitor export; ``numtimes`` still counts all of them.
+    Every event counts as one bottle opening, and every opening is kept.  The
+    day capacity (time columns per day of the wide export) is the largest daily
+    count of the data.
     """
 
     id_col: str = "user_id"
     ts_col: str = "ts"
     order_col: str = "event_id"
-    max_slots: int = 10
     within_range_s: tuple = (8 * 3600, 40 * 3600)
     washout_days: int = 7
     tod: TimeOfDayBins = field(default_factory=TimeOfDayBins)

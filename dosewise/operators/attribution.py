@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import seeded_sample
+from .folds import seeded_hash, seeded_sample
 from .reshape import _q
 
 
@@ -39,56 +39,51 @@ def sampled_attribution(model, df: DataFrame, key_cols, features, background: Da
                         seed: int = 0, max_rows: int = 1000) -> DataFrame:
     """Permutation-sampled Shapley values of ``model.transform(...)['score']``.
 
-    The eager (checkpointed) steps run with constraint propagation off: it
-    would otherwise enumerate alias substitutions of every inherited NOT NULL
-    constraint across the wide coalition projections.
-
     ``df`` and ``background`` are first reduced to seeded samples of at most
-    ``max_rows`` rows (checkpointed, so the coalition plan starts from a short
-    lineage).  Returns (_rid, keys..., feature, shap) where ``_rid`` is the
-    seeded hash that identifies an explained row.
+    ``max_rows`` rows, numbered in the sample's order, so equal rows stay apart.
+    Feature values travel as one array until the model reads them.  Returns
+    (_rid, keys..., feature, shap) with ``_rid`` the number of the explained row.
     """
-    from ..session import conf_override, cut_lineage
-
-    # wide aliased projections over checkpointed frames (which keep their origin constraints)
-    # make constraint propagation combinatorial; it only adds NOT NULL filters here
-    with conf_override(df.sparkSession, spark__sql__constraintPropagation__enabled="false"):
-        feats = list(features)
-        p = len(feats)
-        rid = F.md5(F.concat_ws("|", *[F.col(_q(k)).cast("string") for k in key_cols]))
-        x = cut_lineage(seeded_sample(df, max_rows, seed, key_cols).withColumn("_rid", rid)
-                        .select("_rid", *[_q(k) for k in key_cols if k not in feats], *[_q(f) for f in feats]))
-        bg = seeded_sample(background, max_rows, seed + 1, key_cols).select(*[_q(f) for f in feats])
-        # background is at most max_rows rows: a global row index is a bounded window
-        bg = cut_lineage(bg.withColumn("_bid", (F.row_number().over(Window.orderBy(*[_q(f) for f in feats])) - 1)
-                                       .cast("long")))
-        n_bg = max(bg.count(), 1)
-        rng = np.random.default_rng(seed)
-        perms = np.array([rng.permutation(p) for _ in range(n_samples)])  # n_samples x p, small
-        pos = np.argsort(perms, axis=1)  # pos[s][i] = position of feature i in permutation s
-        s = x.select("_rid", *[F.col(_q(f)).alias(f"x_{i}") for i, f in enumerate(feats)]) \
-            .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-        s = s.withColumn("_bid", F.pmod(F.xxhash64("_rid", "_s"), F.lit(n_bg)))
-        s = s.join(F.broadcast(bg.select("_bid", *[F.col(_q(f)).alias(f"b_{i}") for i, f in enumerate(feats)])),
-                   "_bid")  # background capped at max_rows rows
-        pos_arr = F.array(*[F.array(*[F.lit(int(v)) for v in pos[k]]) for k in range(n_samples)])
-        # (explained row, sample) pairs with their background row: <= max_rows x n_samples rows
-        s = cut_lineage(s.withColumn("_pos", F.element_at(pos_arr, F.col("_s") + 1)))
-        # coalition k (0..p): features at positions < k take the explained value, the rest the background
-        c = s.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(p))))
-        vals = [F.when(F.element_at("_pos", i + 1) < F.col("_k"), F.col(f"x_{i}")).otherwise(F.col(f"b_{i}"))
-                .alias(f) for i, f in enumerate(feats)]
-        # materialise the coalition rows (max_rows x n_samples x (p + 1)) before scoring, so the
-        # model's vector UDFs do not get the coalition expressions inlined into them
-        coal = cut_lineage(c.select("_rid", "_s", "_k", "_pos", *vals))
-        scored = model.transform(coal).select("_rid", "_s", "_k", "_pos", "score")
-        scored = cut_lineage(scored)
+    from ..session import cut_lineage
+
+    feats = list(features)
+    p = len(feats)
+    keys = [k for k in key_cols if k not in feats]
+    arr = F.array(*[F.col(_q(f)).cast("double") for f in feats])
+
+    def numbered(frame, s, name, *cols):
+        """The sample's rows with a number 0..; a window over at most max_rows rows."""
+        sample = seeded_sample(frame, max_rows, s, key_cols).select(arr.alias(name), *cols)
+        return sample.withColumn("_n", (F.row_number().over(Window.orderBy(name, *cols)) - 1).cast("long"))
+
+    x = cut_lineage(numbered(df, seed, "_x", *[_q(k) for k in keys]).withColumnRenamed("_n", "_rid"))
+    bg = cut_lineage(numbered(background, seed + 1, "_b").withColumnRenamed("_n", "_bid"))
+    n_bg = max(bg.count(), 1)
+    rng = np.random.default_rng(seed)
+    perms = np.array([rng.permutation(p) for _ in range(n_samples)])  # n_samples x p, small
+    pos = np.argsort(perms, axis=1)  # pos[s][i] = position of feature i in permutation s
+    pos_arr = F.array(*[F.array(*[F.lit(int(v)) for v in pos[k]]) for k in range(n_samples)])
+    s = x.select("_rid", "_x", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
+    s = s.withColumn("_bid", seeded_hash(seed, "_rid", "_s") % n_bg)
+    s = s.join(F.broadcast(bg), "_bid").withColumn("_pos", F.get(pos_arr, F.col("_s")))  # background: at most max_rows rows
+    # coalition k (0..p): features at positions < k take the explained value, the rest the background
+    c = s.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    c = c.withColumn("_v", F.transform("_pos", lambda q, i: F.when(q < F.col("_k"), F.get("_x", i)).otherwise(F.get("_b", i))))
+    # materialised (max_rows x n_samples x (p + 1)), so the model's vector expressions don't repeat the coalitions'
+    coal = cut_lineage(c.select("_rid", "_s", "_k", "_pos", "_v"))
+    rows = coal.select("_rid", "_s", "_k", "_pos", *[F.get("_v", i).alias(f) for i, f in enumerate(feats)])
+    scored = cut_lineage(model.transform(rows).select("_rid", "_s", "_k", "_pos", "score"))
     nxt = scored.select("_rid", "_s", (F.col("_k") - 1).alias("_k"), F.col("score").alias("score_next"))
     d = scored.join(nxt, ["_rid", "_s", "_k"], "inner")
     # the feature switched between coalition k and k+1 is the one at position k
     d = d.withColumn("_fi", (F.array_position("_pos", F.col("_k")) - 1).cast("int"))
     names = F.array(*[F.lit(f) for f in feats])
     out = d.groupBy("_rid", "_fi").agg(F.avg(F.col("score_next") - F.col("score")).alias("shap")) \
-        .select("_rid", F.element_at(names, F.col("_fi") + 1).alias("feature"), "shap")
-    keys = [k for k in key_cols if k not in feats]
+        .select("_rid", F.get(names, F.col("_fi")).alias("feature"), "shap")
     return out.join(x.select("_rid", *[_q(k) for k in keys]), "_rid") if keys else out
+
+
+def fitted_linear_attribution(fitted, df: DataFrame, key_cols, background: DataFrame) -> DataFrame:
+    """``linear_attribution`` with the coefficients of a fitted logistic regression."""
+    coefs = dict(zip(fitted.features, (float(c) for c in fitted.model.coefficients.toArray())))
+    return linear_attribution(df, key_cols, coefs, background)

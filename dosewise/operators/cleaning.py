@@ -82,8 +82,7 @@ def map_codes(df: DataFrame, col: str, codebook, out_col: str | None = None) ->
     """Numeric code -> label; unmapped or non-numeric -> NULL.
 
     ``codebook`` is a dict (inlined as a map literal) or a (code, label)
-    DataFrame, joined with a broadcast hint only when its row count is under
-    ``max_broadcast_rows`` (checked), otherwise a plain shuffle join.
+    DataFrame; the planner picks the join from its size.
     """
     out_col = out_col or col
     key = (F.col(col).cast("string")).try_cast("double")
@@ -92,17 +91,10 @@ def map_codes(df: DataFrame, col: str, codebook, out_col: str | None = None) ->
         return df.withColumn(out_col, m[key])
     code_col, label_col = codebook.columns[:2]
     cb = codebook.select(F.col(code_col).cast("double").alias("_code"), F.col(label_col).alias("_label"))
-    cb = broadcast_if_small(cb)
     out = df.withColumn("_code", key).join(cb, "_code", "left")
     return out.withColumn(out_col, F.col("_label")).drop("_code", "_label")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only behind a checked row count (a bounded ``limit`` count)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def binarize(df: DataFrame, col: str) -> DataFrame:
     """Numeric text and NULL pass unchanged; any other text becomes ``'1'``."""
     c = F.col(col).cast("string")
@@ -191,7 +183,3 @@ def assert_no_nulls(df: DataFrame) -> DataFrame:
     if row[0]:
         raise ValueError(f"feature set contains {row[0]} NULL cells")
     return df
-
-
-def drop_analyst_columns(df: DataFrame, cols) -> DataFrame:
-    return df.drop(*cols)

@@ -16,15 +16,3 @@ def dedup_slots(df: DataFrame, keys=("user_id", "study_day", "interval_s"), orde
     w = Window.partitionBy(*keys).orderBy(*order)
     rn = F.row_number().over(w)
     return df.withColumn("_rn", rn).where((F.col("_rn") == 1) | (F.col(count_col) > 1)).drop("_rn")
-
-
-def distinct_keep_first(df: DataFrame, order_col: str) -> DataFrame:
-    """Full-row distinct over all columns but ``order_col``, keeping its minimum."""
-    keys = [c for c in df.columns if c != order_col]
-    return df.groupBy(*keys).agg(F.min(order_col).alias(order_col)).select(*df.columns)
-
-
-def first_per_key(df: DataFrame, keys, order) -> DataFrame:
-    """First row per key under a total order (``drop_duplicates(keep='first')``)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

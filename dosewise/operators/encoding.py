@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from .reshape import _q
 
 
-def category_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
-    """Sorted distinct non-NULL values (one small aggregate; refuses unbounded cardinality)."""
-    vals = df.where(F.col(_q(col)).isNotNull()).select(F.col(_q(col)).cast("string").alias("v")).distinct() \
-        .limit(max_levels + 1).collect()
-    if len(vals) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels; pass levels explicitly")
+def category_levels(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-NULL values: one name per output column of ``one_hot``.
+
+    For columns with very many levels use ``one_hot_vector``, which needs no column per level.
+    """
+    vals = df.where(F.col(_q(col)).isNotNull()).select(F.col(_q(col)).cast("string").alias("v")).distinct().collect()
     return sorted(r["v"] for r in vals)
 
 
+def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
+    """Sparse indicator vector of a column with any number of levels (NULL -> all zero)."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    out_col = out_col or f"{col}_vec"
+    text = df.withColumn("_level", F.col(_q(col)).cast("string"))
+    index = StringIndexer(inputCol="_level", outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc").fit(text)
+    # unseen and NULL values take the last index, which the encoder drops
+    coded = OneHotEncoder(inputCol="_index", outputCol=out_col, dropLast=True).fit(index.transform(text)).transform(index.transform(text))
+    return coded.drop("_level", "_index")
+
+
 def one_hot(df: DataFrame, cols, levels: dict | None = None, keep_original: bool = False):
     """Indicator column ``{col}_{level}`` per level (NULL -> all zero).
 

@@ -6,11 +6,11 @@ positive-class score, plus any grouping columns (method, run, fold, type).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ROC_GRID_POINTS
-from .scan import running_sums, unit_bucket, with_neighbor
+from .scan import quantile_bucket, running_sums
 
 
 def _div0(a, b):
@@ -44,11 +44,14 @@ def classification_metrics(preds: DataFrame, by=(), y_true: str = "y_true", y_pr
 
 
 def roc_points(preds: DataFrame, by=(), y_true: str = "y_true", score: str = "score",
-               buckets: int = 1024) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Full ROC staircase per group, one point per distinct score, plus the (0, 0) start.
 
-    Columns: by..., idx (0 = start), threshold, tps, fps, fpr, tpr.  Counts per
-    distinct score are partial aggregates; running sums use the two-level scan.
+    Columns: by..., idx (0 = start), threshold, tps, fps, fpr, tpr, and the step
+    to the point (pos, neg), the step to the next one (next_pos, next_neg, NULL
+    at the end) and the group's totals (all_pos, all_neg).  Counts per distinct
+    score are partial aggregates; running sums use the two-level scan over
+    quantile buckets.
     """
     by = list(by)
     if not by:  # one global curve: use a constant key so every step stays an equi-join
@@ -57,16 +60,18 @@ def roc_points(preds: DataFrame, by=(), y_true: str = "y_true", score: str = "sc
     t = F.col(y_true).cast("int")
     per = preds.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(t).alias("pos"), F.sum(1 - t).alias("neg"))
-    pts = running_sums(per, by, "threshold", unit_bucket("threshold", buckets), ["pos", "neg"], descending=True)
-    pts = pts.select(*by, "idx", "threshold", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
-    tot = per.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                               (F.max("threshold") + 1).alias("thr0"))
-    start = tot.select(*by, F.lit(0).cast("long").alias("idx"), F.col("thr0").alias("threshold"),
-                       F.lit(0).cast("long").alias("tps"), F.lit(0).cast("long").alias("fps"))
-    allp = pts.unionByName(start).join(tot.drop("thr0"), by, "inner")
-    return allp.select(*by, "idx", "threshold", "tps", "fps",
-                       F.try_divide(F.col("fps"), F.col("N")).alias("fpr"),
-                       F.try_divide(F.col("tps"), F.col("P")).alias("tpr"))
+    cut = quantile_bucket(per, "threshold", "_q", buckets)
+    pts = running_sums(cut, by, "threshold", F.col("_q"), ["pos", "neg"], descending=True, neighbours=True)
+    # the first point also emits the start
+    zero = F.lit(0).cast("long")
+    point = F.struct("idx", "threshold", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"), "pos", "neg", "next_pos", "next_neg")
+    start = F.struct(zero.alias("idx"), (F.col("threshold") + 1).alias("threshold"), zero.alias("tps"), zero.alias("fps"), zero.alias("pos"),
+                     zero.alias("neg"), F.col("pos").alias("next_pos"), F.col("neg").alias("next_neg"))
+    pts = pts.select(*by, "all_pos", "all_neg", F.explode(F.when(F.col("idx") == 1, F.array(start, point)).otherwise(F.array(point))).alias("p"))
+    return pts.select(*by, "p.idx", "p.threshold", "p.tps", "p.fps",
+                      F.try_divide(F.col("p.fps"), F.col("all_neg")).alias("fpr"),
+                      F.try_divide(F.col("p.tps"), F.col("all_pos")).alias("tpr"),
+                      "p.pos", "p.neg", "p.next_pos", "p.next_neg", "all_pos", "all_neg")
 
 
 def roc_curve(preds: DataFrame, by=(), y_true: str = "y_true", score: str = "score",
@@ -78,22 +83,17 @@ def roc_curve(preds: DataFrame, by=(), y_true: str = "y_true", score: str = "sco
     start point is always kept.
     """
     pts = roc_points(preds, by, y_true, score)
-    if not drop_intermediate:
-        return pts.drop("tps", "fps")
-    nb = with_neighbor(with_neighbor(pts, by, "idx", ["tps", "fps"], -1, "_p"), by, "idx", ["tps", "fps"], 1, "_n")
-    first = F.col("idx") <= 1
-    last = F.col("tps_n").isNull()
-    bend = ((F.col("fps_n") - 2 * F.col("fps") + F.col("fps_p")) != 0) | \
-        ((F.col("tps_n") - 2 * F.col("tps") + F.col("tps_p")) != 0)
-    return nb.where(first | last | bend).select(*by, "idx", "threshold", "fpr", "tpr")
+    if drop_intermediate:
+        bend = (F.col("next_neg") != F.col("neg")) | (F.col("next_pos") != F.col("pos"))
+        pts = pts.where((F.col("idx") <= 1) | F.col("next_pos").isNull() | bend)
+    return pts.select(*by, "idx", "threshold", "fpr", "tpr")
 
 
 def auc(points: DataFrame, by=()) -> DataFrame:
-    """Trapezoid area under (fpr, tpr) ordered by ``idx``; one row per group."""
-    by = list(by)
-    nb = with_neighbor(points, by, "idx", ["fpr", "tpr"], -1, "_p")
-    area = (F.col("fpr") - F.col("fpr_p")) * (F.col("tpr") + F.col("tpr_p")) / 2.0
-    return nb.groupBy(*by).agg(F.sum(area).alias("auc"))
+    """Trapezoid area under the ``roc_points``; one row per group."""
+    fpr_p = F.try_divide(F.col("fps") - F.col("neg"), F.col("all_neg"))
+    tpr_p = F.try_divide(F.col("tps") - F.col("pos"), F.col("all_pos"))
+    return points.groupBy(*by).agg(F.sum((F.col("fpr") - fpr_p) * (F.col("tpr") + tpr_p) / 2.0).alias("auc"))
 
 
 def fpr_grid(spark, n: int = ROC_GRID_POINTS) -> DataFrame:
@@ -112,7 +112,8 @@ def interpolate_tpr(points: DataFrame, by=(), n: int = ROC_GRID_POINTS) -> DataF
     """
     by = list(by)
     step = 1.0 / (n - 1)
-    seg = with_neighbor(points.select(*by, "idx", "fpr", "tpr"), by, "idx", ["fpr", "tpr"], 1, "_n")
+    seg = points.select(*by, "idx", "fpr", "tpr", F.try_divide(F.col("fps") + F.col("next_neg"), F.col("all_neg")).alias("fpr_n"),
+                        F.try_divide(F.col("tps") + F.col("next_pos"), F.col("all_pos")).alias("tpr_n"))
     seg = seg.where(F.col("fpr_n").isNull() | (F.col("fpr_n") > F.col("fpr")))
     j_lo = F.greatest(F.floor(F.col("fpr") * (n - 1)) - 1, F.lit(0)).cast("int")
     j_hi = F.when(F.col("fpr_n").isNull(), F.lit(n - 1)).otherwise(
@@ -135,7 +136,8 @@ def mean_roc(interp: DataFrame, n: int = ROC_GRID_POINTS) -> DataFrame:
 
 def mean_auc(mean_curve: DataFrame, fold_aucs: DataFrame) -> DataFrame:
     """AUC of the mean curve (100 grid points) and population std of the per-curve AUCs."""
-    nb = with_neighbor(mean_curve, [], "j", ["fpr_mean", "tpr_mean"], -1, "_p")
+    w = Window.orderBy("j")  # the grid's points
+    nb = mean_curve.withColumns({f"{c}_p": F.lag(c).over(w) for c in ("fpr_mean", "tpr_mean")})
     area = (F.col("fpr_mean") - F.col("fpr_mean_p")) * (F.col("tpr_mean") + F.col("tpr_mean_p")) / 2.0
     std = fold_aucs.agg(F.stddev_pop("auc")).scalar()
     return nb.agg(F.sum(area).alias("auc_mean")).select("auc_mean", std.alias("auc_std"))

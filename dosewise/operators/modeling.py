@@ -6,8 +6,15 @@ Methods (name -> Spark estimator; an equivalent role, not equal numbers):
   ``regParam = 1 / (C * n_train)`` without standardisation.
 * ``RF`` -- random forest.
 * ``XGB`` -- gradient-boosted trees (``GBTClassifier``).
-* ``SVM`` -- RBF kernel approximated by random Fourier features (plain column
-  expressions), a ``LinearSVC`` and Platt scaling for probabilities.
+* ``SVM`` -- RBF kernel approximated by random Fourier features (a pandas UDF:
+  one matrix product per Arrow batch), a ``LinearSVC`` and Platt scaling for
+  probabilities.
+
+Unset hyper-parameters take the defaults of the single-machine libraries the
+analysis uses: an unset forest depth is unlimited (Spark's largest, 30), boosted
+trees have depth 6 and learning rate 0.3, ``C`` is 1.  The boosted ``gamma`` is a
+minimum loss reduction summed over the rows of a node, Spark's ``minInfoGain`` a
+reduction per row, so it is divided by the training rows.
 
 The driver only loops over configurations and folds; every fit, prediction
 and metric is a distributed job.  Tuning scores specificity (recall of class
@@ -16,7 +23,9 @@ and metric is a distributed job.  Tuning scores specificity (recall of class
 
 from __future__ import annotations
 
+import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +36,13 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut_lineage
-from .evaluation import auc, classification_metrics, interpolate_tpr, roc_points
-from .folds import group_folds, split_by_fold
+from .evaluation import auc, classification_metrics, interpolate_tpr, mean_auc, mean_roc, roc_points
+from .folds import group_folds
 from .reshape import _q
 from .scaling import chained_impute, minmax_fit, minmax_apply
 
@@ -48,6 +57,8 @@ GRIDS = {
     "SVM": {"C": [1, 10, 100], "gamma": [1, 0.1, 0.01, 0.001]},
 }
 # --- end fixed values -------------------------------------------------------
+MAX_DEPTH = 30  # the deepest trees Spark grows
+PARALLEL = 4  # steps or fits submitted at once; Spark shares the executors between them
 
 def specificity_evaluator() -> MulticlassClassificationEvaluator:
     """Tuning score: recall of class 0."""
@@ -98,13 +109,13 @@ def estimator(method: str, params: dict, n_train: int, seed: int):
                                   maxIter=100, tol=1e-4)
     if method == "RF":
         return RandomForestClassifier(numTrees=int(params.get("n_estimators", 100)),
-                                      maxDepth=int(params.get("max_depth", 5) or 5),
+                                      maxDepth=int(params.get("max_depth") or MAX_DEPTH),
                                       minInstancesPerNode=int(params.get("min_samples_leaf", 1)), seed=seed)
     if method == "XGB":
         return GBTClassifier(maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.3)),
-                             maxDepth=int(params.get("max_depth", 6) or 6),
+                             maxDepth=int(params.get("max_depth") or 6),
                              minInstancesPerNode=int(params.get("min_child_weight", 1)),
-                             minInfoGain=float(params.get("gamma", 0.0)) * 1e-3, seed=seed)
+                             minInfoGain=float(params.get("gamma", 0.0)) / max(n_train, 1), seed=seed)
     if method == "SVM":
         c = float(params.get("C", 1.0))
         return LinearSVC(regParam=1.0 / (c * max(n_train, 1)), maxIter=100, tol=1e-4, standardization=False)
@@ -172,29 +183,27 @@ def param_points(method: str, grid: dict | None = None) -> list:
 
 
 def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed: int, grid: dict | None = None,
-         inner_folds: int = 5, parallelism: int = 4) -> Fitted:
+         inner_folds: int = 5, parallelism: int = PARALLEL) -> Fitted:
     """Grid search maximising specificity over subject-grouped inner folds, then refit on all rows.
 
     Logistic/forest/boosted grids run through ``CrossValidator(foldCol=...)``;
     the SVM grid varies the feature map too, so each point is scored directly.
     """
     folds = group_folds(df, id_col, label_col, inner_folds, seed).select(id_col, "fold")
-    data = df.join(folds, id_col, "inner")
+    data = cut_lineage(df.join(folds, id_col, "inner"))
     n = data.count()
     pts = param_points(method, grid)
     if method == "SVM":
-        best, best_score = None, -1.0
-        for p in pts:
-            scores = []
-            for f in range(inner_folds):
-                tr, te = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-                m = fit(tr, features, label_col, method, p, seed)
-                pr = m.transform(te)
-                scores.append(classification_metrics(pr, [], label_col, "y_pred").first()["specificity"])
-            s = float(np.mean(scores))
-            if s > best_score:
-                best, best_score = p, s
-        return fit(df, features, label_col, method, best, seed, n)
+        def score(point):
+            p, f = point
+            m = fit(data.where(F.col("fold") != f), features, label_col, method, p, seed)
+            pr = m.transform(data.where(F.col("fold") == f))
+            return classification_metrics(pr, [], label_col, "y_pred").first()["specificity"]
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = list(pool.map(score, [(p, f) for p in pts for f in range(inner_folds)]))
+        means = [float(np.mean(scores[i * inner_folds:(i + 1) * inner_folds])) for i in range(len(pts))]
+        return fit(df, features, label_col, method, pts[int(np.argmax(means))], seed, n)
     est = estimator(method, pts[0], n, seed)
     builder = ParamGridBuilder()
     if method == "LogisticR":
@@ -205,7 +214,7 @@ def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed
             .addGrid(est.minInstancesPerNode, g["min_samples_leaf"])
     elif method == "XGB":
         g = grid or GRIDS["XGB"]
-        builder = builder.addGrid(est.minInfoGain, [x * 1e-3 for x in g["gamma"]]) \
+        builder = builder.addGrid(est.minInfoGain, [x / max(n, 1) for x in g["gamma"]]) \
             .addGrid(est.stepSize, g["learning_rate"]).addGrid(est.maxDepth, g["max_depth"]) \
             .addGrid(est.minInstancesPerNode, g["min_child_weight"]).addGrid(est.maxIter, g["n_estimators"])
     cv = CrossValidator(estimator=Pipeline(stages=[est]), estimatorParamMaps=builder.build(), evaluator=specificity_evaluator(), numFolds=inner_folds,
@@ -220,7 +229,7 @@ def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed
 
 def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_col: str, method: str, seed: int,
                params: dict | None = None, tuned: bool = False, select_feats: bool = False,
-               impute: bool = True, oversample: bool = True, nominal=()):
+               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None):
     """One train/test step: impute -> oversample (SMOTE / SMOTE-NC) -> (select) -> scale (LR/SVM)
     -> fit/tune -> predict.
 
@@ -237,20 +246,16 @@ def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_c
         if any(nulls):
             train, test = chained_impute(train, [train, test], feats)
     if oversample:
-        from ..session import conf_override
-
         noms = [c for c in nominal if c in feats]
-        # wide interpolation projections over checkpointed lag tables: see attribution.py on constraints
-        with conf_override(train.sparkSession, spark__sql__constraintPropagation__enabled="false"):
-            train = cut_lineage(smote(train.select(id_col, label_col, *[_q(f) for f in feats]), feats, label_col,
-                                      id_col, k=5, seed=seed, nominal=noms).drop("synthetic"))
+        train = cut_lineage(smote(train.select(id_col, label_col, *[_q(f) for f in feats]), feats, label_col,
+                                  id_col, k=5, seed=seed, nominal=noms).drop("synthetic"))
     if select_feats:
         feats = select_by_forest(train, feats, label_col, seed)
     if method in ("LogisticR", "SVM"):
         rng = minmax_fit(train, feats)
         train, test = minmax_apply(train, rng), minmax_apply(test, rng)
     model = tune(train, feats, label_col, id_col, method, seed) if tuned else \
-        fit(train, feats, label_col, method, params, seed)
+        fit(train, feats, label_col, method, params, seed if model_seed is None else model_seed)
     keep = [id_col, F.col(_q(label_col)).cast("int").alias("y_true")]
     tr = model.transform(train.select(*keep, *[_q(f) for f in feats]))
     te = model.transform(test.select(*keep, *[_q(f) for f in feats]))
@@ -261,14 +266,19 @@ def cross_validate(df: DataFrame, features, label_col: str, id_col: str, method:
                    **kw) -> DataFrame:
     """Subject-grouped k-fold CV; pooled predictions with ``fold`` and ``type`` (train/test)."""
     folds = group_folds(df, id_col, label_col, k, seed).select(id_col, "fold")
-    folds = cut_lineage(folds)
-    out = None
-    for f in range(k):
-        tr, te = split_by_fold(df, folds, id_col, f)
+    data = cut_lineage(df.join(folds, id_col, "inner"))  # read by every fold
+
+    def step(f):
+        tr, te = (data.where(F.col("fold") != f).drop("fold"), data.where(F.col("fold") == f).drop("fold"))
         ptr, pte, _, _ = train_test(tr, te, features, label_col, id_col, method, seed, **kw)
         part = ptr.withColumn("type", F.lit("train")).unionByName(pte.withColumn("type", F.lit("test")))
-        part = part.withColumn("fold", F.lit(f))
-        out = part if out is None else out.unionByName(part)
+        return cut_lineage(part.withColumn("fold", F.lit(f)))
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        parts = list(pool.map(step, range(k)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -276,12 +286,11 @@ def repeated_cv(df: DataFrame, features, label_col: str, id_col: str, method: st
     """Runs with seeds 0..runs-1.
 
     Returns (metrics per run and type, per-fold test AUCs, interpolated test
-    ROC per run and fold).  Predictions of each run are checkpointed once.
+    ROC per run and fold).  Each fold's predictions are checkpointed once.
     """
     mets, aucs, rocs = None, None, None
     for run in range(runs):
-        preds = cut_lineage(cross_validate(df, features, label_col, id_col, method, run, k, **kw)
-                            .withColumn("run", F.lit(run)))
+        preds = cross_validate(df, features, label_col, id_col, method, run, k, **kw).withColumn("run", F.lit(run))
         m = classification_metrics(preds, ["run", "type"]).withColumn("random_state", F.col("run"))
         test = preds.where(F.col("type") == "test")
         pts = roc_points(test, ["run", "fold"])
@@ -310,7 +319,9 @@ def predict_all_methods(fs, methods=METHODS, tuned: bool = False, select_feats:
     """Every method on one prepared feature set: repeated CV rows and the final model rows.
 
     Returns a dict of DataFrames (pred, auc, roc, final_pred, final_auc), each
-    carrying the configuration columns used by the report layer.
+    carrying the configuration columns used by the report layer.  ``roc`` is the
+    mean curve over all runs and folds, ``auc`` its area and the spread of the
+    folds' areas.
     """
     df = cut_lineage(fs.df)
     feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
@@ -326,31 +337,34 @@ def predict_all_methods(fs, methods=METHODS, tuned: bool = False, select_feats:
         p = (params or {}).get(method)
         if repeated:
             mets, aucs, rocs = repeated_cv(df, feats, fs.target_col, fs.id_col, method, runs, k, params=p,
-                                           tuned=tuned, select_feats=select_feats, impute=False)
+                                           tuned=tuned, select_feats=select_feats, impute=False,
+                                           nominal=list(fs.nominal_cols))
+            curve = cut_lineage(mean_roc(rocs))
             add("pred", mets)
-            add("auc", aucs.groupBy("method").agg(F.avg("auc").alias("auc_mean"),
-                                                  F.stddev_pop("auc").alias("auc_std")))
-            add("roc", rocs)
+            add("auc", mean_auc(curve, aucs).select(F.lit(method).alias("method"), "*"))
+            add("roc", curve.select(F.lit(method).alias("method"), "*"))
         mets, a, _, _, _ = final_model(df, feats, fs.target_col, fs.id_col, method, params=p, tuned=tuned,
-                                       select_feats=select_feats, impute=False)
+                                       select_feats=select_feats, impute=False, nominal=list(fs.nominal_cols))
         add("final_pred", mets)
         add("final_auc", a)
     return out
 
 
-def tune_lags(fs, lag_range=range(1, 8), depth_range=range(1, 6), runs: int = 5, k: int = 5,
-              exclusion: dict | None = None):
+def tune_lags(fs, lag_range=None, depth_range=range(1, 6), runs: int = 5, k: int = 5, exclusion: dict | None = None,
+              params: dict | None = None):
     """Lag-count x forest-depth sweep (random forest, untuned) on one horizon feature set.
 
-    Drops the ramp-up periods first (``horizon > threshold``), prepares the
-    maximum lag frame per lag count, and returns final-model metric rows with
-    ``n_lags`` and ``max_depth`` for ``results.lag_tuning_curve``.  The input
-    feature set is not modified.
+    Drops the ramp-up periods first (``horizon > threshold``), prepares the lag
+    frame per lag count (1-7, for months 1-4) and runs the repeated CV per depth.
+    The split and SMOTE seeds are the CV's run numbers, the forest's seed is its
+    depth.  Returns the metric rows with ``n_lags`` and ``max_depth`` for
+    ``results.lag_tuning_curve``.  The input feature set is not modified.
     """
     from ..config import LAG_TUNING_EXCLUSION
     from .clock import horizon_exclusion
     from .lagging import prepare
 
+    lag_range = lag_range or (range(1, 5) if fs.horizon == "study_month" else range(1, 8))
     thr = (exclusion or LAG_TUNING_EXCLUSION)[fs.horizon]
     base = fs.with_df(horizon_exclusion(fs.df, fs.horizon, thr))
     rows = None
@@ -359,9 +373,31 @@ def tune_lags(fs, lag_range=range(1, 8), depth_range=range(1, 6), runs: int = 5,
         df = cut_lineage(lagged.df)
         feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
         for depth in depth_range:
-            mets, _, _, _, _ = final_model(df, feats, fs.target_col, fs.id_col, "RF", seed=depth,
-                                           params={"max_depth": depth, "n_estimators": 100}, impute=False)
-            part = mets.select(F.lit(fs.name).alias("featureset"), F.lit(n).alias("n_lags"),
-                               F.lit(depth).alias("max_depth"), "*")
+            mets, _, _ = repeated_cv(df, feats, fs.target_col, fs.id_col, "RF", runs, k, impute=False, nominal=list(lagged.nominal_cols),
+                                     params={"n_estimators": 100, **(params or {}), "max_depth": depth}, model_seed=depth)
+            part = mets.select(F.lit(fs.name).alias("featureset"), F.lit(n).alias("n_lags"), F.lit(depth).alias("max_depth"), "*")
             rows = part if rows is None else rows.unionByName(part)
     return rows
+
+
+def save_fitted(model: Fitted, path: str) -> None:
+    """Write a fitted model under ``path``: its Spark model(s), and one row of parameters and feature names."""
+    spark = SparkSession.getActiveSession()
+    model.model.write().overwrite().save(f"{path}/model")
+    if model.platt is not None:
+        model.platt.write().overwrite().save(f"{path}/platt")
+    info = {"method": model.method, "features": list(model.features), "params": model.params, "kind": type(model.model).__name__,
+            "rff": None if model.rff is None else vars(model.rff)}
+    spark.createDataFrame([(json.dumps(info),)], "info string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+
+
+def load_fitted(path: str) -> Fitted:
+    """Read what ``save_fitted`` wrote."""
+    from pyspark.ml import classification
+
+    spark = SparkSession.getActiveSession()
+    info = json.loads(spark.read.text(f"{path}/info").first()["value"])
+    model = getattr(classification, info["kind"]).load(f"{path}/model")
+    rff = RFF(**info["rff"]) if info["rff"] else None
+    platt = classification.LogisticRegressionModel.load(f"{path}/platt") if rff else None
+    return Fitted(info["method"], model, info["features"], info["params"], rff, platt)

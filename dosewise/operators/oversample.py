@@ -1,31 +1,34 @@
-"""SMOTE / SMOTE-NC oversampling with an exact k-nearest-neighbour search.
-
-Neighbour search (exact, no all-pairs join, no candidate cap):
-
-1. Minority rows are ranked along a random unit direction u (projection
-   t = u.x), with the two-level scan (no single-task window).
-2. Each row compares itself with the rows within +-h ranks (an equi-join on
-   exploded rank offsets: 2h candidate pairs per row).
-3. A row is *certified* when its k-th smallest distance r is at most the
-   projection gap to both window edges: every row outside the window differs
-   by at least that gap along u, hence is at least that far in full space, and
-   distance ties go to the nearer rank, so an outside row cannot displace one.
-4. Uncertified rows repeat with h x 4 until every row is certified or its
-   window spans all rows.  Identical vectors share t and sit next to each other,
-   so a block of duplicates certifies at distance 0 in the first round.
+"""SMOTE / SMOTE-NC oversampling on nearest neighbours from a forest of random projections.
+
+Neighbour search works on the *distinct* vectors of the minority class with
+their multiplicities (a copy is a neighbour at distance 0):
+
+* ``TREES`` trees cut the vectors along random directions.  A level cuts every
+  node into ``WAYS`` parts at the quantiles of its projections (one aggregate
+  and one join), until a leaf holds about ``LEAF`` vectors; a node whose
+  vectors do not part along one direction is cut along the next.
+* Each leaf compares its own vectors (a bounded matrix product) and emits the k
+  nearest per vector; the trees' lists are merged per vector.
+
+With one leaf (up to ``LEAF`` distinct vectors) the neighbours are exact, beyond
+that approximate; every minority row is kept as base row either way, and the
+compared pairs grow with the rows (at most TREES x leaf size per vector).
 
 Synthetic rows: the minority class is topped up to the majority size; base
 rows are dealt round-robin in seeded-hash order, each synthetic row takes a
 seeded neighbour among the base row's k nearest and a seeded gap u in [0, 1):
-x + u (x_nn - x).  Nominal columns (SMOTE-NC) take the most frequent value
-among the k neighbours (lowest on ties) and add ``median_std^2`` to the
-squared distance per mismatch.  A synthetic row keeps its base row's subject
-id, so grouped folds never split a subject's synthetic rows from it.
+x + u (x_nn - x).  Continuous features are doubles in the result, so
+interpolated values keep their fraction whatever the input type.  Nominal
+columns (SMOTE-NC) take the most frequent value among the k neighbours (lowest
+on ties) and add ``median_std^2`` to the squared distance per mismatch.  A
+synthetic row keeps its base row's subject id, so grouped folds never split a
+subject's synthetic rows from it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,90 +36,113 @@ from .folds import seeded_hash
 from .reshape import _q
 from .scan import running_sums
 
+TREES = 4
+LEAF = 256
+WAYS = 16
+MAX_LEVELS = 40
 
-def _sqdist(a: str, b: str):
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                       lambda acc, v: acc + v)
 
+def _dot(vec: str, direction: np.ndarray):
+    return F.aggregate(F.zip_with(F.col(vec), F.array(*[F.lit(float(x)) for x in direction]), lambda a, b: a * b),
+                       F.lit(0.0), lambda acc, v: acc + v)
 
-def exact_knn(points: DataFrame, k: int, key: str = "_pid", vec: str = "_v", seed: int = 0,
-              nominal_vec: str | None = None, nominal_penalty: float = 0.0, buckets: int = 1024):
-    """k nearest other points of every point: (key, nb_key, dist2, nb_rank 1..k).
 
-    ``points`` has a unique ``key`` and a dense ``vec`` array<double>.
-    """
+def _nominal_shift(level: int):
+    """Seeded pseudo-random number in [-1, 1) of each nominal value, summed."""
+    return F.aggregate(F.transform("_nv", lambda x, i: F.crc32(F.concat(F.lit(f"{level}|"), i.cast("string"), F.lit("|"), x).cast("binary"))
+                                   / F.lit(2.0 ** 31) - 1.0), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def _leaves(points: DataFrame, n: int, seed: int, penalty: float, leaf: int, trees: int) -> DataFrame:
+    """points x trees with the ``_leaf`` path of each; a leaf holds about ``leaf`` points."""
     from ..session import cut_lineage
 
-    dim = len(points.select(vec).first()[0])
+    dim = len(points.select("_v").first()[0])
     rng = np.random.default_rng(seed)
-    u = rng.normal(size=dim)
-    u = u / np.linalg.norm(u)
-    t = F.aggregate(F.zip_with(F.col(vec), F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b),
-                    F.lit(0.0), lambda acc, v: acc + v)
-    pts = points.withColumn("_t", t)
-    lo_hi = pts.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
-    span = (lo_hi["hi"] - lo_hi["lo"]) or 1.0
-    bucket = F.least(F.floor((F.col("_t") - F.lit(lo_hi["lo"])) / F.lit(span) * buckets), F.lit(buckets - 1))
-    ranked = running_sums(pts.withColumn("_ord", F.struct("_t", key)), [], "_ord", bucket.cast("int"), [],
-                          descending=False, index_col="_r")
-    cols = [key, vec, "_t", "_r"] + ([nominal_vec] if nominal_vec else [])
-    ranked = cut_lineage(ranked.select(*cols))
-    n = ranked.count()
-    other = ranked.select(*[F.col(c).alias("o" + c) for c in cols])
-    todo = ranked.select(key, "_r", "_t")
-    done = None
-    h = max(k, 1)
-    while True:
-        cand = todo.withColumn("_off", F.explode(F.sequence(F.lit(-h), F.lit(h)))).where(F.col("_off") != 0)
-        cand = cand.withColumn("o_r", F.col("_r") + F.col("_off")).where((F.col("o_r") >= 1) & (F.col("o_r") <= n))
-        pairs = cand.join(other, "o_r").join(ranked.select(key, *[c for c in cols if c not in (key, "_r", "_t")]), key)
-        d2 = _sqdist(vec, "o" + vec)
-        if nominal_vec:
-            mism = F.aggregate(F.zip_with(F.col(nominal_vec), F.col("o" + nominal_vec),
-                                          lambda a, b: F.when(a == b, 0.0).otherwise(1.0)), F.lit(0.0),
-                               lambda acc, v: acc + v)
-            d2 = d2 + F.lit(float(nominal_penalty)) * mism
-        pairs = pairs.select(key, "_r", "_t", "o_r", "o_t", F.col("o" + key).alias("nb"), d2.alias("dist2"))
-        # ties in distance go to the nearer rank, so a row outside the window can never win a tie
-        w = Window.partitionBy(key).orderBy("dist2", F.abs(F.col("o_r") - F.col("_r")), "nb")  # <= 2h rows
-        top = pairs.withColumn("nb_rank", F.row_number().over(w)).where(F.col("nb_rank") <= k)
-        # window edges along u
-        edges = pairs.groupBy(key).agg(F.min("o_t").alias("t_lo"), F.max("o_t").alias("t_hi"))
-        kth = top.groupBy(key).agg(F.max("dist2").alias("r2"), F.count(F.lit(1)).alias("m"))
-        st = todo.join(edges, key).join(kth, key)
-        # no rows beyond an edge once the window reaches rank 1 / rank n
-        left_end, right_end = F.col("_r") - h <= 1, F.col("_r") + h >= n
-        gap_l = F.when(left_end, F.lit(float("inf"))).otherwise(F.col("_t") - F.col("t_lo"))
-        gap_r = F.when(right_end, F.lit(float("inf"))).otherwise(F.col("t_hi") - F.col("_t"))
-        whole = left_end & right_end
-        ok = whole | ((F.col("m") >= k) & (F.sqrt("r2") <= F.least(gap_l, gap_r)))
-        st = cut_lineage(st.withColumn("_ok", ok).select(key, "_r", "_t", "_ok"))
-        good = top.join(st.where("_ok").select(key), key).select(key, "nb", "dist2", "nb_rank")
-        good = cut_lineage(good)
-        done = good if done is None else done.unionByName(good)
-        todo = st.where(~F.col("_ok")).select(key, "_r", "_t")
-        if todo.limit(1).count() == 0:
-            break
-        h *= 4
-    return done
+    now = points.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_leaf", F.lit(""))
+    level = 0
+    while n > leaf and level < MAX_LEVELS:
+        axes = rng.normal(size=(trees, max(dim, 1)))
+        t = F.coalesce(*[F.when(F.col("_tree") == i, _dot("_v", axes[i]) if dim else F.lit(0.0)) for i in range(trees)])
+        if penalty:
+            t = t + F.lit(float(np.sqrt(penalty))) * _nominal_shift(level)
+        part = now.withColumn("_t", t)
+        cuts = part.groupBy("_tree", "_leaf").agg(
+            F.percentile_approx("_t", [i / WAYS for i in range(1, WAYS)], 10000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
+        part = part.join(cuts, ["_tree", "_leaf"])
+        child = F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (F.col("_t") > c).cast("int"))
+        part = part.withColumn("_leaf", F.when(F.col("_n") > leaf, F.concat("_leaf", F.lit("/"), child.cast("string"))).otherwise(F.col("_leaf")))
+        now = cut_lineage(part.drop("_t", "_cuts", "_n"))
+        sizes = now.groupBy("_tree", "_leaf").agg(F.count(F.lit(1)).alias("_n"))
+        level += 1
+        n = sizes.agg(F.max("_n")).first()[0]
+    return now
+
+
+def _near(k: int, penalty: float):
+    """Per leaf, the k nearest other vectors of each vector."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf["_v"].to_numpy()).astype(float) if len(pdf["_v"].iloc[0]) else np.zeros((len(pdf), 0))
+        d2 = np.zeros((len(x), len(x)))
+        for j in range(x.shape[1]):
+            d2 += (x[:, j, None] - x[None, :, j]) ** 2
+        if penalty:
+            nom = np.array([list(v) for v in pdf["_nv"]], object)
+            for j in range(nom.shape[1]):
+                codes = pd.factorize(nom[:, j], use_na_sentinel=False)[0]
+                d2 += penalty * (codes[:, None] != codes[None, :])
+        np.fill_diagonal(d2, np.inf)
+        ids = pdf["_vid"].to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        take = min(k, len(ids) - 1)
+        # the least distances, ties to the smaller id
+        order = by_id[np.argsort(d2[:, by_id], axis=1, kind="stable")[:, :take]]
+        return pd.DataFrame({"_vid": np.repeat(ids, take), "nb": ids[order].ravel(),
+                             "dist2": np.take_along_axis(d2, order, axis=1).ravel()})
+    return run
+
+
+def near_vectors(points: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
+    """(_vid, nb, dist2): the k nearest other vectors of each of ``points`` (_vid, _v[, _nv]), which are distinct."""
+    n = points.count()
+    cols = ["_vid", "_v"] + (["_nv"] if penalty else [])
+    pts = _leaves(points.select(*cols), n, seed, penalty, leaf, trees if n > leaf else 1)
+    found = pts.groupBy("_tree", "_leaf").applyInPandas(_near(k, penalty), "_vid string, nb string, dist2 double")
+    best = found.groupBy("_vid", "nb").agg(F.min("dist2").alias("dist2"))
+    w = Window.partitionBy("_vid").orderBy("dist2", "nb")  # at most trees x k rows
+    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def neighbours(rows: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
+    """Per distinct vector of ``rows`` (_v, _nv): _vid, _v, _nv and ``_nb``, its k nearest rows' (_v, _nv), copies counted."""
+    from ..session import cut_lineage
+
+    vid = F.md5(F.concat_ws("|", F.transform("_v", lambda x: x.cast("string")), F.lit("#"), F.coalesce(F.to_json("_nv"), F.lit(""))))
+    pts = cut_lineage(rows.groupBy("_v", "_nv").agg(F.count(F.lit(1)).alias("_m")).withColumn("_vid", vid))
+    near = near_vectors(pts, k, seed, penalty, leaf, trees)
+    other = pts.select(F.col("_vid").alias("nb"), F.struct("_v", "_nv").alias("_x"), "_m")
+    lists = near.join(other, "nb").groupBy("_vid").agg(F.array_sort(F.collect_list(F.struct("dist2", "nb", "_x", "_m"))).alias("_l"))
+    copies = F.array_repeat(F.struct("_v", "_nv"), F.least(F.col("_m") - 1, F.lit(k)).cast("int"))
+    others = F.flatten(F.transform(F.coalesce("_l", F.array()), lambda x: F.array_repeat(x["_x"], F.least(x["_m"], F.lit(k)).cast("int"))))
+    joined = pts.join(lists, "_vid", "left")
+    return joined.select("_vid", "_v", "_nv", F.slice(F.concat(copies, F.when(F.col("_l").isNull(), F.array().cast(
+        joined.select(copies.alias("c")).schema["c"].dataType)).otherwise(others)), 1, k).alias("_nb"))
 
 
 def smote(df: DataFrame, features, label_col: str, id_col: str, k: int = 5, seed: int = 0,
           nominal=()) -> DataFrame:
     """Original rows plus synthetic minority rows so both classes have the same count.
 
-    Adds ``synthetic`` (0/1).  ``nominal`` columns switch to SMOTE-NC.  When the
-    minority class has at most ``k`` rows, ``k`` falls back to (minority - 1).
+    Adds ``synthetic`` (0/1); continuous features become doubles.  ``nominal``
+    columns switch to SMOTE-NC.  When the minority class has at most ``k`` rows,
+    ``k`` falls back to (minority - 1).
     """
-    from ..session import conf_override, cut_lineage
-
-    with conf_override(df.sparkSession, spark__sql__constraintPropagation__enabled="false"):
-        return _smote(df, features, label_col, id_col, k, seed, nominal, cut_lineage)
-
+    from ..session import cut_lineage
 
-def _smote(df, features, label_col, id_col, k, seed, nominal, cut_lineage):
     feats = [f for f in features if f not in nominal]
     nominal = list(nominal)
+    types = dict(df.dtypes)
+    df = df.withColumns({f: F.col(_q(f)).cast("double") for f in feats})
     counts = {r[label_col]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return df.withColumn("synthetic", F.lit(0))
@@ -126,40 +152,39 @@ def _smote(df, features, label_col, id_col, k, seed, nominal, cut_lineage):
     k_eff = min(k, n_min - 1)
     if n_new == 0 or k_eff < 1:
         return df.withColumn("synthetic", F.lit(0))
-    mino = df.where(F.col(label_col) == minority)
-    key_cols = [id_col] + list(features)
-    # a unique, deterministic point key: subject id + seeded hash rank of the row content
-    mino = mino.withColumn("_h", seeded_hash(seed, *[F.col(_q(c)) for c in key_cols]))
-    mino = running_sums(mino.withColumn("_ord", F.struct("_h", *[F.col(_q(c)) for c in key_cols])), [], "_ord",
-                        F.floor(F.col("_h") / F.lit(2 ** 22)).cast("int"), [], descending=False, index_col="_pid")
-    mino = cut_lineage(mino.withColumn("_v", F.array(*[F.col(_q(f)).cast("double") for f in feats]))
-                       .withColumn("_nv", F.array(*[F.col(_q(c)).cast("string") for c in nominal]) if nominal
-                                   else F.lit(None).cast("array<string>")))
+    # the features travel as one array (two with nominals): no wide projections until the result
+    mino = df.where(F.col(label_col) == minority).select(
+        F.col(_q(id_col)).alias("_id"), F.array(*[F.col(_q(f)) for f in feats]).cast("array<double>").alias("_v"),
+        F.array(*[F.col(_q(c)).cast("string") for c in nominal]).cast("array<string>").alias("_nv"))
+    order = ["_id", "_v", "_nv"]
+    mino = mino.withColumn("_h", seeded_hash(seed, "_id", F.concat_ws(",", F.transform("_v", lambda x: x.cast("string")), "_nv")))
+    mino = running_sums(mino.withColumn("_ord", F.struct("_h", *order)), [], "_ord", F.floor(F.col("_h") / F.lit(2 ** 22)).cast("int"), [],
+                        descending=False, index_col="_pid")
+    mino = cut_lineage(mino.select("_pid", "_id", "_v", "_nv"))
     penalty = 0.0
     if nominal:
-        sds = mino.agg(*[F.stddev_samp(_q(f)).alias(f"s{i}") for i, f in enumerate(feats)]).first()
-        penalty = float(np.median([sds[f"s{i}"] or 0.0 for i in range(len(feats))])) ** 2
-    nn = exact_knn(mino.select("_pid", "_v", "_nv") if nominal else mino.select("_pid", "_v"), k_eff, "_pid", "_v",
-                   seed, "_nv" if nominal else None, penalty)
+        sds = mino.select(F.posexplode("_v")).groupBy("pos").agg(F.stddev_samp("col").alias("s")).collect()
+        penalty = float(np.median([r["s"] or 0.0 for r in sds])) ** 2 if sds else 1.0
+    nn = cut_lineage(neighbours(mino, k_eff, seed, penalty))
     # deal n_new synthetic rows round-robin over the minority rows (in seeded order = _pid)
     q, rem = divmod(n_new, n_min)
     reps = F.lit(q) + F.when(F.col("_pid") <= rem, 1).otherwise(0)
-    base = mino.withColumn("_j", F.explode(F.when(reps > 0, F.sequence(F.lit(1), reps))
-                                          .otherwise(F.array().cast("array<int>"))))
-    base = base.withColumn("_pick", (seeded_hash(seed, "_pid", "_j") % k_eff + 1).cast("int")) \
-        .withColumn("_gap", seeded_hash(seed + 1, "_pid", "_j") / F.lit(float(2 ** 32)))
-    nb = nn.select(F.col("_pid"), F.col("nb_rank").alias("_pick"), F.col("nb").alias("_nb"))
-    nbv = mino.select(F.col("_pid").alias("_nb"), F.col("_v").alias("_nv_v"))
-    syn = base.join(nb, ["_pid", "_pick"]).join(nbv, "_nb")
-    vals = {f: F.element_at("_v", i + 1) + F.col("_gap") * (F.element_at("_nv_v", i + 1) - F.element_at("_v", i + 1))
-            for i, f in enumerate(feats)}
-    syn = syn.withColumns(vals)
-    if nominal:
-        allnb = nn.join(mino.select(F.col("_pid").alias("nb"), *[F.col(_q(c)).alias(f"_n_{i}")
-                                                                 for i, c in enumerate(nominal)]), "nb")
-        modes = allnb.groupBy("_pid").agg(*[F.mode(f"_n_{i}", True).alias(f"_m_{i}") for i in range(len(nominal))])
-        syn = syn.join(modes, "_pid").withColumns({c: F.col(f"_m_{i}") for i, c in enumerate(nominal)})
-    cols = df.columns
-    syn = syn.select(*[F.col(_q(c)).cast(dict(df.dtypes)[c]).alias(c) if c in vals or c in nominal else F.col(_q(c))
-                       for c in cols]).withColumn("synthetic", F.lit(1))
+    base = mino.withColumn("_j", F.explode(F.when(reps > 0, F.sequence(F.lit(1), reps)).otherwise(F.array().cast("array<int>"))))
+    base = base.withColumns({"_pick": (seeded_hash(seed, "_pid", "_j") % k_eff).cast("int"),
+                             "_gap": seeded_hash(seed + 1, "_pid", "_j") / F.lit(float(2 ** 32))})
+    syn = base.join(nn.drop("_vid"), ["_v", "_nv"])
+    syn = syn.withColumn("_to", F.get("_nb", F.col("_pick") % F.size("_nb")))
+    value = F.zip_with("_v", F.col("_to")["_v"], lambda a, b: (b - a))
+    syn = syn.withColumn("_new", F.zip_with("_v", value, lambda a, d: a + F.col("_gap") * d))
+
+    def most(i):
+        """Most frequent value of nominal i among the neighbours, lowest on ties."""
+        vals = F.array_sort(F.transform("_nb", lambda x: F.get(x["_nv"], i)))
+        ranked = F.transform(F.array_distinct(vals), lambda v: F.struct((-F.size(F.filter(vals, lambda x: x.eqNullSafe(v)))).alias("n"), v.alias("v")))
+        return F.array_min(ranked)["v"]
+
+    made = {f: F.get("_new", i) for i, f in enumerate(feats)}
+    made |= {c: most(i).cast(types[c]) for i, c in enumerate(nominal)}
+    made |= {id_col: F.col("_id"), label_col: F.lit(minority).cast(types[label_col])}
+    syn = syn.select(*[made[c].alias(c) if c in made else F.lit(None).cast(types[c]).alias(c) for c in df.columns]).withColumn("synthetic", F.lit(1))
     return df.withColumn("synthetic", F.lit(0)).unionByName(syn)

@@ -30,6 +30,8 @@ def day_groups(columns, date_re: str = r"^date(\d{3})$", slot_re: str = r"^MEMS_
     for c in columns:
         m = re.search(date_re, c)
         if not m:
+            if re.fullmatch(r"date\d+", c):
+                raise ValueError(f"day column {c} does not match {date_re}; pass a date_re that does")
             continue
         day = int(m.group(1))
         times = [t for t in columns if re.search(slot_re.format(date=re.escape(c)), t)]
@@ -91,10 +93,3 @@ def wide_to_long(df: DataFrame, id_col: str = "PtID", enroll_col: str = "DateEnr
     return long.select(id_col, "enroll", "date", "day_idx", "slot", "time", "datetime", "numtimes",
                        "interval_s", "withinrange")
 
-
-def long_to_wide_days(long: DataFrame, id_col: str, day_col: str, slot_col: str, value_col: str,
-                      days, slots) -> DataFrame:
-    """Inverse layout helper (tests/round trips): one column per (day, slot)."""
-    aggs = [F.max(F.when((F.col(day_col) == d) & (F.col(slot_col) == s), F.col(value_col))).alias(f"d{d:03d}_s{s}")
-            for d in days for s in slots]
-    return long.groupBy(id_col).agg(*aggs)

@@ -47,12 +47,35 @@ def tags_from_file_name(col: str = "file_stem") -> dict:
     return {"method": parts.getItem(2), "featureset": F.concat_ws("_", F.slice(parts, 1, 2))}
 
 
-def read_csv_glob(spark: SparkSession, pattern: str) -> DataFrame:
-    """Stack every CSV matching ``pattern`` (headers unioned by name), with the file stem as a column."""
-    df = spark.read.option("header", True).csv(pattern)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    df = df.withColumn("file_stem", stem)
-    return df.drop("Unnamed: 0", "_c0") if any(c in df.columns for c in ("Unnamed: 0", "_c0")) else df
+def read_csv_glob(spark: SparkSession, pattern: str, final: bool | None = None) -> DataFrame:
+    """Stack every CSV matching ``pattern`` by column name, with its stem as ``file_stem``.
+
+    Files with the same header are read together (Spark binds CSV columns by
+    position); the groups are united by name, with NULL where a file has no such
+    column.  ``final`` routes on the stem.  The stem of a part file is its folder's.
+    """
+    path = F.col("_metadata.file_path")
+    heads = spark.read.text(pattern, lineSep="\n").select(path.alias("path"), "value", F.col("_metadata.file_block_start").alias("start"))
+    # one row per result file: its first line
+    heads = heads.where("start = 0").groupBy("path").agg(F.first("value").alias("head")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["path"]):
+        groups.setdefault(r["head"].rstrip("\r"), []).append(r["path"])
+    name = F.element_at(F.split(path, "/"), -1)
+    name = F.when(name.startswith("part-"), F.element_at(F.split(path, "/"), -2)).otherwise(name)
+    out = None
+    for paths in groups.values():
+        df = spark.read.option("header", True).csv(paths).withColumn("file_stem", F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1))
+        df = df.drop("Unnamed: 0", "_c0")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(pattern)
+    return out if final is None else out.where(F.col("file_stem").contains("final") == F.lit(final))
+
+
+def pretty_columns(df: DataFrame) -> DataFrame:
+    """Column names for display: first letter upper-case, underscores as spaces."""
+    return df.toDF(*[(c[:1].upper() + c[1:]).replace("_", " ") for c in df.columns])
 
 
 def summarize(pred: DataFrame, auc: DataFrame | None = None, by=CONFIG, metrics=METRICS) -> DataFrame:

@@ -36,8 +36,12 @@ def mode_fill(df: DataFrame, cols, fit_df: DataFrame | None = None) -> DataFrame
     """Fill NULLs with the column mode of ``fit_df`` (lowest value on ties)."""
     cols = list(cols)
     src = fit_df if fit_df is not None else df
-    row = src.agg(*[F.mode(_q(c), True).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return df.withColumns({c: F.coalesce(F.col(_q(c)), F.lit(row[f"m{i}"])) for i, c in enumerate(cols)})
+    modes = {}
+    for c in cols:  # counts per value, then the largest: no task holds all values
+        top = src.where(F.col(_q(c)).isNotNull()).groupBy(F.col(_q(c)).alias("v")).agg(F.count(F.lit(1)).alias("n")) \
+            .orderBy(F.col("n").desc(), "v").first()
+        modes[c] = top["v"] if top else None
+    return df.withColumns({c: F.coalesce(F.col(_q(c)), F.lit(v)) for c, v in modes.items() if v is not None})
 
 
 def _ridge_stats(df: DataFrame, target: str, others, means: dict):
@@ -73,7 +77,9 @@ def chained_impute(fit_df: DataFrame, apply_dfs, cols, rounds: int = 10, alpha:
     a p x p solve on the driver -- and fill that column's gaps with the
     prediction, a column expression.  The fitted sequence is replayed on every
     frame in ``apply_dfs``; frames are checkpointed after each round so plans
-    stay short.  Returns the imputed ``apply_dfs`` (a list).
+    stay short.  Columns with gaps in an apply frame only are regressed too.
+    ``alpha`` is the ridge weight on the columns as they are (unscaled): it only
+    keeps the solve stable.  Returns the imputed ``apply_dfs`` (a list).
     """
     from ..session import cut_lineage
 
@@ -81,7 +87,9 @@ def chained_impute(fit_df: DataFrame, apply_dfs, cols, rounds: int = 10, alpha:
     stats = fit_df.agg(*[F.avg(_q(c)).alias(f"a{i}") for i, c in enumerate(cols)],
                        *[F.count(F.when(F.col(_q(c)).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     means = {c: float(stats[f"a{i}"] or 0.0) for i, c in enumerate(cols)}
-    missing = [c for i, c in enumerate(cols) if stats[f"n{i}"]]
+    gaps = [stats] + [d.agg(*[F.count(F.when(F.col(_q(c)).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+                      for d in apply_dfs if d is not fit_df]
+    missing = [c for i, c in enumerate(cols) if any(g[f"n{i}"] for g in gaps)]
     obs = {c: f"_obs_{i}" for i, c in enumerate(cols)}
 
     def start(df):

@@ -26,9 +26,8 @@ def md5_int(expr: str) -> str:
 
 
 def cohort_ctes(spec: CohortSpec = CohortSpec()) -> str:
-    """CTEs: ev, bnd, used, used_i, cal, days, slots, dose, clock, wo, ded."""
+    """CTEs: ev, bnd, used, cap, used_i, cal, days, slots, dose, clock, wo, ded."""
     lo, hi = spec.within_range_s
-    k = spec.max_slots
     tod = _tod_idx("hour(datetime)", spec.tod)
     return f"""
 ev AS (
@@ -40,6 +39,7 @@ used AS (
   SELECT user_id, date, CAST(COUNT(*) AS INTEGER) AS numtimes, date_trunc('second', MIN(ts)) AS first_ts
   FROM ev GROUP BY user_id, date
 ),
+cap AS (SELECT MAX(numtimes) AS k FROM used),
 used_i AS (
   SELECT *, date_diff('second', LAG(first_ts) OVER (PARTITION BY user_id ORDER BY date), first_ts) AS interval_s
   FROM used
@@ -60,10 +60,10 @@ slots AS (
   SELECT user_id, date, slot, datetime FROM (
     SELECT user_id, date, date_trunc('second', ts) AS datetime,
            CAST(row_number() OVER (PARTITION BY user_id, date ORDER BY ts, event_id) AS INTEGER) AS slot
-    FROM ev) r WHERE slot <= {k}
+    FROM ev) r
   UNION ALL
   SELECT user_id, date, numtimes + 1 AS slot, CAST(NULL AS TIMESTAMP) AS datetime
-  FROM days WHERE enroll < date AND numtimes < {k}
+  FROM days WHERE enroll < date AND numtimes < (SELECT k FROM cap)
 ),
 dose AS (
   SELECT d.user_id, d.enroll, d.date, d.day_idx, s.slot, s.datetime, d.numtimes, d.interval_s, d.withinrange

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.cleaning import assert_no_nulls
 from ..operators.evaluation import classification_metrics
 from ..operators.folds import first_fold_split
 from ..operators.modeling import repeated_cv, select_by_forest, train_test, tune
@@ -55,13 +56,14 @@ def q_iterative_impute(spark, sf_dir):
     cols = ["hour", "interval_s", "numtimes", "withinrange", "day_idx"]
     df = clocked_events(events(spark, sf_dir), SPEC).select(
         "user_id", "day_idx", "slot", *[F.col(c).cast("double").alias(c) for c in cols if c != "day_idx"])
-    (out,) = chained_impute(df, [df], cols, rounds=3)
+    (out,) = chained_impute(df, [df], cols)
     return out
 
 
 def _final_split(spark, sf_dir):
-    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=True)
+    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=False)
     df = cut_lineage(fs.df)
+    assert_no_nulls(df)
     feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
     tr, te = first_fold_split(df, fs.id_col, fs.target_col, seed=42)
     return tr, te, feats, fs
@@ -112,24 +114,26 @@ def q_grid_search(spark, sf_dir):
 @register("repeated_cv")
 def q_repeated_cv(spark, sf_dir):
     """Logistic regression, 5 runs (seeds 0..4) of 5 subject-grouped folds; pooled metrics per run and side."""
-    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=True)
+    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=False)
     df = cut_lineage(fs.df)
+    assert_no_nulls(df)
     feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
     mets, _, _ = repeated_cv(df, feats, fs.target_col, fs.id_col, "LogisticR", runs=5, k=5, params={"C": 1.0},
-                             impute=False)
+                             impute=False, nominal=list(fs.nominal_cols))
     return mets
 
 
 def _day_lagged(spark, sf_dir):
-    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=True)
+    fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=False)
     df = cut_lineage(fs.df)
+    assert_no_nulls(df)
     feats = [c for c in df.columns if c not in (fs.id_col, fs.target_col)]
     return fs, df, feats
 
 
 @register("smote")
 def q_smote(spark, sf_dir):
-    """Daily lagged set topped up to balanced classes (exact 5-NN SMOTE, all columns continuous)."""
+    """Daily lagged set topped up to balanced classes (5-NN SMOTE, all columns continuous)."""
     fs, df, feats = _day_lagged(spark, sf_dir)
     return smote(df, feats, fs.target_col, fs.id_col, k=5, seed=42)
 

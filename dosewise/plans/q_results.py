@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.attribution import linear_attribution, sampled_attribution
-from ..operators.evaluation import auc, classification_metrics, roc_points
+from ..operators.evaluation import auc, classification_metrics, interpolate_tpr, mean_auc, mean_roc, roc_points
 from ..operators.folds import seeded_hash, seeded_sample
 from ..operators.modeling import fit
 from ..operators.results import (condense, featureset_title, legend_label, prettify, read_results, summarize,
@@ -42,9 +42,9 @@ def pred_rows(spark, sf_dir):
 
 def auc_rows(spark, sf_dir):
     test = run_predictions(spark, sf_dir).where(F.col("type") == "test")
-    a = auc(roc_points(test, ["run"]), ["run"])
-    return _with_cfg(a.agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
-                     .withColumn("type", F.lit("test")))
+    pts = roc_points(test, ["run"])
+    m = mean_auc(mean_roc(interpolate_tpr(pts, ["run"])), auc(pts, ["run"]))
+    return _with_cfg(m.withColumn("type", F.lit("test")))
 
 
 _RUN_SQL = """
@@ -85,9 +85,22 @@ rauc AS (
     SELECT run, fpr, tpr, LAG(fpr) OVER w AS fpr_p, LAG(tpr) OVER w AS tpr_p FROM rcur
     WINDOW w AS (PARTITION BY run ORDER BY idx)) x GROUP BY run
 ),
+rseg AS (
+  SELECT run, fpr, tpr, LEAD(fpr) OVER w AS fpr_n, LEAD(tpr) OVER w AS tpr_n FROM rcur WINDOW w AS (PARTITION BY run ORDER BY idx)
+),
+riv AS (
+  SELECT s.run, g.j, g.x, CASE WHEN g.j = 0 THEN CAST(0 AS DOUBLE) WHEN s.fpr_n IS NULL OR g.x = s.fpr THEN s.tpr
+              ELSE (s.tpr_n - s.tpr) / (s.fpr_n - s.fpr) * (g.x - s.fpr) + s.tpr END AS tpr
+  FROM rseg s JOIN grid g ON g.x >= s.fpr AND (s.fpr_n IS NULL OR g.x < s.fpr_n) WHERE s.fpr_n IS NULL OR s.fpr_n > s.fpr
+),
+rmean AS (SELECT j, x, CASE WHEN j = 99 THEN CAST(1 AS DOUBLE) ELSE AVG(tpr) END AS tpr FROM riv GROUP BY j, x),
+rarea AS (
+  SELECT SUM((x - x_p) * (tpr + tpr_p) / 2.0) AS auc_mean FROM (
+    SELECT x, tpr, LAG(x) OVER (ORDER BY j) AS x_p, LAG(tpr) OVER (ORDER BY j) AS tpr_p FROM rmean) y
+),
 summ AS (
   SELECT s.type, {aggs}, COALESCE(a.auc_mean, -1) AS auc_mean, COALESCE(a.auc_std, -1) AS auc_std
-  FROM prow s FULL OUTER JOIN (SELECT 'test' AS type, AVG(auc) AS auc_mean, stddev_pop(auc) AS auc_std FROM rauc) a
+  FROM prow s FULL OUTER JOIN (SELECT 'test' AS type, (SELECT auc_mean FROM rarea) AS auc_mean, stddev_pop(auc) AS auc_std FROM rauc) a
     ON a.type = s.type
   GROUP BY s.type, a.auc_mean, a.auc_std
 )""".format(aggs=", ".join(

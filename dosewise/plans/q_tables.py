@@ -11,19 +11,13 @@ from ..operators.adherence import cohort_split, whole_study_adherence
 from ..operators.collinearity import histogram, mean_days_between, pearson, row_stats, vif
 from ..operators.encoding import one_hot
 from ..operators.reshape import wide_to_long
-from ..sources.events import daily_use, dose_events, wide_export
+from ..sources.events import EXPORT_DATE_RE, EXPORT_SLOT_RE, daily_use, dose_events, wide_export
 from . import oracle as O
 from .featuresets import featureset, lagged_featureset
 from .q_cohort import _period_sql
 from .registry import SPEC, events, portable, r6, register, table
 
 
-def _n_days(ev) -> int:
-    """Study calendar length (one scalar)."""
-    d = F.to_date("ts")
-    return ev.agg((F.datediff(F.max(d), F.min(d)) + 1).alias("n")).first()["n"]
-
-
 def _dq(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -36,8 +30,8 @@ SELECT user_id, strftime(enroll, '%Y-%m-%d') AS enroll, strftime(date, '%Y-%m-%d
 FROM dose"""))
 def q_wide_to_long(spark, sf_dir):
     ev = events(spark, sf_dir)
-    wide = wide_export(ev, SPEC, _n_days(ev))
-    long = wide_to_long(wide, "PtID", "DateEnroll", date_fmt="M/d/yyyy")
+    wide = wide_export(ev, SPEC)
+    long = wide_to_long(wide, "PtID", "DateEnroll", EXPORT_DATE_RE, EXPORT_SLOT_RE, date_fmt="M/d/yyyy")
     return portable(long.withColumnRenamed("PtID", "user_id"), doubles=("interval_s",), dates=("enroll", "date"))
 
 
@@ -49,22 +43,22 @@ rk AS (
 st AS (
   SELECT CAST(date_diff('day', b.min_d, rk.date) + 1 AS INTEGER) AS day_idx, slot, COUNT(*) AS c,
          MIN(t) AS mn, MAX(t) AS mx
-  FROM rk CROSS JOIN bnd b WHERE slot <= {k} GROUP BY 1, 2
+  FROM rk CROSS JOIN bnd b GROUP BY 1, 2
 ),
 dgrid AS (SELECT unnest(generate_series(1, date_diff('day', min_d, max_d) + 1)) AS day_idx FROM bnd),
-grid AS (SELECT day_idx, unnest(generate_series(1, {k})) AS slot FROM dgrid)"""
+grid AS (SELECT day_idx, unnest(generate_series(1, (SELECT k FROM cap))) AS slot FROM dgrid)"""
 
 
 @register("drop_constant_columns", O.with_cohort("""
 SELECT 'MEMS_date' || lpad(CAST(g.day_idx AS VARCHAR), 3, '0') || '_time' || CAST(g.slot - 1 AS VARCHAR) AS col_name,
        CASE WHEN st.c IS NULL THEN 'empty' ELSE 'constant' END AS reason
 FROM grid g LEFT JOIN st ON st.day_idx = g.day_idx AND st.slot = g.slot
-WHERE st.c IS NULL OR st.mn = st.mx""", _DROP_SQL.format(k=SPEC.max_slots)))
+WHERE st.c IS NULL OR st.mn = st.mx""", _DROP_SQL))
 def q_drop_constant(spark, sf_dir):
     """Slot columns of the wide export that the empty/constant-column rule removes."""
     ev = events(spark, sf_dir)
-    wide = wide_export(ev, SPEC, _n_days(ev))
-    time_cols = [c for c in wide.columns if re.search(r"_time\d$", c)]
+    wide = wide_export(ev, SPEC)
+    time_cols = [c for c in wide.columns if re.search(r"_time\d+$", c)]
     empty, const = C.empty_and_constant_columns(wide.select(*time_cols))
     rows = [(c, "empty") for c in empty] + [(c, "constant") for c in const]
     return spark.createDataFrame(rows, "col_name string, reason string")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "dosewise", shuffle_partitio
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Spark deletes a checkpoint once the frame that wrote it is no longer referenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -39,16 +44,28 @@ def get_spark(master: str | None = None, app: str = "dosewise", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of this machine is made up only under a local master, whose
+    executors share it; anywhere else an unset folder is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="dosewise-ckpt-")
+        d = local_folder(spark.sparkContext.master)
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def local_folder(master: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    d = tempfile.mkdtemp(prefix="dosewise-ckpt-")
+    atexit.register(shutil.rmtree, d, True)
+    return d
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -58,23 +75,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
-
-class conf_override:
-    """Temporarily set SQL confs (restored on exit) around eager steps of one operator."""
-
-    def __init__(self, spark: SparkSession, **confs):
-        self.spark, self.confs, self.old = spark, {k.replace("__", "."): v for k, v in confs.items()}, {}
-
-    def __enter__(self):
-        for k, v in self.confs.items():
-            self.old[k] = self.spark.conf.get(k, None)
-            self.spark.conf.set(k, v)
-        return self
-
-    def __exit__(self, *exc):
-        for k, v in self.old.items():
-            if v is None:
-                self.spark.conf.unset(k)
-            else:
-                self.spark.conf.set(k, v)
-        return False

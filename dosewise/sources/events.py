@@ -8,19 +8,18 @@ long form straight from an event log, with the rules documented in
 * enrollment = first event date of the user; every calendar date from
   enrollment to the last date of the table is a monitored day (non-use days
   included);
-* a day keeps at most ``max_slots`` openings ordered by (ts, event_id); when it
-  has fewer, one empty (NULL time) slot row marks the unused capacity, which
-  is exactly what melting a wide day group and removing duplicate rows gives;
+* a day keeps all its openings, ordered by (ts, event_id); when it has fewer
+  than the largest daily count of the data (the day capacity of the wide
+  layout), one empty (NULL time) slot row marks the unused capacity, which is
+  exactly what melting a wide day group and removing duplicate rows gives;
 * ``interval_s`` = seconds from the first opening of the user's previous used
   day to the first opening of this day; ``withinrange`` = interval inside the
   prescribed window.
 
 Scale notes: the per-(user, day) counts are partial aggregates (map-side
-combine), so a hot user/day costs one combiner row per map task.  The slot
-numbering is a ``row_number() <= k`` filter, which Catalyst turns into a
-partial ``WindowGroupLimit`` before the shuffle, so a hot user/day ships at
-most ``k`` rows per map task.  Everything after that is bounded per user by
-days x (k + 1) rows.
+combine), so a hot user/day costs one combiner row per map task.  Openings stay
+rows (no per-day arrays); a window numbers them per (user, day), so a user's
+days spread over tasks.
 """
 
 from __future__ import annotations
@@ -44,6 +43,12 @@ def _bounds(ev: DataFrame):
     return b.getField("lo"), b.getField("hi")
 
 
+def day_capacity(events: DataFrame, spec: CohortSpec = CohortSpec()):
+    """Largest number of openings of one user on one day, as a scalar subquery."""
+    counts = _events(events, spec).groupBy(spec.id_col, "date").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.max("n").cast("int")).scalar()
+
+
 def daily_use(events: DataFrame, spec: CohortSpec = CohortSpec()) -> DataFrame:
     """One row per (user, calendar day) from enrollment to the table's last date.
 
@@ -90,13 +95,12 @@ def daily_use(events: DataFrame, spec: CohortSpec = CohortSpec()) -> DataFrame:
 
 
 def slot_openings(events: DataFrame, spec: CohortSpec = CohortSpec()) -> DataFrame:
-    """The first ``max_slots`` openings of each (user, day): id, date, slot, datetime."""
+    """All openings of each (user, day), numbered in order: id, date, slot, datetime."""
     idc = spec.id_col
     ev = _events(events, spec)
     w = Window.partitionBy(idc, "date").orderBy("ts", spec.order_col)
     return (
         ev.withColumn("slot", F.row_number().over(w))
-        .where(F.col("slot") <= spec.max_slots)
         .select(idc, "date", "slot", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("datetime"))
     )
 
@@ -107,37 +111,56 @@ def dose_events(events: DataFrame, spec: CohortSpec = CohortSpec(), after_enroll
     Columns: id, enroll, date, day_idx, slot, datetime, numtimes, interval_s, withinrange.
     ``after_enrollment`` keeps only days strictly after the enrollment day.
 
-    Each day's (at most ``max_slots``) openings are gathered into one small
-    array, joined 1:1 to the day row, de-duplicated to distinct seconds, given
-    the empty-slot marker when the day has spare capacity, and exploded once.
+    Openings are joined to their day row and de-duplicated to distinct seconds;
+    the first row of a day with spare capacity also emits the empty-slot marker.
     """
     idc = spec.id_col
     days = daily_use(events, spec)
     if after_enrollment:
         days = days.where(F.col("enroll") < F.col("date"))
-    ops = slot_openings(events, spec).groupBy(idc, "date").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "datetime"))).alias("_ops"))  # <= max_slots per day
-    j = days.drop("first_ts").join(ops, [idc, "date"], "left")
-    ops_t = "array<struct<slot:int,datetime:timestamp_ntz>>"
-    distinct = F.filter(F.coalesce(F.col("_ops"), F.array().cast(ops_t)),
-                        lambda x, i: (i == 0) | (x["datetime"] != F.get(F.col("_ops"), i - 1)["datetime"]))
-    marker = F.when(F.col("numtimes") < spec.max_slots, F.array(F.struct(
-        (F.col("numtimes") + 1).alias("slot"), F.lit(None).cast("timestamp_ntz").alias("datetime")))) \
-        .otherwise(F.array().cast(ops_t))
-    out = j.select("*", F.explode(F.concat(distinct, marker)).alias("_o"))
+    w = Window.partitionBy(idc, "date").orderBy("slot")
+    ops = slot_openings(events, spec).withColumn("_last", F.lag("datetime").over(w))
+    ops = ops.where(F.col("_last").isNull() | (F.col("_last") != F.col("datetime"))).drop("_last")
+    j = days.drop("first_ts").join(ops, [idc, "date"], "left").withColumn("_cap", day_capacity(events, spec))
+    slot_t = "array<struct<slot:int,datetime:timestamp_ntz>>"
+    own = F.when(F.col("slot").isNotNull(), F.array(F.struct("slot", "datetime")))
+    marker = F.when((F.coalesce(F.col("slot"), F.lit(1)) == 1) & (F.col("numtimes") < F.col("_cap")), F.array(F.struct(
+        (F.col("numtimes") + 1).alias("slot"), F.lit(None).cast("timestamp_ntz").alias("datetime"))))
+    none = F.array().cast(slot_t)
+    out = j.withColumn("_o", F.explode(F.concat(F.coalesce(own, none), F.coalesce(marker, none)))).drop("slot", "datetime")
     return out.select(idc, "enroll", "date", "day_idx", F.col("_o.slot").alias("slot"),
                       F.col("_o.datetime").alias("datetime"), "numtimes", "interval_s", "withinrange")
 
 
-def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int = 31) -> DataFrame:
+def export_size(events: DataFrame, spec: CohortSpec = CohortSpec()) -> tuple[int, int]:
+    """(days, time columns per day) of the wide export: the calendar's length and the day capacity."""
+    ev = _events(events, spec)
+    days = ev.agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("n")).first()["n"]
+    slots = ev.groupBy(spec.id_col, "date").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return days or 0, slots or 0
+
+
+#: Patterns of the wide export's columns, for ``wide_to_long``: any number of days and slots.
+EXPORT_DATE_RE = r"^date(\d{3,})$"
+EXPORT_SLOT_RE = r"^MEMS_{date}_time\d+$"
+
+
+def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int | None = None,
+                n_slots: int | None = None) -> DataFrame:
     """Pivot the event log into the wide monitor layout (one row per user).
 
     Columns: ``PtID``, ``DateEnroll`` (M/D/YYYY text) and per study-calendar day
-    ``ddd`` (1-based ``day_idx``): ``dateddd``, ``MEMS_dateddd_time0..k-1`` (one digit),
-    ``MEMS_dateddd_numtimes`` and, from the second day on,
-    ``MEMS_dateddd_interval`` / ``MEMS_dateddd_withinrange``.  Cells are text,
-    as in a CSV export.  ``n_days`` bounds the column count (plan-time).
+    ``ddd`` (1-based ``day_idx``, three digits or more): ``dateddd``,
+    ``MEMS_dateddd_time0..k-1``, ``MEMS_dateddd_numtimes`` and, from the second
+    day on, ``MEMS_dateddd_interval`` / ``MEMS_dateddd_withinrange``.  Cells are
+    text, as in a CSV export.  The numbers of days and slots come from the data
+    unless given; fewer than the data has is an error, not a cut.
     """
+    days_there, slots_there = export_size(events, spec)
+    n_days = days_there if n_days is None else n_days
+    n_slots = slots_there if n_slots is None else n_slots
+    if n_days < days_there or n_slots < slots_there:
+        raise ValueError(f"the data has {days_there} days of up to {slots_there} openings")
     idc = spec.id_col
     days = daily_use(events, spec)
     slots = slot_openings(events, spec)
@@ -161,9 +184,9 @@ def wide_export(events: DataFrame, spec: CohortSpec = CohortSpec(), n_days: int
     cols = [f"`{idc}` AS PtID", "DateEnroll"]
     for d in range(1, n_days + 1):
         tag = f"date{d:03d}"
-        day = f"element_at(_days, {d})"
+        day = f"try_element_at(_days, {d})"
         cols.append(f"{day}.d AS {tag}")
-        cols += [f"element_at({day}.t, {s}) AS MEMS_{tag}_time{s - 1}" for s in range(1, spec.max_slots + 1)]
+        cols += [f"try_element_at({day}.t, {s}) AS MEMS_{tag}_time{s - 1}" for s in range(1, n_slots + 1)]
         cols.append(f"{day}.n AS MEMS_{tag}_numtimes")
         if d > 1:
             cols += [f"{day}.i AS MEMS_{tag}_interval", f"{day}.w AS MEMS_{tag}_withinrange"]

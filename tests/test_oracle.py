@@ -19,8 +19,8 @@ def duck():
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.oracle_sql())
+    from dosewise.plans.catalog import ORACLE
+    return sorted(ORACLE)
 
 
 @pytest.mark.parametrize("name", _names())

@@ -1,26 +1,61 @@
-"""Exact kNN (vs brute force) and SMOTE / SMOTE-NC properties."""
+"""Neighbour forest (vs brute force) and SMOTE / SMOTE-NC properties."""
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from dosewise.operators.oversample import exact_knn, smote
+from dosewise.operators.oversample import neighbours, smote
 
 
-def test_exact_knn_matches_brute_force(spark):
+def _points(spark, x):
+    return spark.createDataFrame([([float(v) for v in row], []) for row in x], "_v array<double>, _nv array<string>")
+
+
+def _lists(df):
+    return {tuple(r._v): [tuple(n._v) for n in r._nb] for r in df.collect()}
+
+
+def test_neighbours_exact_in_one_leaf(spark):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(300, 4))
-    x[250:] = x[0]  # a block of 50 identical points (51 with x[0])
-    x[10:14] = np.round(x[10:14], 0)
-    pts = spark.createDataFrame([(i + 1, [float(v) for v in x[i]]) for i in range(300)], "_pid long, _v array<double>")
-    got = exact_knn(pts, 5, "_pid", "_v", seed=1).toPandas()
+    x = np.round(rng.normal(size=(200, 4)), 6)
+    x[150:] = x[0]  # a block of 50 copies (51 with x[0])
+    got = _lists(neighbours(_points(spark, x), 5, seed=1))
     d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     np.fill_diagonal(d2, np.inf)
-    want = np.sort(d2, axis=1)[:, :5]
-    assert len(got) == 300 * 5
-    for pid, g in got.groupby("_pid"):
-        np.testing.assert_allclose(np.sort(g.dist2.to_numpy()), want[pid - 1], atol=1e-9)
-        assert sorted(g.nb_rank) == [1, 2, 3, 4, 5] and pid not in set(g.nb)
+    assert len(got) == 150
+    for i in range(150):
+        near = [((x[i] - np.array(n)) ** 2).sum() for n in got[tuple(x[i])]]
+        np.testing.assert_allclose(near, np.sort(d2[i])[:5], atol=1e-9)
+
+
+def test_neighbours_forest_recall(spark):
+    rng = np.random.default_rng(8)
+    x = np.unique(np.round(rng.integers(0, 2, size=(1500, 12)) + rng.normal(scale=0.1, size=(1500, 12)), 6), axis=0)
+    pts = _points(spark, x)
+    got = _lists(neighbours(pts, 5, seed=1, leaf=128, trees=8))
+    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d2, np.inf)
+    kth = np.sort(d2, axis=1)[:, 4] + 1e-9
+    hit = sum((((x[i] - np.array(n)) ** 2).sum() <= kth[i]) for i in range(len(x)) for n in got[tuple(x[i])])
+    assert all(len(v) == 5 for v in got.values()) and hit / (5 * len(x)) > 0.4  # clusters everywhere: near, if not the nearest
+    far = np.median(d2[np.isfinite(d2)])
+    assert np.mean([((x[i] - np.array(n)) ** 2).sum() for i in range(len(x)) for n in got[tuple(x[i])]]) < 0.5 * far
+
+
+def test_smote_integer_input_keeps_fractions(spark):
+    rng = np.random.default_rng(2)
+    y = (np.arange(120) % 4 == 0).astype(int)
+    pdf = pd.DataFrame({"pid": np.arange(120) % 9, "a": rng.integers(0, 2, 120), "b": rng.integers(0, 5, 120), "y": y})
+    out = smote(spark.createDataFrame(pdf), ["a", "b"], "y", "pid", k=5, seed=3)
+    assert dict(out.dtypes)["a"] == "double"
+    syn = out.where("synthetic = 1").toPandas()
+    assert ((syn.a % 1 != 0) | (syn.b % 1 != 0)).any()
+    mino = pdf[pdf.y == 1][["a", "b"]].to_numpy(float)
+    for a, b in syn[["a", "b"]].to_numpy():  # on the line between two minority rows
+        d = mino - np.array([a, b])
+        cross = np.abs(d[:, None, 0] * d[None, :, 1] - d[:, None, 1] * d[None, :, 0])
+        dots = d[:, None, 0] * d[None, :, 0] + d[:, None, 1] * d[None, :, 1]
+        assert ((cross < 1e-9) & (dots <= 1e-9)).any()
 
 
 def _data(spark, n=200):

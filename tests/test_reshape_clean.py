@@ -110,7 +110,50 @@ def test_wide_round_trip_from_events(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     direct = dose_events(ev).select("user_id", "day_idx", "slot", "datetime", "numtimes", "interval_s",
                                     "withinrange")
-    wide = wide_export(ev, n_days=30)
+    wide = wide_export(ev)
     back = wide_to_long(wide).select(F.col("PtID").alias("user_id"), "day_idx", "slot", "datetime", "numtimes",
                                      "interval_s", "withinrange")
     assert direct.exceptAll(back).count() == 0 and back.exceptAll(direct).count() == 0
+
+
+def test_no_cap_on_openings_and_days(spark):
+    """12 openings in a day and day 1000 survive the export and the way back."""
+    from dosewise.sources.events import EXPORT_DATE_RE, EXPORT_SLOT_RE, dose_events, wide_export
+
+    rows = [(1, i, f"2020-01-02 {8 + i // 6:02d}:{5 * (i % 6):02d}:00") for i in range(12)]
+    rows += [(1, 100, "2020-01-01 08:00:00"), (1, 101, "2022-09-27 09:00:00"), (2, 102, "2022-09-26 09:00:00")]
+    ev = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    cols = ["user_id", "day_idx", "slot", "datetime", "numtimes", "interval_s", "withinrange"]
+    direct = dose_events(ev).select(*cols)
+    assert direct.where("day_idx = 2 and datetime is not null").count() == 12
+    assert direct.agg(F.max("day_idx")).first()[0] == 1001
+    wide = wide_export(ev)
+    assert "date1001" in wide.columns and "MEMS_date002_time11" in wide.columns
+    back = wide_to_long(wide, date_re=EXPORT_DATE_RE, slot_re=EXPORT_SLOT_RE).withColumnRenamed("PtID", "user_id").select(*cols)
+    assert direct.exceptAll(back).count() == 0 and back.exceptAll(direct).count() == 0
+    try:
+        wide_to_long(wide)
+        raise AssertionError("expected ValueError for date1001")
+    except ValueError:
+        pass
+
+
+def test_checkpoint_folder_needs_a_name_off_a_local_master():
+    from dosewise.session import local_folder
+
+    assert local_folder("local[4]")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        try:
+            local_folder(master)
+            raise AssertionError(master)
+        except RuntimeError:
+            pass
+
+
+def test_one_hot_vector_takes_any_number_of_levels(spark):
+    from dosewise.operators.encoding import one_hot_vector
+
+    df = spark.range(1500).select(F.col("id"), F.col("id").cast("string").alias("c")).unionByName(
+        spark.createDataFrame([(2000, None)], "id long, c string"))
+    rows = {r.id: r.c_vec for r in one_hot_vector(df, "c").collect()}
+    assert rows[3].size == 1500 and rows[3].numNonzeros() == 1 and rows[2000].numNonzeros() == 0
