@@ -5,8 +5,8 @@ suffixes meet in one deep internal node, which is found in three steps:
 
 1. Sparse suffixes: of the suffixes inside a window only the one with the least
    7-word prefix (by hash) is kept as its anchor, the same for equal windows;
-   about a quarter of all suffixes remain.  Partial counts per prefix drop the
-   prefixes of one document only: their subtrees have no internal node.
+   about a quarter of all suffixes remain.  Prefixes of one document only drop
+   out: their subtrees have no internal node.
 2. Variable-length prefixes: a prefix that several documents share is extended
    to the full depth of 13 words, and its suffixes are dealt out by that longer
    prefix, so a group holds the suffixes of one path whatever its prefix's size.
@@ -14,10 +14,13 @@ suffixes meet in one deep internal node, which is found in three steps:
    document keeps the words, all later ones lose them.  Adjacent nodes of a
    document join into the maximal repeats (``removed_spans``).
 
-Equal paths of a document are one row and both counts are partial aggregates, so
-a passage in a third of all documents is one row per map task; joins back are
-equi-joins that AQE can split.  Texts are shuffled only for documents with a
-shared prefix, and again only for those that lose words.
+Skew: a sample of the documents names the heavy prefixes (in more than
+``HEAVY_SHARE`` of it; their number is bounded by the share).  These are shared
+for certain and never shuffled as prefixes, and the least document of their
+paths is a partial aggregate.  All other prefixes and paths go through one
+exchange each and a window, whose groups are at most that share of the documents.
+Texts are shuffled once, to meet their shared prefixes; the removed spans come
+back to them by a broadcast of checked size, or by a shuffle beyond it.
 
 Defined cases: null texts and texts of fewer than 13 words have no window; only
 strictly smaller doc_ids remove words, so rows of one id never cut each other
@@ -32,139 +35,151 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import keep, ship
+from .store import BROADCAST_BYTES, keep, ship
 
 WINDOW = 13
 PREFIX = 7
+HEAVY_SAMPLE = 64
+HEAVY_SHARE = 0.005
+HEAVY_LEAST = 16
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def _anchors(run: W.Run, window: int, prefix: int):
-    """(hash, row, start) of all prefixes; per window, its start and the index of its anchor."""
+    """Prefix hashes; and per window its hash, start, row and the prefix hash of its anchor."""
     rows, hashes = run.rows, run.hashes()
     head, at = W.grams(hashes, rows, prefix)
     path, start = W.grams(hashes, rows, window)
     if not len(start):
-        return head, rows[at], at, path, start, np.empty(0, np.int64), rows
-    wide = window - prefix + 1
-    index = np.full(len(hashes) + 1, 0, np.int64)
+        return path, start, rows[start], path
+    index = np.zeros(len(hashes) + 1, np.int64)
     index[at] = np.arange(len(at))
-    first = index[start]
-    view = sliding_window_view(head, wide)[first]
-    return head, rows[at], at, path, start, first + view.argmin(axis=1), rows
+    least = sliding_window_view(head, window - prefix + 1)[index[start]].min(axis=1)
+    return path, start, rows[start], least
 
 
-def _prefixes(batches, window, prefix):
-    """The distinct anchor prefixes of each document, with its word count and the digest of its words."""
+def _pairs(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, value), by row."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
+def _prefixes(batches, window, prefix, heavy):
+    """(doc_id, text_key, prefix): the distinct anchor prefixes of each document, without the heavy ones."""
     for batch in batches:
         for run in W.runs(batch.column("text")):
-            head, head_row, at, path, start, anchor, rows = _anchors(run, window, prefix)
-            used = np.unique(anchor)
-            bounds = np.searchsorted(head_row[used], np.arange(run.n + 1))
+            _, _, row, least = _anchors(run, window, prefix)
+            row, least = _pairs(row, least)
+            light = ~np.isin(least, heavy.value) if heavy is not None else slice(None)
+            at = pa.array(row[light])
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(run.first, run.n), batch.column("text_key").slice(run.first, run.n),
-                pa.array(np.diff(run.bounds).astype(np.int64)), pa.array(_digests(run, None), pa.string()),
-                W.list_array(head[used], bounds)], names=["doc_id", "text_key", "n_words", "sha", "prefixes"])
-
-
-def _digests(run: W.Run, drop: np.ndarray | None, texts: list | None = None) -> list[str]:
-    """Per row the digest of its kept words joined by one space; the joined texts go to ``texts`` if given."""
-    data, out = run.data.tobytes(), []
-    for i in range(run.n):
-        parts = data[run.offsets[i]:run.offsets[i + 1]].split()
-        if drop is not None:
-            gone = drop[run.bounds[i]:run.bounds[i + 1]]
-            parts = [p for p, g in zip(parts, gone.tolist()) if not g]
-        kept = b" ".join(parts)
-        out.append(hashlib.sha256(kept).hexdigest())
-        if texts is not None:
-            texts.append(kept.decode())
-    return out
-
-
-def _paths(batches, window, prefix):
-    """The windows whose anchor is a shared prefix, once per document."""
+                batch.column("doc_id").slice(run.first, run.n).take(at), batch.column("text_key").slice(run.first, run.n).take(at),
+                pa.array(least[light].view(np.int64))], names=["doc_id", "text_key", "prefix"])
+
+
+def _paths(batches, window, prefix, heavy, of_heavy):
+    """(doc_id, text_key, path, start): the windows whose anchor is a shared prefix, of heavy or of other ones."""
+    salt = np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         shared = batch.column("shared")
         for run in W.runs(batch.column("text")):
-            head, head_row, at, path, start, anchor, rows = _anchors(run, window, prefix)
-            part = shared.slice(run.first, run.n)
-            known = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(run.n), part.value_lengths().to_numpy(zero_copy_only=False))
-            if not len(start) or not len(known):
-                continue
-            salt = np.uint64(0xD6E8FEB86659FD93)
-            hit = np.isin(W.mix(head[anchor] + rows[start].astype(np.uint64) * salt), W.mix(known + owner.astype(np.uint64) * salt))
-            row, found = rows[start][hit], path[hit]
-            order = np.lexsort((found, row))
-            row, found = row[order], found[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
-            row, found = row[new], found[new]
+            path, start, row, least = _anchors(run, window, prefix)
+            if of_heavy:
+                hit = np.isin(least, heavy.value)
+            else:
+                part = shared.slice(run.first, run.n)
+                known = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                owner = np.repeat(np.arange(run.n), np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                hit = np.isin(W.mix(least + row.astype(np.uint64) * salt), W.mix(known + owner.astype(np.uint64) * salt))
+            at = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(run.first, run.n).take(pa.array(row)),
-                batch.column("text_key").slice(run.first, run.n).take(pa.array(row)),
-                pa.array(found.view(np.int64))], names=["doc_id", "text_key", "path"])
+                batch.column("doc_id").slice(run.first, run.n).take(at), batch.column("text_key").slice(run.first, run.n).take(at),
+                pa.array(path[hit].view(np.int64)), pa.array((start[hit] - run.bounds[row[hit]]).astype(np.int32))],
+                names=["doc_id", "text_key", "path", "start"])
 
 
-def _cut(batches, window, prefix):
-    """Texts without the words of their repeated paths."""
+def _spans(batches, window):
+    """Window starts joined into spans."""
     for batch in batches:
-        listed = batch.column("paths")
+        starts = batch.column("starts")
+        flat = starts.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(batch)), starts.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.lexsort((flat, row))
+        flat, row = flat[order], row[order]
+        opens = np.ones(len(flat), bool)
+        opens[1:] = (row[1:] != row[:-1]) | (flat[1:] > flat[:-1] + window)
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(flat)) - 1
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(len(batch) + 1)).astype(np.int32)),
+                                         pa.StructArray.from_arrays([pa.array(flat[first]), pa.array((flat[last] + window).astype(np.int32))], names=["start", "end"]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), spans], names=["doc_id", "text_key", "spans"])
+
+
+def _cut(batches):
+    """Texts without the words of their spans."""
+    for batch in batches:
+        removed = batch.column("spans").to_pylist()
         for run in W.runs(batch.column("text")):
-            rows = run.rows
-            path, start = W.grams(run.hashes(), rows, window)
-            part = listed.slice(run.first, run.n)
-            known = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(run.n), part.value_lengths().to_numpy(zero_copy_only=False))
-            salt = np.uint64(0xD6E8FEB86659FD93)
-            hit = start[np.isin(W.mix(path + rows[start].astype(np.uint64) * salt), W.mix(known + owner.astype(np.uint64) * salt))]
-            cover = np.zeros(len(rows) + 1, np.int64)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + window, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            texts: list[str] = []
-            sha = _digests(run, gone, texts)
-            opens = gone & ~np.append(False, gone[:-1] & (rows[1:] == rows[:-1]))[:len(gone)]
-            closes = gone & ~np.append(gone[1:] & (rows[1:] == rows[:-1]), False)[:len(gone)]
-            first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-            base = run.bounds[rows[first]] if len(first) else first
-            spans = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(rows[first], np.arange(run.n + 1)).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], names=["start", "end"]))
+            data, texts, shas, counts, gone = run.data.tobytes(), [], [], np.diff(run.bounds), []
+            for i in range(run.n):
+                parts = data[run.offsets[i]:run.offsets[i + 1]].split()
+                spans = removed[run.first + i] or []
+                for s in reversed(spans):
+                    del parts[s["start"]:s["end"]]
+                kept = b" ".join(parts)
+                shas.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode() if spans else None)
+                gone.append(sum(s["end"] - s["start"] for s in spans))
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(run.first, run.n), batch.column("text_key").slice(run.first, run.n),
-                pa.array(W.per_row(gone.astype(np.int64), run.bounds)), pa.array(sha, pa.string()),
-                pa.array(texts, pa.string()), spans], names=["doc_id", "text_key", "n_removed", "sha", "kept_text", "spans"])
-
-
-def repeated_paths(own: DataFrame, heads: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(doc_id, text_key, paths): the windows of each document that also start in an earlier document."""
-    anchors = heads.where("doc_id is not null").select("doc_id", "text_key", F.explode("prefixes").alias("prefix"))
-    spread = anchors.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    shared = keep(anchors.join(spread.select("prefix"), "prefix").groupBy("doc_id", "text_key").agg(F.collect_set("prefix").alias("shared")))
-    texts = own.join(shared, ["doc_id", "text_key"])
-    paths = keep(texts.select("doc_id", "text_key", "text", "shared").mapInArrow(
-        lambda it: _paths(it, window, prefix), "doc_id long, text_key long, path long"))
-    nodes = paths.groupBy("path").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    later = paths.join(nodes.select("path", "low"), "path").where("doc_id > low")
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set("path").alias("paths"))
+                batch.column("doc_id").slice(run.first, run.n), pa.array(counts), pa.array(gone, pa.int64()), pa.array(shas, pa.string()),
+                pa.array(texts, pa.string()), batch.column("spans").slice(run.first, run.n)],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"])
+
+
+def heavy_prefixes(own: DataFrame, window: int, prefix: int) -> np.ndarray:
+    """Prefixes in more than HEAVY_SHARE of a sample of the documents: at most anchors per document / HEAVY_SHARE."""
+    sample = own.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(HEAVY_SAMPLE)) == 0)
+    rows = sample.mapInArrow(lambda it: _prefixes(it, window, prefix, None), "doc_id long, text_key long, prefix long")
+    counts = rows.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > max(HEAVY_LEAST, HEAVY_SHARE * sample.count()))
+    return counts.toPandas()["prefix"].to_numpy(np.int64).view(np.uint64)
+
+
+def repeated_spans(own: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+    """(doc_id, text_key, spans): the words of each document that an earlier document's windows cover."""
+    known = own.where("doc_id is not null")
+    heavy = own.sparkSession.sparkContext.broadcast(heavy_prefixes(known, window, prefix))
+    anchors = known.mapInArrow(lambda it: _prefixes(it, window, prefix, heavy), "doc_id long, text_key long, prefix long")
+    by = Window.partitionBy("prefix")
+    anchors = anchors.withColumns({"low": F.min("doc_id").over(by), "high": F.max("doc_id").over(by)}).where("low < high")
+    shared = keep(anchors.groupBy("doc_id", "text_key").agg(F.collect_list("prefix").alias("shared")))
+    texts = known.join(shared, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "text", "shared")
+    schema = "doc_id long, text_key long, path long, start int"
+    light = texts.mapInArrow(lambda it: _paths(it, window, prefix, heavy, False), schema)
+    light = light.withColumn("low", F.min("doc_id").over(Window.partitionBy("path")))
+    later = light.where("doc_id > low").select("doc_id", "text_key", "start")
+    if len(heavy.value):
+        rows = known.withColumn("shared", F.lit(None).cast("array<long>")).select("doc_id", "text_key", "text", "shared").mapInArrow(
+            lambda it: _paths(it, window, prefix, heavy, True), schema)
+        least = rows.groupBy("path").agg(F.min("doc_id").alias("low"))
+        later = later.union(rows.join(least, "path").where("doc_id > low").select("doc_id", "text_key", "start"))
+    starts = later.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
+    return starts.mapInArrow(lambda it: _spans(it, window), f"doc_id long, text_key long, spans {SPANS}")
 
 
 def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text", window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """Per input row: doc_id, n_words, n_removed, kept_sha256, the kept text (null if nothing was removed) and the removed word spans."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    heads = keep(own.mapInArrow(lambda it: _prefixes(it, window, prefix),
-                                "doc_id long, text_key long, n_words long, sha string, prefixes array<long>"))
-    later = keep(repeated_paths(own, heads, window, prefix))
-    texts = own.join(later, ["doc_id", "text_key"])
-    cut = keep(texts.select("doc_id", "text_key", "text", "paths").mapInArrow(lambda it: _cut(it, window, prefix),
-                                "doc_id long, text_key long, n_removed long, sha string, kept_text string, spans array<struct<start:long,end:long>>"))
-    cut = cut.dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("sha", "cut_sha")
-    return heads.drop("prefixes").join(cut, ["doc_id", "text_key"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"),
-        "kept_text", F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("removed_spans"))
+    spans = keep(repeated_spans(own, window, prefix))
+    size = spans.agg(F.sum(F.size("spans") * 8 + 64).alias("n")).first()["n"] or 0
+    side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+    cut = own.join(side, ["doc_id", "text_key"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return cut.select("doc_id", "text", "spans").mapInArrow(
+        _cut, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed_spans {SPANS}")
