@@ -12,16 +12,20 @@ groups whose bound reaches the needed overlap are opened and verified exactly:
    decide: linked sets share at least ``needed(n)`` of these (prefix lemma).
    A token found in one group only can't link across groups and drops out of
    the matrix, which leaves copied families without any cell.
-3. Bound: a query with fewer than ``needed`` cells is closed at once.  Of the
-   rest, the needed - 1 most frequent tokens are set aside (prefix lemma again,
-   rarest tokens first), so passages shared by many documents open nothing;
-   then a group qualifies if it holds at least ``needed`` of the query's tokens.
-4. Open: members of qualifying groups that share a rare token are verified on
-   their full sets, and a last pass of components joins the groups.
+3. Bound: a query with fewer than ``needed`` cells is closed at once.  The rest,
+   a small part, get a matrix of their full sets.  There s of a query's n tokens
+   occur in other groups; a query with s < t n is closed too, and two sets whose s
+   and n can't give the threshold never meet, which separates the members of a
+   family of distant copies.  Of the s tokens the most frequent are set aside: the
+   rarest s - t n + 4 hold 4 shared ones (prefix lemma), so passages shared by many
+   documents open nothing.  A group qualifies if it holds t n of the query's tokens.
+4. Open: the members of qualifying groups are verified on their full sets, and a
+   last pass of components joins the groups.
 
 Scale: sets stay in the text; only prefixes (a quarter of the tokens) are
-shuffled, once for the counts and once for the cells.  Counts are partial
-aggregates, joins on tokens or leaders are equi-joins that AQE can split.
+shuffled, in one exchange for the counts and the cells; tokens that a sample
+shows to be frequent stay out of it.  Joins on leaders are equi-joins
+that AQE can split.
 No pair inside a group is ever emitted.
 
 Defined cases: a null text or one without words has an empty set and is linked
@@ -34,16 +38,25 @@ input columns are ignored.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import keep, ship, small
+from .store import BROADCAST_BYTES, keep, ship, small
 
 GROUP_HASHES = 4
+#: Min-hashes that a node shares with a leader before the two are compared; which are not compared here are found from the matrix.
+GROUP_SHARED = 2
+#: Tokens that a query shares, among its rarest, with a group before the group's bound is computed.
+RARE_SHARED = 4
+HEAVY_SAMPLE = 64
+HEAVY_SHARE = 0.005
+HEAVY_LEAST = 16
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 PROFILE = "doc_id long, text_key long, n long, node long, check long, keys array<long>, prefix array<long>"
 
@@ -129,7 +142,7 @@ class TokenGroupJoin:
         self.profile = keep(self.own.mapInArrow(lambda it: _profile(it, k, percent), PROFILE))
         filled = self.profile.where("n > 0")
         # one row stands for a node: the copy with the least text key and id
-        self.nodes = keep(filled.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("check").alias("check"),
+        self.nodes = keep(filled.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("check").alias("check"),
                                                      F.min(F.struct("text_key", "doc_id")).alias("one")))
         if self.nodes.join(filled.select("node", "check"), "node").where(self.nodes["check"] != filled["check"]).limit(1).count():
             raise ValueError("two different shingle sets share a 64-bit node id; change the hash seed")
@@ -141,7 +154,7 @@ class TokenGroupJoin:
         same = (self.own.text_key == wanted.text_key) & self.own.doc_id.eqNullSafe(wanted.doc_id)
         k = self.k
         sets = self.own.join(wanted, same, "left_semi").select("text").mapInArrow(lambda it: _full(it, k), "node long, tokens array<long>")
-        return sets.dropDuplicates(["node"])
+        return sets.dropDuplicates(["node"]) if self.repeated() else sets
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets meet the threshold, checked on full sets."""
@@ -150,57 +163,94 @@ class TokenGroupJoin:
             size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         pairs = keep(pairs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b").distinct())
         sets = keep(self.stand_ins(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()))
-        full = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+        bytes_ = sets.agg(F.sum(F.size("tokens") * 8 + 32).alias("n")).first()["n"] or 0
+        side = F.broadcast(sets) if bytes_ <= BROADCAST_BYTES else sets
+        full = pairs.join(side.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
+            side.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
         percent = self.percent
         return full.mapInArrow(lambda it: _linked(it, percent), "a long, b long")
 
     def leader_links(self) -> DataFrame:
-        """Verified links of nodes with the leader of each of their min-hashes."""
-        keys = keep(self.profile.where("n > 0").select("node", F.posexplode("keys").alias("j", "key")).distinct())
-        leaders = keys.groupBy("j", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        pairs = keys.join(leaders, ["j", "key"]).where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        return keep(self.verify(pairs))
-
-    def cells(self, groups: DataFrame) -> DataFrame:
-        """Matrix cells (token, node, grp, n_rows, n) of tokens that occur in two groups or more."""
+        """Verified links of nodes with the leader of each of their min-hashes: the set with most exact copies, as the likely origin."""
+        keys = self.profile.where("n > 0").select("node", F.posexplode("keys").alias("j", "key")).distinct()
+        keys = keep(keys.join(self.nodes.select("node", "copies"), "node"))
+        leaders = keys.groupBy("j", "key").agg(F.max(F.struct("copies", "node")).alias("m"), F.count("*").alias("n")).where("n > 1")
+        leaders = leaders.select("j", "key", F.col("m.node").alias("leader"))
+        pairs = keys.join(leaders, ["j", "key"]).where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).count()
+        return keep(self.verify(pairs.where(F.col("count") >= GROUP_SHARED).select("a", "b")))
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """Matrix cells (token, node, grp, n_rows, n) of ``rows`` (node, grp, n, tokens): tokens that occur in two groups or more.
+
+        One exchange by token serves the counts and the cells.  Heavy tokens, in
+        more than HEAVY_SHARE of a sample of the nodes, would make it uneven: they
+        stay where they are and rank after all others.  There are at most tokens
+        per node / HEAVY_SHARE of them, whatever the number of nodes.
+        """
+        sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(HEAVY_SAMPLE)) == 0)
+        counts = sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        heavy = keep(counts.where(F.col("n") > max(HEAVY_LEAST, HEAVY_SHARE * sample.count())).select("token"))
+        all_ = rows.select(F.explode("tokens").alias("token"), "node", "grp", F.col("n").cast("int").alias("n")).join(
+            small(heavy, 8).withColumn("heavy", F.lit(True)), "token", "left")
+        token = Window.partitionBy("token")
+        light = all_.where("heavy is null").drop("heavy").withColumns({
+            "low": F.min("grp").over(token), "high": F.max("grp").over(token), "n_rows": F.count("*").over(token).cast("int")})
+        return light.where("low <> high").select("token", "node", "grp", "n_rows", "n").union(
+            all_.where("heavy").select("token", "node", "grp", F.lit(2**31 - 1).alias("n_rows"), "n"))
+
+    def survivors(self, groups: DataFrame) -> DataFrame:
+        """(node, grp, n, tokens): nodes whose prefix has ``needed`` cells, with their full sets."""
         one = small(self.nodes.select("node", "one.text_key", "one.doc_id"), 40)
         rows = self.profile.where("n > 0")
         rows = rows.join(one, (rows.node == one.node) & (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
         rows = rows.select("node", "n", "prefix").dropDuplicates(["node"]) if self.repeated() else rows.select("node", "n", "prefix")
-        rows = rows.join(small(groups, 16), "node", "left").select(
-            F.explode("prefix").alias("token"), "node", F.coalesce("component", "node").alias("grp"), F.col("n").cast("int").alias("n"))
-        spread = rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").cast("int").alias("n_rows"))
-        spread = spread.where("low <> high").select("token", "n_rows")
-        return rows.join(spread, "token").select("token", "node", "grp", "n_rows", "n")
+        rows = rows.join(small(groups, 16), "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "n", F.col("prefix").alias("tokens"))
+        need = F.greatest(F.lit(1), F.floor(F.floor(F.lit(self.percent) * F.col("n") / 100) / 10))
+        first = self.spread(rows).groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.count("*").alias("x"))
+        first = keep(first.where(F.col("x") >= need).select("node", "grp", "n"))
+        return keep(self.stand_ins(first.select("node")).join(first, "node").select("node", "grp", "n", "tokens"))
+
+    @cached_property
+    def _repeated(self) -> bool:
+        return self.profile.count() != self.profile.select("doc_id", "text_key").distinct().count()
 
     def repeated(self) -> bool:
         """Whether any (doc_id, text) occurs in two rows."""
-        return self.profile.count() != self.profile.select("doc_id", "text_key").distinct().count()
+        return self._repeated
 
     def opened(self, groups: DataFrame) -> DataFrame:
-        """Pairs of nodes of different groups whose groups qualify by the bound and that share a rare token."""
-        need = F.greatest(F.lit(1), F.floor(F.floor(F.lit(self.percent) * F.col("n") / 100) / 10)).cast("int")
-        cells = self.cells(groups)
-        queries = keep(cells.groupBy("node").agg(
+        """Pairs of a node and the members of its qualifying groups whose sizes and own tokens allow a link."""
+        def least_share(n):
+            return F.ceil(F.lit(self.percent) * n / 100).cast("int")
+
+        # s tokens of a node occur in other groups, u = n - s don't: two nodes share min(s) at most, and have max(n + other's u) at least
+        def possible(n, s, u, gn, gs, gu):
+            return 100 * F.least(s, gs) >= self.percent * F.greatest(gn + u, n + gu)
+
+        cells = self.spread(self.survivors(groups)).groupBy("node").agg(
             F.first("grp").alias("grp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("n_rows", "token"))).alias("tokens"))
-            .withColumn("need", need).where(F.size("tokens") >= F.col("need")))
-        rare = keep(queries.select("node", "grp", "n", "need", F.explode(F.expr("slice(tokens, 1, size(tokens) - need + 1)")).alias("x")).select(
-            F.col("x.token").alias("token"), "node", "grp", "n", "need"))
-        matrix = queries.select("grp", F.explode("tokens.token").alias("token")).distinct()
-        other = rare.select("token", F.col("grp").alias("other")).distinct()
-        reached = rare.join(other, "token").where("grp <> other").select("node", "other").distinct()
+        cells = cells.withColumns({"s": F.size("tokens"), "need": least_share(F.col("n"))}).withColumn("u", F.col("n") - F.col("s"))
+        queries = keep(cells.where("s >= need").withColumn("met", F.least(F.lit(RARE_SHARED), least_share(F.col("need")))))
+        rarest = F.expr(f"slice(tokens, 1, s - need + least({RARE_SHARED}, need))")
+        rare = keep(queries.select("node", "grp", "n", "s", "u", "met", F.explode(rarest).alias("x")).select(
+            F.col("x.token").alias("token"), "node", "grp", "n", "s", "u", "met"))
+        best = queries.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("gn"), F.max("s").alias("gs"), F.min("u").alias("gu"))
+        other = rare.select("token", F.col("grp").alias("other")).distinct().join(best, "other")
+        col = F.col
+        reached = rare.join(other, (rare.token == other.token) & (col("grp") != col("other")) & possible(
+            col("n"), col("s"), col("u"), col("gn"), col("gs"), col("gu"))).groupBy("node", "other").agg(
+            F.count("*").alias("shared"), F.first("met").alias("met")).where("shared >= met").select("node", "other")
+        matrix = queries.select(F.col("grp").alias("other"), F.explode("tokens.token").alias("token")).distinct()
         bound = (reached.join(queries.select("node", "need", F.col("tokens.token").alias("token")), "node")
                  .select("node", "other", "need", F.explode("token").alias("token"))
-                 .join(matrix.withColumnRenamed("grp", "other"), ["token", "other"])
+                 .join(matrix, ["token", "other"])
                  .groupBy("node", "other").agg(F.count("*").alias("overlap"), F.first("need").alias("need"))
                  .where("overlap >= need").select("node", "other"))
         bound = keep(bound)
-        a = rare.join(bound, "node").select("token", F.col("node").alias("a"), F.col("grp").alias("ga"), F.col("n").alias("na"), "other")
-        b = rare.select("token", F.col("node").alias("b"), F.col("grp").alias("other"), F.col("n").alias("nb"))
-        pairs = a.join(b, ["token", "other"]).where("ga < other").where(
-            100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
-        return pairs.select("a", "b").distinct()
+        # a link qualifies in both directions, so one of them opens it
+        a = bound.join(queries.select("node", "grp", "n", "s", "u"), "node").select(col("node").alias("a"), col("grp").alias("ga"), "other", "n", "s", "u")
+        b = queries.select(col("node").alias("b"), col("grp").alias("other"), col("n").alias("gn"), col("s").alias("gs"), col("u").alias("gu"))
+        return a.where("ga < other").join(b, "other").where(possible(col("n"), col("s"), col("u"), col("gn"), col("gs"), col("gu"))).select("a", "b")
 
 
 def join(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
