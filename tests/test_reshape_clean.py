@@ -116,24 +116,36 @@ def test_wide_round_trip_from_events(spark):
     assert direct.exceptAll(back).count() == 0 and back.exceptAll(direct).count() == 0
 
 
-def test_no_cap_on_openings_and_days(spark):
-    """12 openings in a day and day 1000 survive the export and the way back."""
+def test_no_cap_on_openings(spark):
+    """12 openings in a day survive the export and the way back."""
     from dosewise.sources.events import EXPORT_DATE_RE, EXPORT_SLOT_RE, dose_events, wide_export
 
     rows = [(1, i, f"2020-01-02 {8 + i // 6:02d}:{5 * (i % 6):02d}:00") for i in range(12)]
-    rows += [(1, 100, "2020-01-01 08:00:00"), (1, 101, "2022-09-27 09:00:00"), (2, 102, "2022-09-26 09:00:00")]
+    rows += [(1, 100, "2020-01-01 08:00:00"), (2, 102, "2020-01-01 09:00:00")]
     ev = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     cols = ["user_id", "day_idx", "slot", "datetime", "numtimes", "interval_s", "withinrange"]
     direct = dose_events(ev).select(*cols)
     assert direct.where("day_idx = 2 and datetime is not null").count() == 12
-    assert direct.agg(F.max("day_idx")).first()[0] == 1001
     wide = wide_export(ev)
-    assert "date1001" in wide.columns and "MEMS_date002_time11" in wide.columns
+    assert "MEMS_date002_time11" in wide.columns
     back = wide_to_long(wide, date_re=EXPORT_DATE_RE, slot_re=EXPORT_SLOT_RE).withColumnRenamed("PtID", "user_id").select(*cols)
     assert direct.exceptAll(back).count() == 0 and back.exceptAll(direct).count() == 0
+
+
+def test_day_1000(spark):
+    """The calendar reaches day 1000 and beyond, and its columns are read or refused, never skipped."""
+    from dosewise.sources.events import EXPORT_DATE_RE, EXPORT_SLOT_RE, dose_events, export_size
+
+    rows = [(1, 1, "2020-01-01 08:00:00"), (1, 2, "2022-09-26 09:00:00")]
+    ev = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert export_size(ev) == (1000, 1) and dose_events(ev).agg(F.max("day_idx")).first()[0] == 1000
+    wide = spark.createDataFrame([("1", "1/1/2020", "09/26/2022", "09:00:00", "1")],
+                                 "PtID string, DateEnroll string, date1000 string, MEMS_date1000_time0 string, MEMS_date1000_numtimes string")
+    back = wide_to_long(wide, date_re=EXPORT_DATE_RE, slot_re=EXPORT_SLOT_RE).first()
+    assert (back.day_idx, back.time) == (1000, "09:00:00")
     try:
         wide_to_long(wide)
-        raise AssertionError("expected ValueError for date1001")
+        raise AssertionError("expected ValueError for date1000")
     except ValueError:
         pass
 
