@@ -234,19 +234,22 @@ class TokenGroupJoin:
         rarest = F.expr(f"slice(tokens, 1, s - need + least({RARE_SHARED}, need))")
         rare = keep(queries.select("node", "grp", "n", "s", "u", "met", F.explode(rarest).alias("x")).select(
             F.col("x.token").alias("token"), "node", "grp", "n", "s", "u", "met"))
-        best = queries.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("gn"), F.max("s").alias("gs"), F.min("u").alias("gu"))
+        best = queries.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("gn"), F.max("s").alias("gs"), F.min("u").alias("gu"),
+                                                                F.count("*").alias("members"))
         other = rare.select("token", F.col("grp").alias("other")).distinct().join(best, "other")
         col = F.col
         reached = rare.join(other, (rare.token == other.token) & (col("grp") != col("other")) & possible(
             col("n"), col("s"), col("u"), col("gn"), col("gs"), col("gu"))).groupBy("node", "other").agg(
-            F.count("*").alias("shared"), F.first("met").alias("met")).where("shared >= met").select("node", "other")
+            F.count("*").alias("shared"), F.first("met").alias("met"), F.first("members").alias("members"))
+        reached = keep(reached.where("shared >= met").select("node", "other", "members"))
+        # a group of one is opened at once: its bound is the comparison itself
         matrix = queries.select(F.col("grp").alias("other"), F.explode("tokens.token").alias("token")).distinct()
-        bound = (reached.join(queries.select("node", "need", F.col("tokens.token").alias("token")), "node")
+        bound = (reached.where("members > 1").join(queries.select("node", "need", F.col("tokens.token").alias("token")), "node")
                  .select("node", "other", "need", F.explode("token").alias("token"))
                  .join(matrix, ["token", "other"])
                  .groupBy("node", "other").agg(F.count("*").alias("overlap"), F.first("need").alias("need"))
                  .where("overlap >= need").select("node", "other"))
-        bound = keep(bound)
+        bound = keep(bound.union(reached.where("members = 1").select("node", "other")))
         # a link qualifies in both directions, so one of them opens it
         a = bound.join(queries.select("node", "grp", "n", "s", "u"), "node").select(col("node").alias("a"), col("grp").alias("ga"), "other", "n", "s", "u")
         b = queries.select(col("node").alias("b"), col("grp").alias("other"), col("n").alias("gn"), col("s").alias("gs"), col("u").alias("gu"))
