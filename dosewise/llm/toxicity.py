@@ -37,13 +37,17 @@ THRESHOLD = 0.3
 RIDGE = 1.0
 
 
-def features(texts: list):
-    """(first row, bucket, row, rows) of the distinct features of each run of texts."""
+def features(texts: list, known: np.ndarray | None = None):
+    """(first row, bucket, row, rows) of the distinct features of each run of texts; with ``known``, of the features marked there."""
     for first, folded, row, n in letters.runs(texts):
         parts = [letters.grams(folded, row, size) for size in SIZES]
         bucket = np.concatenate([p[0] for p in parts]) & np.uint64(BUCKETS - 1)
         own = np.concatenate([p[1] for p in parts])
-        key = np.unique(own.astype(np.int64) * BUCKETS + bucket.astype(np.int64))
+        bucket = bucket.astype(np.int64)
+        if known is not None:
+            use = known[bucket]
+            bucket, own = bucket[use], own[use]
+        key = np.unique(own.astype(np.int64) * BUCKETS + bucket)
         yield first, key % BUCKETS, key // BUCKETS, n
 
 
@@ -67,10 +71,9 @@ def _chosen(batches, ratios):
     """The kept features of each text."""
     known = ratios.value != 0
     for batch in batches:
-        for first, bucket, row, n in features(batch.column("text").to_pylist()):
-            use = known[bucket]
-            bounds = np.searchsorted(row[use], np.arange(n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(first, n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket[use].astype(np.int32)))],
+        for first, bucket, row, n in features(batch.column("text").to_pylist(), known):
+            bounds = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(first, n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(bucket.astype(np.int32)))],
                                              names=["toxic", "buckets"])
 
 
@@ -137,7 +140,7 @@ def predict(docs: DataFrame, model, id_col="doc_id", text_col="text", threshold:
             score = np.zeros(len(batch))
             if shared.value is not None:
                 weights, intercept = shared.value
-                for first, bucket, row, n in features(batch.column("text").to_pylist()):
+                for first, bucket, row, n in features(batch.column("text").to_pylist(), weights != 0):
                     score[first:first + n] = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[bucket], n) + intercept, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                                              names=["doc_id", "held_out", "score", "predicted"])
