@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from dosewise.operators.oversample import neighbours, smote
@@ -42,6 +43,33 @@ def test_neighbours_forest_recall(spark):
     assert np.mean([((x[i] - np.array(n)) ** 2).sum() for i in range(len(x)) for n in got[tuple(x[i])]]) < 0.5 * far
 
 
+@pytest.mark.parametrize("n, kind", [(257, "binary"), (257, "gaussian"), (1500, "binary"), (1500, "gaussian"), (6000, "binary"), (6000, "gaussian")])
+def test_neighbours_recall_of_production(spark, n, kind):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, 12)) if kind == "gaussian" else rng.integers(0, 2, size=(n, 12)) + rng.normal(scale=0.1, size=(n, 12)), 6)
+    got = _lists(neighbours(_points(spark, x), 5, seed=1))
+    hit = 0
+    for i in range(n):
+        d2 = ((x - x[i]) ** 2).sum(1)
+        d2[i] = np.inf
+        hit += sum(((x[i] - np.array(v)) ** 2).sum() <= np.partition(d2, 4)[4] + 1e-9 for v in got[tuple(x[i])])
+    assert all(len(v) == 5 for v in got.values()) and hit >= 0.9 * 5 * n
+
+
+def test_neighbours_recall_with_nominals(spark):
+    rng = np.random.default_rng(12)
+    x, c = np.round(rng.normal(size=(1200, 3)), 6), rng.integers(0, 3, size=(1200, 2))
+    rows = [([float(v) for v in a], [str(v) for v in b]) for a, b in zip(x, c)]
+    got = neighbours(spark.createDataFrame(rows, "_v array<double>, _nv array<string>"), 5, seed=1, penalty=0.8).collect()
+    at, hit = {tuple(map(float, a)): i for i, a in enumerate(x)}, 0
+    for r in got:
+        i = at[tuple(r._v)]
+        d2 = ((x - x[i]) ** 2).sum(1) + 0.8 * (c != c[i]).sum(1)
+        d2[i] = np.inf
+        hit += sum(d2[at[tuple(m._v)]] <= np.partition(d2, 4)[4] + 1e-9 for m in r._nb)
+    assert len(got) == 1200 and hit >= 0.9 * 5 * 1200
+
+
 def test_smote_integer_input_keeps_fractions(spark):
     rng = np.random.default_rng(2)
     y = (np.arange(120) % 4 == 0).astype(int)
