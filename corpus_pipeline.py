@@ -16,6 +16,8 @@ from dosewise.llm.store import keep
 from dosewise.session import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: A repeated passage of so many words goes even if it is one line or two.
+PASSAGE_WORDS = 50
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of line runs; documents that lose all their words go."""
-    cut = line_runs.line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    """Texts without later copies of line runs, nor of passages of one or two lines; documents that lose all their words go."""
+    cut = line_runs.line_dedup(docs, min_words=PASSAGE_WORDS).where("n_removed = 0 or n_removed < n_lines")
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

@@ -7,7 +7,9 @@ suffixes whose name is unique are discarded after each round, as no longer
 prefix of theirs can repeat.  Suffixes with the same name at depth ``min_lines``
 form an LCP interval; its first suffix (by id, then line) is the copy that
 stays, and the lines below every later one are deleted.  Adjacent deleted
-windows join into maximal repeated runs (``longest_run``).
+windows join into maximal repeated runs (``longest_run``).  With ``min_words``
+the later copies of windows of one or two lines that hold so many words are
+deleted as well; their names are those of the first rounds.
 
 Scale: lines travel as hashes; counts are partial aggregates, joins are
 equi-joins on (document, line) or on the name, which AQE can split for a line
@@ -30,6 +32,7 @@ from .store import BROADCAST_BYTES, keep
 
 MIN_LINES = 3
 WORD = r"[^\x20\x09-\x0D]"
+SPACES = r"[\x20\x09-\x0D]+"
 #: Working columns; no input column may have one of these names.
 KEY = ["__run_id", "__run_none", "__run_text"]
 
@@ -45,34 +48,45 @@ def _again(names: DataFrame) -> DataFrame:
     return keep(names.join(twice, "name"))
 
 
-def _joined(names: DataFrame, shift: int) -> DataFrame:
+def _joined(names: DataFrame, shift: int, extra: list[str]) -> DataFrame:
     """Names of twofold prefixes: a suffix's own name and that of the suffix ``shift`` lines later."""
-    later = names.select(*KEY, (F.col("pos") - shift).alias("pos"), F.col("name").alias("next"))
-    return names.join(later, [*KEY, "pos"]).select(*KEY, "pos", F.xxhash64("name", "next").alias("name"))
+    later = names.select(*KEY, (F.col("pos") - shift).alias("pos"), F.col("name").alias("next"), *[F.col(c).alias(f"next_{c}") for c in extra])
+    return names.join(later, [*KEY, "pos"]).select(*KEY, "pos", F.xxhash64("name", "next").alias("name"), *[(F.col(c) + F.col(f"next_{c}")).alias(c) for c in extra])
 
 
-def suffix_names(docs: DataFrame, depth: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """(document key, pos, name): suffixes whose first ``depth`` lines occur twice or more, by prefix doubling."""
+def suffix_names(docs: DataFrame, depth: int, id_col="doc_id", text_col="text", min_words: int | None = None) -> dict[int, DataFrame]:
+    """(document key, pos, name) by lines: suffixes whose first ``depth`` lines occur twice or more, by prefix doubling; with
+    ``min_words`` also those whose first line or first two do and hold so many words."""
     held = F.filter(F.split(text_col, "\n"), lambda x: x.rlike(WORD))
-    lines = docs.where(F.col(text_col).isNotNull()).select(*_key(docs, id_col, text_col), F.posexplode(F.transform(held, lambda x: F.xxhash64(x))).alias("pos", "name"))
-    names, h = _again(lines), 1
-    while 2 * h <= depth:
-        names, h = _again(_joined(names, h)), 2 * h
-    return names if h == depth else _again(_joined(names, depth - h))
-
-
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col="doc_id", text_col="text") -> DataFrame:
+    extra = [] if min_words is None else ["words"]
+    count = {"words": lambda x: F.size(F.filter(F.split(x, SPACES), lambda w: w != ""))}
+    line = F.transform(held, lambda x: F.struct(F.xxhash64(x).alias("name"), *[count[c](x).alias(c) for c in extra]))
+    lines = docs.where(F.col(text_col).isNotNull()).select(*_key(docs, id_col, text_col), F.posexplode(line).alias("pos", "line")).select(
+        *KEY, "pos", "line.name", *[f"line.{c}" for c in extra])
+    names, h, found = _again(lines), 1, {}
+    while h < depth:
+        if extra and h <= 2:
+            found[h] = names.where(F.col("words") >= min_words).drop("words")
+        step = min(h, depth - h)
+        names, h = _again(_joined(names, step, extra)), h + step
+    return found | {depth: names.drop("words")}
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col="doc_id", text_col="text", min_words: int | None = None) -> DataFrame:
     """(document key, __run_gone): positions, among the lines with a word, of the later copies of repeated runs."""
-    names = suffix_names(docs, min_lines, id_col, text_col)
     place = F.struct(KEY[1], KEY[0], KEY[2], "pos")
-    first = names.groupBy("name").agg(F.min(place).alias("first"))
-    later = names.join(first, "name").where(place > F.col("first"))
-    return later.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1)))))).alias("__run_gone"))
-
-
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col="doc_id", text_col="text") -> DataFrame:
-    """The input columns, the text without later copies of runs of ``min_lines`` lines or more, and n_lines, n_removed and longest_run."""
-    gone = keep(repeated_lines(docs, min_lines, id_col, text_col))
+    gone = None
+    for n, names in suffix_names(docs, min_lines, id_col, text_col, min_words).items():
+        first = names.groupBy("name").agg(F.min(place).alias("first"))
+        later = names.join(first, "name").where(place > F.col("first")).select(*KEY, F.sequence(F.col("pos"), F.col("pos") + (n - 1)).alias("at"))
+        gone = later if gone is None else gone.union(later)
+    return gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("__run_gone"))
+
+
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col="doc_id", text_col="text", min_words: int | None = None) -> DataFrame:
+    """The input columns, the text without later copies of runs of ``min_lines`` lines or more (and of shorter ones with a window
+    of one or two lines and ``min_words`` words), and n_lines, n_removed and longest_run."""
+    gone = keep(repeated_lines(docs, min_lines, id_col, text_col, min_words))
     size = gone.agg(F.sum(F.size("__run_gone") * 4 + 64).alias("n")).first()["n"] or 0
     side = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     out = docs.withColumns({n: c for n, c in zip(KEY, _key(docs, id_col, text_col))}).join(side, KEY, "left")

@@ -72,3 +72,13 @@ def test_stages_take_edge_tables(spark, tmp_path):
                 assert out.columns == frame.columns
     assert corpus_pipeline.known_language(spark, docs, "").where(F.col("text").isNull()).count() == 0
     assert corpus_pipeline.uncontaminated(spark, docs, str(tmp_path)).where("doc_id = 5").count() == 0
+
+
+def test_pipeline_removes_long_passages_on_one_or_two_lines(spark):
+    rnd = random.Random(3)
+    passage, pair, short = prose(rnd, 60, 9000), prose(rnd, 30, 9000) + "\n" + prose(rnd, 30, 9000), prose(rnd, 20, 9000)
+    own = [prose(rnd, 30, 9000) for _ in range(6)]
+    rows = [(i, f"{own[2 * k]}\n{p}\n{own[2 * k + 1]}") if i < 10 else (i, f"{p}\n{own[2 * k]} tail") for k, p in enumerate((passage, pair, short)) for i in (k, 10 + k)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.unique_lines(spark, table(spark, rows), "").collect()}
+    assert {i: got[i] for i in range(3)} == {r[0]: r[1] for r in rows if r[0] < 3}
+    assert got[10] == own[0] + " tail" and got[11] == own[2] + " tail" and got[12] == short + "\n" + own[4] + " tail"

@@ -186,6 +186,38 @@ def test_line_runs_match_brute_force(spark, depth):
     assert line_runs.line_dedup(table(spark, rows).limit(0), min_lines=depth).count() == 0
 
 
+def brute_short_runs(rows, n, min_words):
+    """Also windows of one or two lines with ``min_words`` words."""
+    seen, out = set(), []
+    for doc, text in sorted(set(rows), key=lambda r: r[0]):
+        lines = text.split("\n")
+        held, gone = [i for i, x in enumerate(lines) if words(x)], set()
+        for size in {1, 2, n}:
+            for i in range(len(held) - size + 1):
+                g = tuple(lines[j] for j in held[i:i + size])
+                if size < n and sum(len(words(x)) for x in g) < min_words:
+                    continue
+                if g in seen:
+                    gone |= set(held[i:i + size])
+                seen.add(g)
+        out.append((doc, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(held), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_line_runs_of_one_or_two_long_lines(spark, depth):
+    rnd = random.Random(40 + depth)
+    pool = [prose(rnd, n, 50) for n in (1, 2, 5, 6, 7, 12, 13, 14)] + ["", " ", "a\x0bb  c"]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 7)))) for i in range(40)]
+    rows += [(100, prose(rnd, 13, 9000)), (101, prose(rnd, 12, 9000)), (102, "one two\n" + prose(rnd, 11, 9000))]
+    rows += [(r[0] + 100, r[1]) for r in rows[-3:]] + [rows[0]]
+    got = line_runs.line_dedup(table(spark, rows), min_lines=depth, min_words=13)
+    want = brute_short_runs(rows, depth, 13)
+    assert sorted(set(rows_of(got, "doc_id", "text", "n_lines", "n_removed")), key=repr) == sorted(want, key=repr)
+    left = {r[0]: r[3] for r in want}
+    assert (left[200], left[202]) == (1, 2) and (left[201] == 0 or depth == 1)
+
+
 # --- phrase index
 def index_words(text):
     import re
