@@ -2,9 +2,9 @@
 
 Each language's frequent character trigrams (share of its trigrams in the
 training texts at least ``MIN_SHARE``) are its set.  One filter holds all sets:
-a slot is a bitmask with one bit per language, a trigram sets its languages' bits
-in ``HASHES`` slots, and the AND of these slots returns all languages that
-contain it.  A text's popcount per language, corrected for that language's false
+a slot is a bitmask with one bit per language (a column of masks, 8 MB, for every
+64 languages), a trigram sets its languages' bits in ``HASHES`` slots, and the AND
+of these slots returns all languages that contain it.  A text's popcount per language, corrected for that language's false
 positives, decides.
 
 Scale: trigrams are counted over all training texts, pre-aggregated per task and
@@ -76,24 +76,25 @@ class Filter:
     """The bit-sliced filter: languages, slot masks and each language's false-positive rate."""
 
     def __init__(self, langs: list[str], gram: np.ndarray, bit: np.ndarray, sizes: list[int]):
-        if len(langs) > 64:
-            raise ValueError("more than 64 languages")
         self.langs = langs
         self.prior = int(np.argmax(sizes)) if langs else 0
-        self.masks = np.zeros(SLOTS, np.uint64)
+        self.masks = np.zeros((-(-len(langs) // 64), SLOTS), np.uint64)
         for slot in _slots(gram):
-            np.bitwise_or.at(self.masks, slot, np.uint64(1) << bit.astype(np.uint64))
-        fill = [np.count_nonzero(self.masks >> np.uint64(j) & np.uint64(1)) / SLOTS for j in range(len(langs))]
+            np.bitwise_or.at(self.masks, (bit // 64, slot), np.uint64(1) << (bit % 64).astype(np.uint64))
+        fill = [np.count_nonzero(self.masks[j // 64] >> np.uint64(j % 64) & np.uint64(1)) / SLOTS for j in range(len(langs))]
         self.false = np.array(fill) ** HASHES
 
     def counts(self, gram: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Corrected number of trigrams per text and language, and all trigrams per text."""
         slots = _slots(gram)
-        mask = self.masks[slots[0]]
-        for slot in slots[1:]:
-            mask &= self.masks[slot]
         total = np.bincount(row, minlength=n)
-        hits = np.stack([np.bincount(row, (mask >> np.uint64(j) & np.uint64(1)).astype(float), n) for j in range(len(self.langs))], axis=1)
+        hits = np.empty((n, len(self.langs)))
+        for c, masks in enumerate(self.masks):
+            mask = masks[slots[0]]
+            for slot in slots[1:]:
+                mask &= masks[slot]
+            for j in range(min(64, len(self.langs) - 64 * c)):
+                hits[:, 64 * c + j] = np.bincount(row, (mask >> np.uint64(j) & np.uint64(1)).astype(float), n)
         return np.maximum(0, (hits - total[:, None] * self.false) / (1 - self.false)), total
 
     def decide(self, texts: list) -> tuple[list[str], np.ndarray]:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -174,6 +175,15 @@ def synthetic(seed=0, n=240):
     return rows
 
 
+def test_language_id_of_130_languages(spark):
+    rnd = random.Random(6)
+    alphabets = rnd.sample(list(combinations("abcdefghijklmnopqrstuvwxyz", 5)), 130)
+    rows = [(i, " ".join("".join(rnd.choice(alphabets[i % 130]) for _ in range(6)) for _ in range(40)), f"l{i % 130:03d}") for i in range(1300)]
+    got = language_id.language_id(table(spark, rows)).collect()
+    assert len(got) == 1300 and sum(r.lang_pred == f"l{r.doc_id % 130:03d}" for r in got if r.held_out) > 0.95 * sum(r.held_out for r in got)
+    assert {r.lang_pred for r in got} >= {"l000", "l063", "l064", "l127", "l128", "l129"}
+
+
 def test_language_id_held_out_and_edges(spark):
     rows = synthetic() + [(900, None, "en"), (901, "123 !", "fr"), (902, "", None), (903, "日本語", None), (None, "the whing shtion", None)]
     got = {r.doc_id: r for r in language_id.language_id(table(spark, rows)).collect()}
