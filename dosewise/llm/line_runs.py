@@ -1,13 +1,14 @@
-"""Line dedup by a suffix array over line-ID sequences (DataFrame operations only).
+"""Line dedup by prefix doubling over line-ID sequences (DataFrame operations only).
 
 A document is the sequence of the ids (hashes) of its lines that hold a word.
 Prefix doubling names the suffixes of all documents by their first h lines:
 the name for 2h lines is made of the names at a position and h lines later, and
 suffixes whose name is unique are discarded after each round, as no longer
-prefix of theirs can repeat.  Suffixes with the same name at depth ``min_lines``
-form an LCP interval; its first suffix (by id, then line) is the copy that
-stays, and the lines below every later one are deleted.  Adjacent deleted
-windows join into maximal repeated runs (``longest_run``).  With ``min_words``
+prefix of theirs can repeat.  Doubling ends at depth ``min_lines``: of the suffixes
+with one name the first (by id, then line) is the copy that stays, and the lines
+below every later one are deleted.  No suffix order, LCP or maximal interval is
+built.  ``longest_run`` is the most adjacent lines deleted in a document, which
+may be copies from several documents.  With ``min_words``
 the later copies of windows of one or two lines that hold so many words are
 deleted as well; their names are those of the first rounds.
 
