@@ -1,18 +1,21 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by fixed windows, grouped by hash in two steps of prefix length.
 
-A repeat is a window of 13 words that starts in two documents or more.  Its
-suffixes meet in one deep internal node, which is found in three steps:
+A repeat is a window of 13 words that starts in two documents or more.  No suffix
+tree is built: nothing deeper than 13 words decides a removal, so the suffixes
+that would meet in an internal node at that depth are grouped by the 64-bit hash
+of these words, in three steps:
 
 1. Sparse suffixes: of the suffixes inside a window only the one with the least
    7-word prefix (by hash) is kept as its anchor, the same for equal windows;
    about a quarter of all suffixes remain.  Prefixes of one document only drop
    out: their subtrees have no internal node.
-2. Variable-length prefixes: a prefix that several documents share is extended
+2. Second length: a prefix that several documents share is extended
    to the full depth of 13 words, and its suffixes are dealt out by that longer
    prefix, so a group holds the suffixes of one path whatever its prefix's size.
-3. Nodes: the suffixes of a group are one internal node at depth 13; its least
-   document keeps the words, all later ones lose them.  Adjacent nodes of a
-   document join into the maximal repeats (``removed_spans``).
+3. Nodes: the suffixes of a group are what a tree has below one node at depth 13;
+   its least document keeps the words, all later ones lose them.  Adjacent windows
+   of a document join into ``removed_spans``, whose words may come from several
+   documents, so a span is no maximal repeat.
 
 Skew: a sample of the documents names the heavy prefixes (in more than
 ``HEAVY_SHARE`` of it; their number is bounded by the share).  These are shared
