@@ -257,7 +257,8 @@ class TokenGroupJoin:
 
 
 def join(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): per input row doc_id, n_shingles and component_id; and the verified links between nodes."""
+    """(documents, links): per input row doc_id, n_shingles and component_id; and spanning links: verified links
+    between nodes that join each component, not all links (most of those inside a group are not listed)."""
     run = TokenGroupJoin(docs, k, percent, id_col, text_col)
     links = run.leader_links()
     groups = keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
