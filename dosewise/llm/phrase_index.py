@@ -6,7 +6,7 @@ the index stores the postings (document, position) of just these terms.  A
 posting of the item's j-th word at position p lies on the diagonal p - j, so the
 lists of an item are intersected by grouping on (document, item, diagonal), and
 the diagonals that hold two terms are compared word by word.  ``near_matches``
-groups the same postings by neighbouring diagonals instead.
+groups the same postings by neighbouring diagonals instead; no query asks for it.
 
 Scale: documents are never shuffled as words: the explode meets the benchmark's
 terms in a broadcast join if their counted size allows it (shuffle join beyond
@@ -98,14 +98,29 @@ class PhraseIndex:
         return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(tried, lambda c: F.size(c["spans"]) > 0).alias("found"))
 
     def near_matches(self, slop: int = 8, share: float = 0.8) -> DataFrame:
-        """(doc_id, text_key, item_id, start, n): places where ``share`` of an item's stored terms lie within ``slop`` of their distance."""
+        """(doc_id, text_key, item_id, start, n): items of which a window has ``share`` of its stored terms within ``slop`` of their
+        distance in the document; the first such place and the most terms met."""
+        size = small(self.items.select("item_id", "item_key", "len", F.size("item").alias("size")), 40)
+        held = self.lookups.join(size, ["item_id", "item_key"]).select("item_id", "item_key", "offset", F.explode(F.sequence(
+            F.greatest(F.lit(0), F.col("offset") - F.col("len") + 1), F.least(F.col("offset"), F.col("size") - F.col("len")))).alias("window")).distinct()
+        whole = held.groupBy("item_id", "item_key", "window").agg(F.count("*").alias("whole"))
+        held = keep(held.join(whole, ["item_id", "item_key", "window"]))
         rows = self._aligned()
-        # two half-overlapping rows of buckets, so that any two diagonals within slop / 2 share one
-        near = rows.withColumn("bucket", F.explode(F.array(F.floor(F.col("diagonal") / slop) * 2, F.floor((F.col("diagonal") + slop // 2) / slop) * 2 + 1)))
-        met = near.groupBy("doc_id", "text_key", "item_id", "item_key", "bucket").agg(F.count_distinct("offset").alias("n"), F.min("pos").alias("start"))
-        whole = self.lookups.groupBy("item_id", "item_key").agg(F.count_distinct("offset").alias("whole"))
-        return met.join(whole, ["item_id", "item_key"]).where(F.col("n") >= share * F.col("whole")).groupBy("doc_id", "text_key", "item_id").agg(
-            F.min("start").alias("start"), F.max("n").alias("n"))
+        # two half-overlapping rows of buckets, so that any two diagonals within slop share one
+        rows = rows.withColumn("bucket", F.explode(F.array(F.floor(F.col("diagonal") / (2 * slop)) * 2, F.floor((F.col("diagonal") + slop) / (2 * slop)) * 2 + 1)))
+        # a window has at most 2 x slop postings of each of its words in a bucket
+        met = rows.join(small(held, 64), ["item_id", "item_key", "offset"]).groupBy("doc_id", "text_key", "item_id", "item_key", "bucket", "window").agg(
+            F.first("whole").alias("whole"), F.collect_set(F.struct("diagonal", "offset", "pos")).alias("terms"))
+
+        def tight(d):
+            """The terms whose diagonals are d to d + slop."""
+            return F.filter("terms", lambda x: (x["diagonal"] >= d["diagonal"]) & (x["diagonal"] <= d["diagonal"] + slop))
+
+        met = met.where(F.size("terms") >= share * F.col("whole"))
+        places = met.withColumn("places", F.transform("terms", lambda d: F.struct(
+            F.array_min(F.transform(tight(d), lambda x: x["pos"])).alias("start"), F.size(F.array_distinct(F.transform(tight(d), lambda x: x["offset"]))).alias("n"))))
+        found = places.select("doc_id", "text_key", "item_id", "whole", F.explode("places").alias("x")).select("doc_id", "text_key", "item_id", "whole", "x.*")
+        return found.where(F.col("n") >= share * F.col("whole")).groupBy("doc_id", "text_key", "item_id").agg(F.min("start").alias("start"), F.max("n").alias("n"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text",

@@ -264,3 +264,17 @@ def test_phrase_index_near_matches(spark):
     index = phrase_index.PhraseIndex(table(spark, rows), spark.createDataFrame([(9, item)], "item_id long, text string"))
     assert {r.doc_id for r in index.near_matches(slop=8).collect()} >= {1, 4}
     assert {r.doc_id for r in index.matches().where(F.size("found") > 0).collect()} == {4}
+
+
+def test_phrase_index_near_matches_up_to_slop_and_in_long_items(spark):
+    rnd = random.Random(14)
+    item, whole = prose(rnd, 13, 10**6), prose(rnd, 130, 10**6)
+    w, v = item.split(), whole.split()
+    # gaps of 1 to 12 words between the stored terms, the first two of equally rare ones, at 16 places each
+    rows = [(100 * gap + lead, " ".join([prose(rnd, lead + 1), w[0], *["gap"] * gap, *w[1:]])) for gap in range(1, 13) for lead in range(16)]
+    rows += [(5000, prose(rnd, 20) + " " + " ".join([*v[60:70], "extra", *v[70:86]]) + " " + prose(rnd, 20)), (5001, prose(rnd, 60))]
+    bench = spark.createDataFrame([(9, item), (8, whole)], "item_id long, text string")
+    index = phrase_index.PhraseIndex(table(spark, rows), bench)
+    got = {(r.doc_id, r.item_id) for r in index.near_matches(slop=8).collect()}
+    assert {r.offset for r in index.lookups.where("item_id = 9").collect()} == {0, 1}
+    assert got == {(r[0], 9) for r in rows[:-2] if r[0] // 100 <= 8} | {(5000, 8)}
