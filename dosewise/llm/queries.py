@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (jaccard_join, language_id, line_quality, line_runs, phrase_index, pii_anchors, rans_output, segment_bpe,
+from . import (jaccard_join, language_id, line_quality, line_runs, phrase_index, phrase_mining, pii_anchors, rans_output, segment_bpe,
                substring_dedup, toxicity)
 from .sql import SQL
 
@@ -77,4 +77,9 @@ def op10_rans_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_output.write_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(read_table(spark, sf_dir, "documents"))
+
+
 ORACLE: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

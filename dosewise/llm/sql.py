@@ -91,3 +91,26 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n,
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+SQL["op11_phrase_mining"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, g, count(*) AS a FROM g GROUP BY lang, g HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+inner_of AS (
+  SELECT lang, g[i:j] AS g, max(a) AS most
+  FROM (SELECT lang, g, a, i, unnest(range(i + 1, len(g) + 1)) AS j FROM (SELECT lang, g, a, unnest(range(1, len(g))) AS i FROM f WHERE len(g) > 2))
+  WHERE j - i + 1 < len(g) GROUP BY 1, 2),
+held AS (SELECT f.lang, f.g, f.a FROM f LEFT JOIN inner_of ON inner_of.lang = f.lang AND inner_of.g = f.g WHERE len(f.g) > 1 AND (most IS NULL OR most < a)),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM held),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:] JOIN t ON t.lang = c.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM scored),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best WHERE place = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""

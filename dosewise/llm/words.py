@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; one longer text is a run of its own.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -75,8 +75,17 @@ class Run:
         """Row of each word."""
         return np.repeat(np.arange(self.n), np.diff(self.bounds))
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(_BYTE[self.data], self.starts, self.ends)
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """64-bit hash of each word; another ``salt`` gives another hash function."""
+        return span_hashes((mix(_BYTE + np.uint64(salt)) if salt else _BYTE)[self.data], self.starts, self.ends)
+
+    def texts(self, index: np.ndarray) -> pa.StringArray:
+        """The words of these numbers."""
+        lengths = self.ends[index] - self.starts[index]
+        ends = np.cumsum(lengths)
+        at = np.arange(int(lengths.sum())) + np.repeat(self.starts[index] - (ends - lengths), lengths)
+        offsets = np.append(0, ends).astype(np.int32)
+        return pa.StringArray.from_buffers(len(index), pa.py_buffer(offsets), pa.py_buffer(self.data[at]))
 
 
 def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,8 +107,8 @@ def grams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return mix(out[at]), at
 
 
-def runs(column: pa.Array, lower: bool = False, run_bytes: int = RUN_BYTES) -> Iterator[Run]:
-    """Cut a string column (null: empty) into runs of about ``run_bytes``."""
+def runs(column: pa.Array, lower: bool = False, run_bytes: int = RUN_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[Run]:
+    """Cut a string column (null: empty) into runs of about ``run_bytes``; words lie between the bytes of ``gaps``."""
     column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")
     if not len(column):
         return
@@ -112,13 +121,13 @@ def runs(column: pa.Array, lower: bool = False, run_bytes: int = RUN_BYTES) -> I
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + run_bytes, "right")) - 1)
         last = min(last, len(column))
         own = data[offsets[first]:offsets[last]]
-        yield cut(first, _LOWER[own] if lower else own, offsets[first:last + 1] - offsets[first])
+        yield cut(first, _LOWER[own] if lower else own, offsets[first:last + 1] - offsets[first], gaps)
         first = last
 
 
-def cut(first: int, data: np.ndarray, offsets: np.ndarray) -> Run:
+def cut(first: int, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> Run:
     n = len(data)
-    gap = _SPACE[data]
+    gap = gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     opens, closes = ~gap, ~gap
