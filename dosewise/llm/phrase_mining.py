@@ -272,7 +272,7 @@ def collocations(docs: DataFrame, text_col="text", lang_col="lang", least: int =
         done = limit
         if first.isEmpty():
             continue
-        phrases = keep(_phrases(sequences, first, least))
+        phrases = keep(_phrases(sequences, first, least).join(first, "h1", "left_semi"))
         known = known.unionByName(phrases.select(*_names(), "a"))
         own_scores = _scored(sequences, phrases, known, frequent, totals)
         scored = own_scores if scored is None else scored.unionByName(own_scores)
