@@ -47,7 +47,9 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"RNS1"
 END_ID = 1
-MEMORY_WORDS = 400_000
+#: Words of a generation of a worker's memory (about 40 bytes each), and letter strings kept beside it.
+MEMORY_WORDS = 1_000_000
+MEMORY_CORES = 200_000
 
 SEGMENTS = "part int, start long, n_ids long, payload binary"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -56,7 +58,12 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # --- coding -----------------------------------------------------------------------------------------------------------
 def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in use and their frequencies, scaled to a sum of 2**SCALE with at least 1 each."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if ids.max(initial=0) < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     total = 1 << SCALE
     if len(symbols) > total // 2:
         raise ValueError("too many different ids for the table's scale")
@@ -117,7 +124,12 @@ def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """Bytes of one segment."""
     symbols, freq = table(ids)
     start = (np.cumsum(freq) - freq).astype(np.uint64)
-    index = np.searchsorted(symbols, ids)
+    if symbols[-1:].max(initial=0) < 1 << 22:
+        place = np.zeros(int(symbols[-1:].max(initial=0)) + 1, np.int64)
+        place[symbols] = np.arange(len(symbols))
+        index = place[ids]
+    else:
+        index = np.searchsorted(symbols, ids)
     wide = freq.astype(np.uint64)
     heads, bodies = [], []
     for first in range(0, len(ids), BLOCK_IDS):
@@ -174,23 +186,73 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: What ``core`` and the split at white space take for granted of a tokenizer file.
+ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+class Generation:
+    """Keys (sorted) with their id sequences, read and added to in bulk."""
+
+    def __init__(self):
+        self.keys = np.empty(0, np.uint64)
+        self.codes = np.empty(0, np.int32)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Code of each key, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.codes[at], -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Codes of new keys (sorted) and their concatenated ids."""
+        codes = np.arange(len(self.lengths), len(self.lengths) + len(keys), dtype=np.int32)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.codes = np.insert(self.keys, at, keys), np.insert(self.codes, at, codes)
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids.astype(np.int32))
+        return codes
+
+    def read(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[codes]
+        return self.ids[ragged(self.starts[codes], lengths)], lengths
+
+
 class WordTokenizer:
-    """Ids of white-space separated words by the tokenizers library, through a bounded memory keyed by the word's hash.
+    """Ids of white-space separated words by the tokenizers library, through a memory keyed by the word's hash.
 
-    The tokenizer never joins characters across white space, so a text's ids are
-    those of its words in order.
+    A tokenizer as in ``ASSUMED`` never joins characters across white space, so a text's
+    ids are those of its words in order; any other file's texts are encoded whole.
+    The memory has two generations of at most ``MEMORY_WORDS`` words: a full one becomes
+    the old one, whose words move over as they are met again.
     """
 
     _shared: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        self.size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
+        said = json.loads(self.whole.to_str())
+        # added tokens are found in the raw text: one that takes in white space reaches over words
+        self.by_word = all(said[k] == v for k, v in ASSUMED.items()) and said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not any(
+            t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(" \t\n\x0b\x0c\r") or _PLAIN(t["content"])
+            for t in said["added_tokens"])
         self.letters = dict(enumerate(byte_letters()))
-        self.forget()
+        self.now, self.old = Generation(), Generation()
+        self.cores: dict[str, list[int]] = {}
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -198,15 +260,12 @@ class WordTokenizer:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def forget(self):
-        self.codes: dict[int, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.ids, self.lengths, self.starts = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-
     def core(self, letters: str) -> list[int]:
         got = self.cores.get(letters)
         if got is None:
             got = [t.id for t in self.model.tokenize(letters.lower().encode().decode("latin-1").translate(self.letters))]
+            if len(self.cores) >= MEMORY_CORES:
+                self.cores.clear()
             self.cores[letters] = got
         return got
 
@@ -224,23 +283,26 @@ class WordTokenizer:
 
     def encode(self, run: W.Run) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a run's rows, and the bounds of each row's."""
+        data = run.data.tobytes()
+        if not self.by_word:
+            texts = [data[a:b].decode() for a, b in zip(run.offsets[:-1].tolist(), run.offsets[1:].tolist())]
+            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.int64), np.append(0, np.cumsum([len(x) for x in got])).astype(np.int64)
         keys, first, inverse = np.unique(run.hashes(), return_index=True, return_inverse=True)
-        if len(self.codes) > MEMORY_WORDS:
-            self.forget()
-        known = np.fromiter((self.codes.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(known < 0)
+        if len(self.now.keys) > MEMORY_WORDS:
+            self.now, self.old = Generation(), self.now
+        known = self.now.find(keys)
+        lost = np.flatnonzero(known < 0)
+        before = self.old.find(keys[lost])
+        moved, new = lost[before >= 0], lost[before < 0]
+        if len(moved):
+            known[moved] = self.now.add(keys[moved], *self.old.read(before[before >= 0]))
         if len(new):
-            data = run.data.tobytes()
             got = self.tokenize([data[a:b].decode() for a, b in zip(run.starts[first[new]].tolist(), run.ends[first[new]].tolist())])
             lengths = np.array([len(x) for x in got], np.int64)
-            known[new] = np.arange(len(self.codes), len(self.codes) + len(new))
-            self.codes.update(zip(keys[new].tolist(), known[new].tolist()))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
-            self.lengths = np.append(self.lengths, lengths)
-            self.ids = np.append(self.ids, np.fromiter((i for x in got for i in x), np.int64, int(lengths.sum())))
-        codes = known[inverse]
-        lengths = self.lengths[codes]
-        return self.ids[ragged(self.starts[codes], lengths)], np.append(0, np.cumsum(lengths))[run.bounds]
+            known[new] = self.now.add(keys[new], np.fromiter((i for x in got for i in x), np.int64, int(lengths.sum())), lengths)
+        ids, lengths = self.now.read(known[inverse])
+        return ids, np.append(0, np.cumsum(lengths))[run.bounds]
 
 
 # --- files ------------------------------------------------------------------------------------------------------------

@@ -54,10 +54,10 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the table read back."""
     path = folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,22 @@
 """Phrase mining, retrieval packing and periodic runs against plain Python."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
 from cases import edge_rows, prose, table
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from dosewise.llm import phrase_mining
+from dosewise.llm import retrieval_packing as R
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def fold(text):
@@ -69,3 +77,97 @@ def test_phrase_scores_pass_64_bits(spark):
     wide = "decimal(19,0)"
     got = known.select(F.expr(f"(cast(a as {wide}) * cast(n as {wide}) * 1000) div (cast(l as {wide}) * cast(r as {wide}))").alias("s")).first()
     assert got.s == 1000 * 3 * 10**12 * 7 * 10**13 // (2 * 10**13 * 5 * 10**12)
+
+
+# --- retrieval packing
+def checked_sequences(rows, got, window, end_id=2):
+    """Sequences of the pieces, after a look at every rule of their form."""
+    library = Tokenizer.from_file(WORDS)
+    texts = Counter((r[0], tuple([*library.encode(r[1] or "", add_special_tokens=False).ids, end_id])) for r in rows)
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for p in got:
+        assert len(p.ids) == p.length > 0 and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        pieces[p.doc_id].append(p)
+        sequences[p.sequence_id].append(p)
+    for doc, own in pieces.items():
+        wanted = Counter()
+        for (d, ids), n in texts.items():
+            if d == doc:
+                for start in {p.start for p in own}:
+                    for p in own:
+                        if p.start == start and p.doc_tokens == len(ids) and tuple(p.ids) == ids[start:start + p.length]:
+                            wanted[ids] += p.length
+        assert sum(p.length for p in own) == sum(len(ids) * n for (d, ids), n in texts.items() if d == doc)
+        if sum(n for (d, _), n in texts.items() if d == doc) == 1:
+            ids, = [ids for d, ids in texts if d == doc]
+            at = 0
+            for p in sorted(own, key=lambda p: p.start):
+                assert p.start == at and p.doc_tokens == len(ids) and tuple(p.ids) == ids[at:at + p.length]
+                at += p.length
+            assert at == len(ids)
+    assert {d for d, _ in texts} == set(pieces)
+    for own in sequences.values():
+        own.sort(key=lambda p: p.offset)
+        at = 0
+        for p in own:
+            assert p.offset == at
+            at += p.length
+        assert at == window or (at < window and at & (at - 1) == 0)
+    return sequences
+
+
+@pytest.mark.parametrize("window,shard", [(64, 7), (4096, 1024)])
+def test_packing_covers_every_id_once(spark, window, shard):
+    rows = edge_rows() + [(100 + i, t) for i, t in enumerate(["a <|endoftext|> b", "<|startoftext|>", "don't. Stop! \u00e9\u0301 \u4e2d\u6587 x1y22"])]
+    got = R.pack(table(spark, rows).repartition(3), WORDS, window=window, shard_docs=shard, with_ids=True).collect()
+    sequences = checked_sequences(rows, got, window)
+    assert sum(sum(p.length for p in own) < window for own in sequences.values()) <= 13  # powers of two at the end of the only range
+    assert R.pack(table(spark, rows).limit(0), WORDS).count() == 0
+    assert R.pack(table(spark, rows), WORDS).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_packing_in_several_ranges_is_the_same_on_each_run(spark, monkeypatch):
+    monkeypatch.setattr(R, "RANGE_LEAST", 500)
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, rnd.randrange(1, 300), 60)) for i in range(60)]
+    one, two = (sorted(map(tuple, R.pack(table(spark, rows).repartition(n), WORDS, window=256).collect())) for n in (2, 5))
+    assert one == two and len({p[5] >> 40 for p in one}) > 1
+
+
+def brute_bm25(docs, query, idf, mean):
+    out = []
+    for d in docs:
+        count, score = Counter(d), 0.0
+        for t in set(query):
+            if count[t]:
+                score += idf[t] * count[t] * (R.K1 + 1) / (count[t] + R.K1 * (1 - R.B + R.B * len(d) / mean))
+        out.append(score)
+    return out
+
+
+def test_neighbours_are_ranked_by_bm25_and_used_ones_left_out():
+    rnd = np.random.default_rng(1)
+    docs = [rnd.zipf(1.4, rnd.integers(1, 60)) % 300 for _ in range(80)]
+    mean = sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    idf = np.array([math.log(1 + (80 - df[t] + 0.5) / (df[t] + 0.5)) for t in range(300)])
+    shard = R.Shard(np.concatenate(docs).astype("<u2"), np.append(0, np.cumsum([len(d) for d in docs])), idf, mean)
+    for seed in rnd.permutation(80)[:70].tolist():
+        if shard.unused[seed]:
+            shard.use(seed)
+        scores = brute_bm25([d.tolist() for d in docs], docs[seed].tolist(), idf, mean)
+        want = [d for d in range(80) if shard.unused[d] and scores[d] > 0]
+        got = shard.neighbours(seed).tolist()
+        assert sorted(got) == want
+        assert all(scores[a] >= scores[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_windows_hold_documents_on_one_subject(spark):
+    rnd = random.Random(8)
+    subjects = [t.split() for t in ("ship sea harbor sail captain wave anchor", "bread flour oven yeast butter sugar cake", "court judge law jury trial lawyer crime",
+                                    "guitar drum song band singer concert music", "planet star orbit moon comet galaxy telescope", "goal team coach match league player football")]
+    rows = [(i, " ".join(rnd.choice(subjects[i % 6]) for _ in range(40))) for i in range(240)]
+    mixed = defaultdict(set)
+    for p in R.pack(table(spark, rows), WORDS, window=512).collect():
+        mixed[p.sequence_id].add(p.doc_id % 6)
+    assert sum(map(len, mixed.values())) / len(mixed) < 2

@@ -90,7 +90,6 @@ def test_rans_round_trip_and_damage(monkeypatch):
 
 def test_word_tokenizer_equals_the_library():
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     texts, own = odd_texts(), []
     for run in W.runs(pa.array(texts), run_bytes=5000):
         ids, bounds = rans_output.WordTokenizer.shared(WORDS).encode(run)
@@ -104,7 +103,6 @@ def test_rans_files_in_id_order(spark, monkeypatch):
     rnd.shuffle(rows)
     docs = table(spark, rows).repartition(5)
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     want, start = [], 0
     for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*library.encode(r[1] or "", add_special_tokens=False).ids, 1]
