@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (jaccard_join, language_id, line_quality, line_runs, phrase_index, phrase_mining, pii_anchors, rans_output,
-               retrieval_packing, segment_bpe, substring_dedup, toxicity)
+from . import (jaccard_join, language_id, line_quality, line_runs, periodic_runs, phrase_index, phrase_mining, pii_anchors,
+               rans_output, retrieval_packing, segment_bpe, substring_dedup, toxicity)
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,4 +87,9 @@ def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents"), plant=True)
+
+
 ORACLE: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

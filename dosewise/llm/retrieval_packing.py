@@ -244,8 +244,9 @@ def fill(packer: Packer, doc_ids: list, ids: np.ndarray, bounds: np.ndarray, idf
                     last = doc  # its rest is the next seed
                 if not whole or not packer.filled:
                     break
-            if last == seed:
+            if last == seed:  # no neighbour left: the next seed goes on in the open window
                 break
+            seed = last
 
 
 def _pack(batches, wide: bool, idf, mean: float, window: int, shard_docs: int, with_ids: bool):
@@ -291,7 +292,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text",
     found = tokens.select("ids").mapInArrow(lambda it: _frequencies(it, wide), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(max(size, end_id + 1), np.float64)
     frequency[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    idf = spark.sparkContext.broadcast(np.log(1 + (totals["docs"] - frequency + 0.5) / (frequency + 0.5)))
+    weights = np.log(1 + (totals["docs"] - frequency + 0.5) / (frequency + 0.5))
+    weights[end_id] = 0.0  # every document ends in it
+    idf = spark.sparkContext.broadcast(weights)
     ranges = max(1, totals["ids"] // RANGE_IDS, min(totals["ids"] // RANGE_LEAST, 3 * spark.sparkContext.defaultParallelism))
     ordered = tokens.mapInArrow(lambda it: _topics(it, wide, idf), "doc_id long, n long, ids binary, " + ", ".join(f"{k} int" for k in KEYS))
     dealt = ordered.repartitionByRange(ranges, *KEYS, "doc_id").sortWithinPartitions(*KEYS, "doc_id", "ids")

@@ -1,19 +1,21 @@
 """Phrase mining, retrieval packing and periodic runs against plain Python."""
 
+import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pytest
-from cases import edge_rows, prose, table
+from cases import edge_rows, prose, table, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dosewise.llm import phrase_mining
+from dosewise.llm import periodic_runs, phrase_mining
 from dosewise.llm import retrieval_packing as R
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -171,3 +173,69 @@ def test_windows_hold_documents_on_one_subject(spark):
     for p in R.pack(table(spark, rows), WORDS, window=512).collect():
         mixed[p.sequence_id].add(p.doc_id % 6)
     assert sum(map(len, mixed.values())) / len(mixed) < 2
+
+
+# --- periodic runs
+def brute_periods(w, least=24, exponent=3):
+    out = []
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            n = i - s + q
+            if i > s and n >= max(least, exponent * q) and not any(all(w[k] == w[k + p] for k in range(s, s + n - p)) for p in range(1, q)):
+                out.append((s, n, q))
+            i += 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def brute_collapse(doc, text, plant=True):
+    w = words(text)
+    n, h = len(w), zlib.crc32(str(doc).encode())
+    if plant and doc is not None and h % 10 == 0 and n:
+        g = h // 10
+        a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = brute_periods(w)
+    best = (None,) * 4
+    if runs:
+        s, n, q = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]))
+        best = s, n, q, 1000 * n // q
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc, len(runs), *best, hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+def periodic_text(rnd):
+    parts = []
+    for _ in range(rnd.randrange(1, 6)):
+        unit = [rnd.choice("abcdefgh"[:rnd.randrange(1, 9)]) for _ in range(rnd.randrange(1, 14))]
+        parts += rnd.choice([(unit * 12)[:rnd.randrange(1, 120)], prose(rnd, rnd.randrange(30)).split()])
+    return rnd.choice([" ", "\n", " \t"]).join(parts)
+
+
+@pytest.mark.parametrize("plant", [False, True])
+def test_runs_match_brute_force(spark, monkeypatch, plant):
+    monkeypatch.setattr(periodic_runs, "TREE_WORDS", 500)
+    rnd = random.Random(12)
+    rows = [r for r in edge_rows() if r[0] not in (6, 7)] + [(100 + i, periodic_text(rnd)) for i in range(150)]
+    rows += [(400 + i, prose(rnd, rnd.choice([1, 2, 23, 24, 25, 100, 300]))) for i in range(150)]  # periodic by their id only
+    rows += [(600, "x " * 23), (601, "x " * 24), (602, "a b c d e f g h " * 3), (603, "a b c d e f g h " * 2 + "a b c d e f g"), (604, "É é " * 12)]
+    got = periodic_runs.periodic_runs(table(spark, rows).repartition(3), plant=plant).collect()
+    want = [brute_collapse(r[0], r[1], plant) for r in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum(r[1] > 0 for r in want) > 50
+    assert periodic_runs.periodic_runs(table(spark, rows).limit(0)).count() == 0
+
+
+def test_runs_of_long_documents_and_texts(spark):
+    rnd = random.Random(13)
+    unit, tail = prose(rnd, 700, 10**6), prose(rnd, 2000, 10**6)
+    text = f"{tail} {unit} {unit} {unit} last"
+    got = periodic_runs.periodic_runs(table(spark, [(1, text), (2, "z " * 30000), (3, None)]), with_text=True).collect()
+    by = {r.doc_id: r for r in got}
+    assert [tuple(r) for r in by[1].runs] == [(2000, 2100, 700)] and by[1].collapsed_text == f"{tail} {unit} last"
+    assert [tuple(r) for r in by[2].runs] == [(0, 30000, 1)] and by[2].collapsed_text == "z" and by[2].exponent_milli == 30000000
+    assert by[3].runs == [] and by[3].collapsed_text == "" and by[3].start is None
