@@ -1,26 +1,8 @@
-"""SMOTE / SMOTE-NC oversampling on nearest neighbours from a forest of random projections.
+"""SMOTE / SMOTE-NC oversampling on exact nearest neighbours (``nearest``).
 
 Neighbour search works on the *distinct* vectors of the minority class with
-their multiplicities (a copy is a neighbour at distance 0):
-
-* ``TREES`` trees cut the vectors along random directions.  A level cuts every
-  node of n vectors into ceil(n / ``LEAF``) parts, at most ``WAYS``, at the
-  quantiles of its projections (one aggregate and one join), until a leaf holds
-  ``LEAF`` vectors at most; a node whose vectors do not part along one direction
-  is cut along the next.
-* Each leaf compares its own vectors and emits the nearest per vector; the trees'
-  lists are merged per vector.
-* Each vector's neighbourhood (its list and as many of those that list it) is then
-  compared like a leaf, and the lists merged again: a neighbour's neighbours are
-  found whatever leaf they lie in.
-* ``SAMPLE`` seeded vectors are compared with all vectors; while the lists hold
-  less than ``RECALL`` of their k nearest, the next neighbourhoods, and every
-  ``HOPS`` of these a further forest with leaves twice as large, are merged in.
-  The last of these forests is one leaf, so the search always ends.
-
-With one leaf (up to ``LEAF`` distinct vectors) the neighbours are exact, beyond
-that ``RECALL`` of them are, as measured in each run; every minority row is kept
-as base row either way.
+their multiplicities (a copy is a neighbour at distance 0); every minority row is
+kept as base row.
 
 Synthetic rows: the minority class is topped up to the majority size; base
 rows are dealt round-robin in seeded-hash order, each synthetic row takes a
@@ -36,169 +18,26 @@ subject's synthetic rows from it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .folds import seeded_hash
+from .nearest import ROWS, nearest
 from .reshape import _q
 from .scan import running_sums
 
-TREES = 4
-LEAF = 256
-WAYS = 16
-MAX_LEVELS = 40
-#: Least share of the true k nearest, measured on so many vectors; neighbourhoods compared per forest; length of the lists on the way.
-RECALL = 0.95
-SAMPLE = 512
-HOPS = 4
-WIDE = 3
-#: Rows of the distance matrix held at a time.
-BLOCK = 1024
-
-
-def _dot(vec: str, direction: np.ndarray):
-    return F.aggregate(F.zip_with(F.col(vec), F.array(*[F.lit(float(x)) for x in direction]), lambda a, b: a * b),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _nominal_shift(level: int):
-    """Seeded pseudo-random number in [-1, 1) of each nominal value, summed."""
-    return F.aggregate(F.transform("_nv", lambda x, i: F.crc32(F.concat(F.lit(f"{level}|"), i.cast("string"), F.lit("|"), x).cast("binary"))
-                                   / F.lit(2.0 ** 31) - 1.0), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _leaves(points: DataFrame, n: int, seed: int, penalty: float, leaf: int, trees: int) -> DataFrame:
-    """points x trees with the ``_leaf`` path of each; a leaf holds ``leaf`` points at most."""
-    from ..session import cut_lineage
-
-    dim = len(points.select("_v").first()[0])
-    rng = np.random.default_rng(seed)
-    now = points.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_leaf", F.lit(""))
-    level = 0
-    while n > leaf and level < MAX_LEVELS:
-        axes = rng.normal(size=(trees, max(dim, 1)))
-        t = F.coalesce(*[F.when(F.col("_tree") == i, _dot("_v", axes[i]) if dim else F.lit(0.0)) for i in range(trees)])
-        if penalty:
-            t = t + F.lit(float(np.sqrt(penalty))) * _nominal_shift(level)
-        part = now.withColumn("_t", t)
-        cuts = part.groupBy("_tree", "_leaf").agg(
-            F.percentile_approx("_t", [i / WAYS for i in range(1, WAYS)], 10000).alias("_cuts"), F.count(F.lit(1)).alias("_n"))
-        part = part.join(cuts, ["_tree", "_leaf"])
-        ways = F.least(F.lit(WAYS), F.ceil(F.col("_n") / F.lit(leaf)))
-        child = F.floor(F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + (F.col("_t") > c).cast("int")) * ways / F.lit(WAYS))
-        part = part.withColumn("_leaf", F.when(F.col("_n") > leaf, F.concat("_leaf", F.lit("/"), child.cast("string"))).otherwise(F.col("_leaf")))
-        now = cut_lineage(part.drop("_t", "_cuts", "_n"))
-        sizes = now.groupBy("_tree", "_leaf").agg(F.count(F.lit(1)).alias("_n"))
-        level += 1
-        n = sizes.agg(F.max("_n")).first()[0]
-    return now
-
-
-def _distances(x, nom, y, nom_y, penalty: float) -> np.ndarray:
-    """Squared distances of the rows of x from those of y, a mismatch of nominals as ``penalty``."""
-    d2 = np.zeros((len(x), len(y)))
-    for j in range(x.shape[1]):
-        d2 += (x[:, j, None] - y[None, :, j]) ** 2
-    if penalty:
-        for j in range(nom.shape[1]):
-            codes = pd.factorize(np.concatenate([nom[:, j], nom_y[:, j]]), use_na_sentinel=False)[0]
-            d2 += penalty * (codes[:len(x), None] != codes[None, len(x):])
-    return d2
-
-
-def _vectors(pdf: pd.DataFrame, penalty: float):
-    x = np.vstack(pdf["_v"].to_numpy()).astype(float) if len(pdf["_v"].iloc[0]) else np.zeros((len(pdf), 0))
-    return x, np.array([list(v) for v in pdf["_nv"]], object) if penalty else None
-
-
-def _near(k: int, penalty: float):
-    """Per leaf, the k nearest other vectors of each vector."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_vid", ignore_index=True)  # ties go to the smaller id
-        x, nom = _vectors(pdf, penalty)
-        ids = pdf["_vid"].to_numpy()
-        take = min(k, len(ids) - 1)
-        order, dist = np.zeros((len(ids), take), int), np.zeros((len(ids), take))
-        for at in range(0, len(ids), BLOCK):
-            rows = np.arange(at, min(at + BLOCK, len(ids)))
-            d2 = _distances(x[rows], nom[rows] if penalty else None, x, nom, penalty)
-            d2[np.arange(len(rows)), rows] = np.inf
-            order[rows] = np.argsort(d2, axis=1, kind="stable")[:, :take]
-            dist[rows] = np.take_along_axis(d2, order[rows], axis=1)
-        return pd.DataFrame({"_vid": np.repeat(ids, take), "nb": ids[order].ravel(), "dist2": dist.ravel()})
-    return run
-
 
-def _compared(groups: DataFrame, k: int, penalty: float) -> DataFrame:
-    return groups.groupBy("_tree", "_leaf").applyInPandas(_near(k, penalty), "_vid string, nb string, dist2 double")
-
-
-def _best(found: DataFrame, k: int, by: str = "_vid", other: str = "nb") -> DataFrame:
-    """The k nearest per vector; a pair found twice counts once."""
-    best = found.groupBy(by, other).agg(F.min("dist2").alias("dist2"))
-    w = Window.partitionBy(by).orderBy("dist2", other)
-    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-
-
-def _neighbourhoods(points: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """One leaf per vector: itself, its list and the k nearest vectors that list it."""
-    back = _best(lists, k, "nb", "_vid").select(F.col("nb").alias("_leaf"), "_vid")
-    members = lists.select(F.col("_vid").alias("_leaf"), F.col("nb").alias("_vid")).union(back).union(points.select(F.col("_vid").alias("_leaf"), "_vid"))
-    return members.distinct().join(points, "_vid").withColumn("_tree", F.lit(0))
-
-
-def _truth(points: DataFrame, k: int, seed: int, penalty: float, sample: int) -> DataFrame:
-    """(_vid, _kth): the squared distance of the k-th nearest of all vectors, for ``sample`` seeded vectors."""
-    asked = points.orderBy(F.xxhash64(F.lit(seed), "_vid"), "_vid").limit(sample).toPandas()
-    x, nom = _vectors(asked, penalty)
-    ids = asked["_vid"].to_numpy()
-
-    def run(parts):
-        for pdf in parts:
-            if len(pdf):
-                y, nom_y = _vectors(pdf, penalty)
-                d2 = _distances(x, nom, y, nom_y, penalty)
-                d2[ids[:, None] == pdf["_vid"].to_numpy()[None, :]] = np.inf
-                take = min(k, len(pdf))
-                yield pd.DataFrame({"_vid": np.repeat(ids, take), "dist2": np.partition(d2, take - 1, axis=1)[:, :take].ravel()})
-
-    near = points.mapInPandas(run, "_vid string, dist2 double")
-    w = Window.partitionBy("_vid").orderBy("dist2")
-    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).select("_vid", F.col("dist2").alias("_kth"))
-
-
-def near_vectors(points: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
-    """(_vid, nb, dist2): the k nearest other vectors of each of ``points`` (_vid, _v[, _nv]), which are distinct."""
-    from ..session import cut_lineage
-
-    n = points.count()
-    points = points.select("_vid", "_v", *(["_nv"] if penalty else []))
-    if n <= leaf:
-        return _best(_compared(_leaves(points, n, seed, penalty, leaf, 1), k, penalty), k)
-    k_true, sample = min(k, n - 1), min(SAMPLE, n)
-    truth = cut_lineage(_truth(points, k_true, seed, penalty, sample))
-    lists = None
-    while leaf < n:
-        found = _compared(_leaves(points, n, seed, penalty, leaf, trees), WIDE * k, penalty)
-        lists = cut_lineage(_best(found if lists is None else lists.union(found), WIDE * k))
-        for _ in range(HOPS):
-            hit = lists.join(F.broadcast(truth), "_vid").where(F.col("dist2") <= F.col("_kth") * (1 + 1e-9)).groupBy("_vid").agg(
-                F.least(F.count(F.lit(1)), F.lit(k_true)).alias("_n")).agg(F.sum("_n")).first()[0] or 0
-            if hit >= RECALL * k_true * sample:
-                return _best(lists, k)
-            lists = cut_lineage(_best(lists.union(_compared(_neighbourhoods(points, lists, WIDE * k), WIDE * k, penalty)), WIDE * k))
-        leaf, seed = 2 * leaf, seed + 1
-    return _best(_compared(_leaves(points, n, seed, penalty, n, 1), k, penalty), k)
+def distinct_vectors(rows: DataFrame, *counts) -> DataFrame:
+    """(_v, _nv, _m, ..., _vid): the distinct vectors, how many rows each has (and further aggregates), and an id of their values."""
+    vid = F.md5(F.concat_ws("|", F.transform("_v", lambda x: x.cast("string")), F.lit("#"), F.coalesce(F.to_json("_nv"), F.lit(""))))
+    return rows.groupBy("_v", "_nv").agg(F.count(F.lit(1)).alias("_m"), *counts).withColumn("_vid", vid)
 
 
-def neighbours(rows: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, leaf: int = LEAF, trees: int = TREES) -> DataFrame:
+def neighbours(rows: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, block: int = ROWS) -> DataFrame:
     """Per distinct vector of ``rows`` (_v, _nv): _vid, _v, _nv and ``_nb``, its k nearest rows' (_v, _nv), copies counted."""
-    from ..session import cut_lineage
-
-    vid = F.md5(F.concat_ws("|", F.transform("_v", lambda x: x.cast("string")), F.lit("#"), F.coalesce(F.to_json("_nv"), F.lit(""))))
-    pts = cut_lineage(rows.groupBy("_v", "_nv").agg(F.count(F.lit(1)).alias("_m")).withColumn("_vid", vid))
-    near = near_vectors(pts, k, seed, penalty, leaf, trees)
+    pts = cut_lineage(distinct_vectors(rows))
+    near = nearest(pts, k, penalty, seed, block)
     other = pts.select(F.col("_vid").alias("nb"), F.struct("_v", "_nv").alias("_x"), "_m")
     lists = near.join(other, "nb").groupBy("_vid").agg(F.array_sort(F.collect_list(F.struct("dist2", "nb", "_x", "_m"))).alias("_l"))
     copies = F.array_repeat(F.struct("_v", "_nv"), F.least(F.col("_m") - 1, F.lit(k)).cast("int"))
@@ -216,8 +55,6 @@ def smote(df: DataFrame, features, label_col: str, id_col: str, k: int = 5, seed
     columns switch to SMOTE-NC.  When the minority class has at most ``k`` rows,
     ``k`` falls back to (minority - 1).
     """
-    from ..session import cut_lineage
-
     feats = [f for f in features if f not in nominal]
     nominal = list(nominal)
     types = dict(df.dtypes)

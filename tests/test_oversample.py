@@ -1,4 +1,4 @@
-"""Neighbour forest (vs brute force) and SMOTE / SMOTE-NC properties."""
+"""Exact neighbours (vs brute force) and SMOTE / SMOTE-NC properties."""
 
 import numpy as np
 import pandas as pd
@@ -29,45 +29,64 @@ def test_neighbours_exact_in_one_leaf(spark):
         np.testing.assert_allclose(near, np.sort(d2[i])[:5], atol=1e-9)
 
 
-def test_neighbours_forest_recall(spark):
-    rng = np.random.default_rng(8)
-    x = np.unique(np.round(rng.integers(0, 2, size=(1500, 12)) + rng.normal(scale=0.1, size=(1500, 12)), 6), axis=0)
-    pts = _points(spark, x)
-    got = _lists(neighbours(pts, 5, seed=1, leaf=128, trees=8))
-    d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    np.fill_diagonal(d2, np.inf)
-    kth = np.sort(d2, axis=1)[:, 4] + 1e-9
-    hit = sum((((x[i] - np.array(n)) ** 2).sum() <= kth[i]) for i in range(len(x)) for n in got[tuple(x[i])])
-    assert all(len(v) == 5 for v in got.values()) and hit / (5 * len(x)) > 0.4  # clusters everywhere: near, if not the nearest
-    far = np.median(d2[np.isfinite(d2)])
-    assert np.mean([((x[i] - np.array(n)) ** 2).sum() for i in range(len(x)) for n in got[tuple(x[i])]]) < 0.5 * far
+def _check_exact(got, x, k, c=None, penalty=0.0):
+    """Every list holds the k nearest of all others, in order of distance."""
+    at = {(tuple(map(float, a)), tuple(map(str, b))): i for i, (a, b) in enumerate(zip(x, c if c is not None else [[]] * len(x)))}
+    assert len(got) == len(x)
+    for r in got:
+        i = at[tuple(r._v), tuple(r._nv)]
+        d2 = ((x - x[i]) ** 2).sum(1) + (penalty * (c != c[i]).sum(1) if c is not None else 0)
+        d2[i] = np.inf
+        mine = [d2[at[tuple(m._v), tuple(m._nv)]] for m in r._nb]
+        np.testing.assert_allclose(mine, np.sort(d2)[:k], atol=1e-9)
 
 
-@pytest.mark.parametrize("n, kind", [(257, "binary"), (257, "gaussian"), (1500, "binary"), (1500, "gaussian"), (6000, "binary"), (6000, "gaussian")])
-def test_neighbours_recall_of_production(spark, n, kind):
+@pytest.mark.parametrize("n, kind", [(257, "binary"), (1500, "gaussian"), (1500, "binary"), (6000, "binary"), (6000, "gaussian")])
+def test_neighbours_are_exact(spark, n, kind):
     rng = np.random.default_rng(n)
     x = np.round(rng.normal(size=(n, 12)) if kind == "gaussian" else rng.integers(0, 2, size=(n, 12)) + rng.normal(scale=0.1, size=(n, 12)), 6)
-    got = _lists(neighbours(_points(spark, x), 5, seed=1))
-    hit = 0
-    for i in range(n):
-        d2 = ((x - x[i]) ** 2).sum(1)
-        d2[i] = np.inf
-        hit += sum(((x[i] - np.array(v)) ** 2).sum() <= np.partition(d2, 4)[4] + 1e-9 for v in got[tuple(x[i])])
-    assert all(len(v) == 5 for v in got.values()) and hit >= 0.9 * 5 * n
-
-
-def test_neighbours_recall_with_nominals(spark):
+    _check_exact(neighbours(_points(spark, x), 5, seed=1, block=128 if n < 1000 else 512).collect(), x, 5)
+
+
+def test_blocks_are_bounded_however_vectors_pile_up(spark):
+    """One tight cluster holds most vectors, many at one distance from each other; another third lies on a grid full of ties."""
+    from dosewise.operators import nearest as N
+    from dosewise.operators.oversample import distinct_vectors
+
+    rng = np.random.default_rng(3)
+    heap = np.round(5 + rng.normal(scale=1e-3, size=(1500, 4)), 6)
+    grid = np.array(np.meshgrid(*[np.arange(5)] * 4)).reshape(4, -1).T.astype(float)
+    ring = np.eye(4)[rng.integers(0, 4, 300)] * 50 + np.round(rng.normal(size=(300, 4)), 6)
+    x = np.unique(np.vstack([heap, grid, ring]), axis=0)
+    pts = distinct_vectors(_points(spark, x)).cache()
+    pivots = pts.orderBy("_vid").limit(12).toPandas()
+    sizes = N._blocks(N._cells(pts.select("_vid", "_v", "_nv"), pivots, 0.0), 100).groupBy("_block").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 125 and sizes[1] == len(x)
+    _check_exact(neighbours(_points(spark, x), 4, block=100).collect(), x, 4)
+
+
+def test_few_queries_and_few_vectors(spark):
+    from dosewise.operators.nearest import nearest
+    from dosewise.operators.oversample import distinct_vectors
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(700, 3)), 6)
+    pts = distinct_vectors(_points(spark, x)).cache()
+    some = pts.orderBy("_vid").limit(9).select("_vid")
+    every = {(r._vid, r.nb) for r in nearest(pts, 5, rows=64).collect()}
+    asked = {(r._vid, r.nb) for r in nearest(pts, 5, rows=64, only=some).collect()}
+    ids = {r._vid for r in some.collect()}
+    assert asked == {p for p in every if p[0] in ids} and len(asked) == 45
+    tiny = pts.orderBy("_vid").limit(3)
+    assert nearest(tiny, 5).count() == 6 and nearest(tiny, 5, rows=2).count() == 6  # all others, if fewer than k
+
+
+def test_neighbours_with_nominals_are_exact(spark):
     rng = np.random.default_rng(12)
     x, c = np.round(rng.normal(size=(1200, 3)), 6), rng.integers(0, 3, size=(1200, 2))
     rows = [([float(v) for v in a], [str(v) for v in b]) for a, b in zip(x, c)]
-    got = neighbours(spark.createDataFrame(rows, "_v array<double>, _nv array<string>"), 5, seed=1, penalty=0.8).collect()
-    at, hit = {tuple(map(float, a)): i for i, a in enumerate(x)}, 0
-    for r in got:
-        i = at[tuple(r._v)]
-        d2 = ((x - x[i]) ** 2).sum(1) + 0.8 * (c != c[i]).sum(1)
-        d2[i] = np.inf
-        hit += sum(d2[at[tuple(m._v)]] <= np.partition(d2, 4)[4] + 1e-9 for m in r._nb)
-    assert len(got) == 1200 and hit >= 0.9 * 5 * 1200
+    got = neighbours(spark.createDataFrame(rows, "_v array<double>, _nv array<string>"), 5, seed=1, penalty=0.8, block=200).collect()
+    _check_exact(got, x, 5, c, 0.8)
 
 
 def test_smote_integer_input_keeps_fractions(spark):
