@@ -229,13 +229,14 @@ def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed
 
 def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_col: str, method: str, seed: int,
                params: dict | None = None, tuned: bool = False, select_feats: bool = False,
-               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None):
+               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None, ranges: dict | None = None, n_train: int | None = None):
     """One train/test step: impute -> oversample (SMOTE / SMOTE-NC) -> (select) -> scale (LR/SVM)
     -> fit/tune -> predict.
 
     Imputer, oversampler and scaler see the training frame only; synthetic rows
-    keep their base row's subject id.  Returns (train predictions, test
-    predictions, fitted model, features used).
+    keep their base row's subject id.  ``ranges`` are the training columns' (min, max) and
+    ``n_train`` the number of training rows, if already known.  Returns (train predictions, test predictions, fitted model,
+    features used).
     """
     from .oversample import smote
 
@@ -252,10 +253,10 @@ def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_c
     if select_feats:
         feats = select_by_forest(train, feats, label_col, seed)
     if method in ("LogisticR", "SVM"):
-        rng = minmax_fit(train, feats)
+        rng = {f: ranges[f] for f in feats} if ranges else minmax_fit(train, feats)
         train, test = minmax_apply(train, rng), minmax_apply(test, rng)
     model = tune(train, feats, label_col, id_col, method, seed) if tuned else \
-        fit(train, feats, label_col, method, params, seed if model_seed is None else model_seed)
+        fit(train, feats, label_col, method, params, seed if model_seed is None else model_seed, n_train)
     keep = [id_col, F.col(_q(label_col)).cast("int").alias("y_true")]
     tr = model.transform(train.select(*keep, *[_q(f) for f in feats]))
     te = model.transform(test.select(*keep, *[_q(f) for f in feats]))
@@ -282,22 +283,55 @@ def cross_validate(df: DataFrame, features, label_col: str, id_col: str, method:
     return out
 
 
-def repeated_cv(df: DataFrame, features, label_col: str, id_col: str, method: str, runs: int = 5, k: int = 5, **kw):
+def cross_fitted(df: DataFrame, features, label_col: str, id_col: str, method: str, runs: int, k: int, oversample: bool = True, nominal=(), **kw) -> list[DataFrame]:
+    """``cross_validate`` of every run, with statistics, neighbours and synthetic rows of all training sides made together."""
+    from .crossfit import CrossFit
+
+    sides = CrossFit(df, features, label_col, id_col, runs, k, nominal=nominal, oversample=oversample)
+    out = []
+    for run in range(runs):
+        made = sides.synthetic(run)
+        made = made if made is None else cut_lineage(made)
+
+        def step(f, run=run, made=made):
+            train, test = sides.side(run, f, made)
+            kept = train if made is None else train.persist()
+            n = sides.sides[run, f]["n"] + sides.sides[run, f]["new"]
+            ptr, pte, _, _ = train_test(kept, test, features, label_col, id_col, method, run, impute=False, oversample=False, ranges=sides.ranges[run, f], n_train=n, **kw)
+            part = cut_lineage(ptr.withColumn("type", F.lit("train")).unionByName(pte.withColumn("type", F.lit("test"))).withColumn("fold", F.lit(f)))
+            if made is not None:
+                kept.unpersist()
+            return part
+
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            parts = list(pool.map(step, range(k)))
+        preds = parts[0]
+        for part in parts[1:]:
+            preds = preds.unionByName(part)
+        out.append(preds)
+    return out
+
+
+def repeated_cv(df: DataFrame, features, label_col: str, id_col: str, method: str, runs: int = 5, k: int = 5, impute: bool = True, **kw):
     """Runs with seeds 0..runs-1.
 
     Returns (metrics per run and type, per-fold test AUCs, interpolated test
-    ROC per run and fold).  Each fold's predictions are checkpointed once.
+    ROC per run and fold).  Each fold's predictions are checkpointed once.  Rows
+    with nulls are imputed per training side, which changes its neighbours; without
+    nulls all sides share their statistics and one neighbour graph (``crossfit``).
     """
-    mets, aucs, rocs = None, None, None
-    for run in range(runs):
-        preds = cross_validate(df, features, label_col, id_col, method, run, k, **kw).withColumn("run", F.lit(run))
-        m = classification_metrics(preds, ["run", "type"]).withColumn("random_state", F.col("run"))
-        test = preds.where(F.col("type") == "test")
-        pts = roc_points(test, ["run", "fold"])
-        a, r = auc(pts, ["run", "fold"]), interpolate_tpr(pts, ["run", "fold"])
-        mets = m if mets is None else mets.unionByName(m)
-        aucs = a if aucs is None else aucs.unionByName(a)
-        rocs = r if rocs is None else rocs.unionByName(r)
+    nulls = impute and any(df.agg(*[F.count(F.when(F.col(_q(c)).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(features)]).first())
+    if nulls:
+        every = [cross_validate(df, features, label_col, id_col, method, run, k, **kw) for run in range(runs)]
+    else:
+        every = cross_fitted(df, features, label_col, id_col, method, runs, k, **kw)
+    preds = None
+    for run, part in enumerate(every):
+        part = part.withColumn("run", F.lit(run))
+        preds = part if preds is None else preds.unionByName(part)
+    mets = classification_metrics(preds, ["run", "type"]).withColumn("random_state", F.col("run"))
+    pts = roc_points(preds.where(F.col("type") == "test"), ["run", "fold"])
+    aucs, rocs = auc(pts, ["run", "fold"]), interpolate_tpr(pts, ["run", "fold"])
     method_col = F.lit(method).alias("method")
     return mets.select(method_col, "*"), aucs.select(method_col, "*"), rocs.select(method_col, "*")
 

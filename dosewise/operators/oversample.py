@@ -47,6 +47,35 @@ def neighbours(rows: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, blo
         joined.select(copies.alias("c")).schema["c"].dataType)).otherwise(others)), 1, k).alias("_nb"))
 
 
+def synthetic_rows(base: DataFrame, dtypes, feats, nominal, own: dict) -> DataFrame:
+    """Rows of the columns ``dtypes`` from base rows (_v, _nv), their neighbours ``_nb``, the one taken ``_to`` and the gap ``_gap``; ``own`` are columns given outright."""
+    types = dict(dtypes)
+    step = F.zip_with("_v", F.col("_to")["_v"], lambda a, b: (b - a))
+    base = base.withColumn("_new", F.zip_with("_v", step, lambda a, d: a + F.col("_gap") * d))
+
+    def most(i):
+        """Most frequent value of nominal i among the neighbours, lowest on ties."""
+        vals = F.array_sort(F.transform("_nb", lambda x: F.get(x["_nv"], i)))
+        ranked = F.transform(F.array_distinct(vals), lambda v: F.struct((-F.size(F.filter(vals, lambda x: x.eqNullSafe(v)))).alias("n"), v.alias("v")))
+        return F.array_min(ranked)["v"]
+
+    made = {f: F.get("_new", i) for i, f in enumerate(feats)}
+    made |= {c: most(i).cast(types[c]) for i, c in enumerate(nominal)}
+    made |= own
+    return base.select(*[made[c].alias(c) if c in made else F.lit(None).cast(types[c]).alias(c) for c in types])
+
+
+def feature_arrays(df: DataFrame, id_col: str, feats, nominal, *more) -> DataFrame:
+    """(_id, _v, _nv, ...): the features travel as one array (two with nominals), without wide projections until the result."""
+    return df.select(F.col(_q(id_col)).alias("_id"), F.array(*[F.col(_q(f)) for f in feats]).cast("array<double>").alias("_v"),
+                     F.array(*[F.col(_q(c)).cast("string") for c in nominal]).cast("array<string>").alias("_nv"), *more)
+
+
+def row_hash(seed):
+    """Seeded hash of a row of ``feature_arrays``, which orders the base rows."""
+    return seeded_hash(seed, "_id", F.concat_ws(",", F.transform("_v", lambda x: x.cast("string")), "_nv"))
+
+
 def smote(df: DataFrame, features, label_col: str, id_col: str, k: int = 5, seed: int = 0,
           nominal=()) -> DataFrame:
     """Original rows plus synthetic minority rows so both classes have the same count.
@@ -68,12 +97,9 @@ def smote(df: DataFrame, features, label_col: str, id_col: str, k: int = 5, seed
     k_eff = min(k, n_min - 1)
     if n_new == 0 or k_eff < 1:
         return df.withColumn("synthetic", F.lit(0))
-    # the features travel as one array (two with nominals): no wide projections until the result
-    mino = df.where(F.col(label_col) == minority).select(
-        F.col(_q(id_col)).alias("_id"), F.array(*[F.col(_q(f)) for f in feats]).cast("array<double>").alias("_v"),
-        F.array(*[F.col(_q(c)).cast("string") for c in nominal]).cast("array<string>").alias("_nv"))
+    mino = feature_arrays(df.where(F.col(label_col) == minority), id_col, feats, nominal)
     order = ["_id", "_v", "_nv"]
-    mino = mino.withColumn("_h", seeded_hash(seed, "_id", F.concat_ws(",", F.transform("_v", lambda x: x.cast("string")), "_nv")))
+    mino = mino.withColumn("_h", row_hash(seed))
     mino = running_sums(mino.withColumn("_ord", F.struct("_h", *order)), [], "_ord", F.floor(F.col("_h") / F.lit(2 ** 22)).cast("int"), [],
                         descending=False, index_col="_pid")
     mino = cut_lineage(mino.select("_pid", "_id", "_v", "_nv"))
@@ -90,17 +116,5 @@ def smote(df: DataFrame, features, label_col: str, id_col: str, k: int = 5, seed
                              "_gap": seeded_hash(seed + 1, "_pid", "_j") / F.lit(float(2 ** 32))})
     syn = base.join(nn.drop("_vid"), ["_v", "_nv"])
     syn = syn.withColumn("_to", F.get("_nb", F.col("_pick") % F.size("_nb")))
-    value = F.zip_with("_v", F.col("_to")["_v"], lambda a, b: (b - a))
-    syn = syn.withColumn("_new", F.zip_with("_v", value, lambda a, d: a + F.col("_gap") * d))
-
-    def most(i):
-        """Most frequent value of nominal i among the neighbours, lowest on ties."""
-        vals = F.array_sort(F.transform("_nb", lambda x: F.get(x["_nv"], i)))
-        ranked = F.transform(F.array_distinct(vals), lambda v: F.struct((-F.size(F.filter(vals, lambda x: x.eqNullSafe(v)))).alias("n"), v.alias("v")))
-        return F.array_min(ranked)["v"]
-
-    made = {f: F.get("_new", i) for i, f in enumerate(feats)}
-    made |= {c: most(i).cast(types[c]) for i, c in enumerate(nominal)}
-    made |= {id_col: F.col("_id"), label_col: F.lit(minority).cast(types[label_col])}
-    syn = syn.select(*[made[c].alias(c) if c in made else F.lit(None).cast(types[c]).alias(c) for c in df.columns]).withColumn("synthetic", F.lit(1))
-    return df.withColumn("synthetic", F.lit(0)).unionByName(syn)
+    rows = synthetic_rows(syn, df.dtypes, feats, nominal, {id_col: F.col("_id"), label_col: F.lit(minority).cast(types[label_col])})
+    return df.withColumn("synthetic", F.lit(0)).unionByName(rows.withColumn("synthetic", F.lit(1)))
