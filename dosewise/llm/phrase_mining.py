@@ -54,6 +54,8 @@ UNKNOWN = "und"
 BANDS = (16,)
 #: Bits of a bitmap that tells tasks what is frequent.
 BITS = 1 << 24
+#: Keys that a task works on at once.
+STEP = 1 << 17
 
 _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32, *b".,;:!?"]] = True
@@ -112,14 +114,24 @@ def _holds(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
-def _flat(batch) -> np.ndarray:
-    return np.concatenate([[0], batch.column("seq").flatten().to_numpy(zero_copy_only=False), np.zeros(LONGEST + 1, np.int64)]).astype(np.int64).view(np.uint64)
+def _flat(batches):
+    """The sequences of a batch one after the other, about ``STEP`` keys at a time, with 0 before and behind."""
+    for batch in batches:
+        column = batch.column("seq")
+        values, bounds = column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STEP, "right")) - 1)
+            own = values[bounds[first]:bounds[last]]
+            x = np.zeros(len(own) + LONGEST + 2, np.uint64)
+            x[1:len(own) + 1] = own.view(np.uint64)
+            yield x
+            first = last
 
 
 def _grow(batches, size: int, prefixes):
     """Occurrences of phrases of ``size`` words whose first ``size`` - 1 are in ``prefixes``: words, neighbours on both sides."""
-    for batch in batches:
-        x = _flat(batch)
+    for x in _flat(batches):
         at = np.flatnonzero(x != 0)
         for j in range(1, size):
             at = at[x[at + j] != 0]
@@ -130,8 +142,7 @@ def _grow(batches, size: int, prefixes):
 
 def _look_up(batches, wanted, sizes):
     """Occurrences of the wanted phrases."""
-    for batch in batches:
-        x = _flat(batch)
+    for x in _flat(batches):
         at, columns = np.flatnonzero(x != 0), []
         for size in range(2, max(sizes) + 1):
             at = at[x[at + size - 1] != 0]
