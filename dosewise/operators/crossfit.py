@@ -15,7 +15,8 @@ A side's nominal penalty differs from that of all rows, by which the lists were
 made, so each entry keeps its continuous distance c and its mismatches m: with
 a smaller penalty q than the lists' p, a vector not listed is still at (q / p) times the
 list's reach or beyond.  Entries nearer than that are the true neighbours; where
-fewer than k are, the list runs dry and that vector is searched again on the side.
+fewer than k are, the list runs dry: such vectors are asked about again with longer
+lists, and beyond ``LONGEST`` entries (ties) on the side itself.
 The result equals ``oversample.smote`` of each side.
 """
 
@@ -33,8 +34,10 @@ from .oversample import distinct_vectors, feature_arrays, row_hash, synthetic_ro
 from .reshape import _q
 from .scan import running_sums
 
-#: Length of a vector's list as a multiple of k.
+#: Length of a vector's list as a multiple of k; a list that runs dry is made so many times longer, up to so many entries.
 LISTS = 4
+LONGER = 6
+LONGEST = 1000
 
 
 class CrossFit:
@@ -111,21 +114,29 @@ class CrossFit:
         base, penalties = self._penalties(rows)
         counts = F.array(*[F.sum((F.col("_folds")[r] == f).cast("int")).cast("int") for r in range(self.runs) for f in range(self.folds)])
         points = cut_lineage(distinct_vectors(rows, counts.alias("_held")))
-        length, total = LISTS * self.k, points.count()
-        near = nearest(points, length, base)
-        other = points.select(F.col("_vid").alias("nb"), F.struct("_v", "_nv", "_m", "_held").alias("_x"))
-        listed = near.join(other, "nb").groupBy("_vid").agg(F.sort_array(F.collect_list(F.struct("dist2", "nb", "_x"))).alias("_l"))
-        listed = points.join(listed, "_vid", "left")
         steps = [(self.step(r, f), s["k"], penalties.get((r, f), 0.0)) for (r, f), s in self.sides.items() if s["new"] and s["minority"] == label]
-        chosen = cut_lineage(listed.mapInPandas(_choose(steps, base, length, total), "_vid string, steps array<int>, _ids array<string>"))
-        ready = chosen.where("_ids is not null")
+        other = points.select(F.col("_vid").alias("nb"), F.struct("_v", "_nv", "_m", "_held").alias("_x"))
+        length, total, asked, ready = LISTS * self.k, points.count(), None, None
+        while True:
+            near = nearest(points, length, base, only=asked)
+            listed = near.join(other, "nb").groupBy("_vid").agg(F.sort_array(F.collect_list(F.struct("dist2", "nb", "_x"))).alias("_l"))
+            own = points if asked is None else points.join(asked, "_vid", "left_semi")
+            chosen = cut_lineage(own.join(listed, "_vid", "left").mapInPandas(_choose(steps, base, total), "_vid string, steps array<int>, _ids array<string>"))
+            # a vector whose list is too short for one side is asked about again with a longer list
+            left = cut_lineage(chosen.where("_ids is null").select("_vid").distinct())
+            n = left.count()
+            last = not n or length * LONGER > LONGEST
+            kept = chosen.where("_ids is not null") if last else chosen.join(left, "_vid", "left_anti")
+            ready = kept if ready is None else ready.unionByName(kept)
+            if last:
+                break
+            self.dry, length, asked = self.dry + n, length * LONGER, left
         dry = chosen.where("_ids is null").select("_vid", F.explode("steps").alias("step"))
-        for step, again in sorted((r["step"], r["n"]) for r in dry.groupBy("step").agg(F.count("*").alias("n")).collect()):
-            self.dry += again
+        for step in sorted(r["step"] for r in dry.select("step").distinct().collect()) if n else []:  # lists full of ties: searched on the side itself
             run, fold = divmod(step, self.folds)
             side = points.where(F.col("_m") > F.col("_held")[step])
             own = nearest(cut_lineage(side), self.sides[run, fold]["k"], penalties.get((run, fold), 0.0), only=dry.where(F.col("step") == step).select("_vid"))
-            ready = ready.unionByName(self._searched(own, points, step, self.sides[run, fold]["k"], dry))
+            ready = ready.unionByName(cut_lineage(self._searched(own, points, step, self.sides[run, fold]["k"], dry)))
         copies = ready.select("_vid", "steps", F.posexplode("_ids").alias("at", "nb"))
         full = points.select(F.col("_vid").alias("nb"), F.struct("_v", "_nv").alias("_x"))
         lists = copies.join(full, "nb").groupBy("_vid", "steps").agg(F.sort_array(F.collect_list(F.struct("at", "_x"))).alias("_l"))
@@ -183,7 +194,7 @@ class CrossFit:
         return train, test.select(*[_q(c) for c in columns])
 
 
-def _choose(steps: list, base: float, length: int, total: int):
+def _choose(steps: list, base: float, total: int):
     """Per vector and side the ids of its k nearest rows, in rows of equal lists; null where the list runs dry."""
     def run(parts):
         for pdf in parts:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 #: Vectors of a block, vectors that meet a block in one group.
 ROWS = 1024
@@ -184,6 +184,7 @@ def nearest(points: DataFrame, k: int, penalty: float = 0.0, seed: int = 0, rows
 
     ``only`` (_vid) restricts the vectors that are asked about, not those that are found.
     """
+    ship(points.sparkSession)
     points = points.select("_vid", "_v", "_nv")
     n = points.count()
     if n <= rows:  # one block

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,28 @@ def local_folder(master: str) -> str:
     return d
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application; they need no shared install."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    place = tempfile.mkdtemp(prefix="dosewise-code-")
+    atexit.register(shutil.rmtree, place, True)
+    path = os.path.join(place, "dosewise-code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

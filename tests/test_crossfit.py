@@ -22,12 +22,12 @@ def _rows(df, cols):
     return np.array(sorted(tuple(float(v) for v in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()))
 
 
-@pytest.mark.parametrize("nominal, lists", [((), 4), (("c", "d"), 4), (("c", "d"), 1)])
-def test_sides_equal_smote_of_each_training_side(spark, monkeypatch, nominal, lists):
-    monkeypatch.setattr(crossfit, "LISTS", lists)
+@pytest.mark.parametrize("nominal, lists, longest", [((), 4, 1000), (("c", "d"), 2, 1000), (("c", "d"), 1, 5)])
+def test_sides_equal_smote_of_each_training_side(spark, monkeypatch, nominal, lists, longest):
+    monkeypatch.setattr(crossfit, "LISTS", lists)  # short lists: some are made longer, or searched on their side
+    monkeypatch.setattr(crossfit, "LONGEST", longest)
     df, feats = _frame(spark), ["a", "b (t-1)", "c", "d"]
     made = CrossFit(df, feats, "y", "pid", runs=2, folds=3, nominal=nominal)
-    assert made.dry > 0 if lists == 1 else made.dry < 40
     for run in range(2):
         folds = group_folds(df, "pid", "y", 3, run).select("pid", "fold")
         synthetic = made.synthetic(run)
