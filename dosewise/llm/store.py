@@ -7,17 +7,12 @@ A table goes to the shared folder that the cluster names in
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship  # noqa: F401 (operators ship by this module)
 
 #: A side is broadcast when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 64 << 20
@@ -25,28 +20,6 @@ BROADCAST_BYTES = 64 << 20
 _kept: list[str] = []
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application; they need no shared install."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    place = tempfile.mkdtemp(prefix="dosewise-code-")
-    atexit.register(shutil.rmtree, place, True)
-    path = os.path.join(place, "dosewise-code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for top, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def folder(spark: SparkSession) -> str:
     """A new folder for one table."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
