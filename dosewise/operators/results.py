@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 METRICS = ("accuracy", "precision", "sensitivity", "specificity", "f1_score")
 CONFIG = ("featureset", "method", "features_selected", "tuned", "type")
+#: Columns that name a run's configuration; results are laid out by those they have.
+CONFIG_TYPES = {"featureset": "string", "method": "string", "features_selected": "boolean", "tuned": "boolean", "n_lags": "int", "max_depth": "int", "final": "boolean"}
 
 
 def run_name(featureset="featureset", method="method", n_lags="n_lags", max_depth="max_depth", tuned="tuned",
@@ -24,18 +26,33 @@ def run_name(featureset="featureset", method="method", n_lags="n_lags", max_dept
                     F.when(c[5], F.lit("_final_clf")).otherwise(F.lit("")))
 
 
-def write_results(df: DataFrame, path: str, kind: str, partition_by=("featureset", "method"), csv: bool = False):
-    """Write a result table (pred / roc / auc / attributions) under ``path/kind`` as Parquet (and CSV)."""
-    w = df.write.mode("overwrite").partitionBy(*partition_by)
-    w.parquet(f"{path}/{kind}")
+def _config_of(df: DataFrame) -> list[str]:
+    return [c for c in CONFIG_TYPES if c in df.columns]
+
+
+def write_results(df: DataFrame, path: str, kind: str, partition_by=None, csv: bool = False) -> None:
+    """Write a result table (pred / roc / auc / attr) under ``path/kind`` as Parquet (and CSV under ``path/kind_csv``).
+
+    Rows are laid out by *all* configuration columns they have.  Only the configurations
+    written are replaced; Spark writes them to a staging folder and moves them at the
+    job's commit, so a run that fails leaves the earlier results as they were.
+    """
+    by = _config_of(df) if partition_by is None else list(partition_by)
+    writer = df.repartition(*by).write if by else df.write  # one file per configuration and task
+    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+    writer.parquet(f"{path}/{kind}")
     if csv:
-        df.write.mode("overwrite").partitionBy(*partition_by).option("header", True).csv(f"{path}/{kind}_csv")
+        writer.option("header", True).csv(f"{path}/{kind}_csv")
 
 
-def read_results(spark: SparkSession, path: str, kind: str, final: bool | None = None) -> DataFrame:
-    """Read result files back; ``final`` routes on the ``final`` column (True, False or both)."""
-    df = spark.read.option("mergeSchema", True).parquet(f"{path}/{kind}")
+def read_results(spark: SparkSession, path: str, kind: str, final: bool | None = None, csv: bool = False) -> DataFrame:
+    """Read result files back, configuration columns in their own types; ``final`` routes on the ``final`` column (True, False or both)."""
+    if csv:  # values stay text; a file whose header differs from the others' is an error, not a shift of columns
+        df = spark.read.option("header", True).option("enforceSchema", False).csv(f"{path}/{kind}_csv")
+    else:
+        df = spark.read.option("mergeSchema", True).parquet(f"{path}/{kind}")
     df = df.drop("Unnamed: 0") if "Unnamed: 0" in df.columns else df
+    df = df.withColumns({c: F.col(c).cast(CONFIG_TYPES[c]) for c in _config_of(df)})  # folder names hold text
     if final is not None and "final" in df.columns:
         df = df.where(F.col("final") == F.lit(final))
     return df

@@ -13,9 +13,10 @@ from ..operators.attribution import linear_attribution, sampled_attribution
 from ..operators.evaluation import auc, classification_metrics, interpolate_tpr, mean_auc, mean_roc, roc_points
 from ..operators.folds import seeded_hash, seeded_sample
 from ..operators.modeling import fit
+from ..operators.tree_attribution import leaf_paths, model_trees, tree_attribution
 from ..operators.results import (condense, featureset_title, legend_label, prettify, read_results, summarize,
                                  top_features, write_results, with_final_auc)
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from . import oracle as O
 from .q_eval import predictions
 from .q_model import _final_split, _weekly
@@ -224,13 +225,106 @@ def q_sampled_attribution(spark, sf_dir):
     return top_features(attr, n=len(feats))
 
 
-@register("results_io")
+def _two_methods(summary_sql):
+    """The two methods' rows, as ``results_io`` reads them back."""
+    return f"{summary_sql.format(method='threshold', src='prow')} UNION ALL {summary_sql.format(method='threshold_flipped', src='xrow')}"
+
+
+_METRIC_COLS = [f"{m}_{s}" for m in ("accuracy", "precision", "sensitivity", "specificity", "f1_score") for s in ("mean", "std", "var")]
+
+
+def _result_store(spark, sf_dir):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/dosewise-results/{sf_dir.rstrip('/').split('/')[-1]}"
+
+
+def _stated_trees(means):
+    """Two trees over the weekly features, cut at their means: (nodes, weight) with nodes (feature, threshold, left, right, value)."""
+    n, mean, sd, gap = (means[f] for f in _ATTR_FEATS)
+    one = {0: (0, n, 1, 2, 0.0), 1: (-1, 0.0, -1, -1, 0.2), 2: (1, mean, 3, 4, 0.0), 3: (-1, 0.0, -1, -1, 0.5), 4: (-1, 0.0, -1, -1, 0.9)}
+    two = {0: (2, sd, 1, 2, 0.0), 1: (3, gap, 3, 4, 0.0), 2: (0, n, 5, 6, 0.0),
+           3: (-1, 0.0, -1, -1, 0.1), 4: (-1, 0.0, -1, -1, 0.4), 5: (-1, 0.0, -1, -1, 0.6), 6: (-1, 0.0, -1, -1, 0.8)}
+    return [(one, 0.5), (two, 0.5)]
+
+
+# all coalitions of the four features, for the 16 x 16 patterns of being above the means; rows and background only count patterns
+_TREE_SQL = _WF_SQL + """,
+w0 AS (SELECT user_id, study_week, {zero} FROM wf),
+bg0 AS (SELECT * FROM w0 ORDER BY md5('11|' || CAST(user_id AS VARCHAR) || '|' || CAST(study_week AS VARCHAR)), user_id, study_week LIMIT 1000),
+mean0 AS (SELECT {means} FROM w0),
+xs AS (SELECT user_id, study_week, {bits} AS x FROM w0, mean0),
+zs AS (SELECT z, COUNT(*) / SUM(COUNT(*)) OVER () AS share FROM (SELECT {bits} AS z FROM bg0, mean0) q GROUP BY z),
+pat AS (SELECT CAST(range AS INTEGER) AS v FROM range(16)),
+score AS (SELECT v, 0.5 * (CASE WHEN v & 1 = 0 THEN 0.2 WHEN v & 2 = 0 THEN 0.5 ELSE 0.9 END)
+  + 0.5 * (CASE WHEN v & 4 = 0 THEN (CASE WHEN v & 8 = 0 THEN 0.1 ELSE 0.4 END) WHEN v & 1 = 0 THEN 0.6 ELSE 0.8 END) AS y FROM pat),
+part AS (
+  SELECT x.v AS x, z.v AS z, j.range AS j, s.v AS s, (CASE bit_count(s.v) WHEN 0 THEN 6.0 WHEN 1 THEN 2.0 WHEN 2 THEN 2.0 ELSE 6.0 END) / 24 AS w
+  FROM pat x, pat z, pat s, range(4) j WHERE (s.v >> CAST(j.range AS INTEGER)) & 1 = 0),
+phi AS (
+  SELECT x, z, j, SUM(w * (b.y - a.y)) AS phi FROM part
+  JOIN score a ON a.v = ((x & s) | (z & (15 - s)))
+  JOIN score b ON b.v = ((x & (s | CAST(1 << j AS INTEGER))) | (z & (15 - (s | CAST(1 << j AS INTEGER))))) GROUP BY 1, 2, 3),
+of_x AS (SELECT x, j, SUM(phi * share) AS shap FROM phi JOIN zs USING (z) GROUP BY 1, 2)""".format(
+    zero=", ".join(f"COALESCE(CAST({f} AS DOUBLE), 0.0) AS {f}" for f in _ATTR_FEATS),
+    means=", ".join(f"ROUND(AVG({f}), 4) + 0.00005 AS m{i}" for i, f in enumerate(_ATTR_FEATS)),
+    bits=" + ".join(f"(CASE WHEN {f} > m{i} THEN {1 << i} ELSE 0 END)" for i, f in enumerate(_ATTR_FEATS)))
+
+
+@register("tree_attribution", O.with_cohort(
+    "SELECT user_id, study_week, list_element([{names}], CAST(j + 1 AS INTEGER)) AS feature, ROUND(shap, 6) + 0.0 AS shap FROM xs JOIN of_x USING (x)".format(
+        names=", ".join(f"'{f}'" for f in _ATTR_FEATS)), _TREE_SQL))
+def q_tree_attribution(spark, sf_dir):
+    """Exact Shapley values of two stated trees for every week, against a background of 1000 weeks."""
+    wk = _weekly(spark, sf_dir).select("user_id", "study_week", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in _ATTR_FEATS])
+    row = wk.agg(*[(F.round(F.avg(f), 4) + 0.00005).alias(f) for f in _ATTR_FEATS]).first()
+    paths = leaf_paths(spark, _stated_trees({f: row[f] for f in _ATTR_FEATS}))
+    got = tree_attribution(paths, wk, ["user_id", "study_week"], _ATTR_FEATS, seeded_sample(wk, 1000, 11, ["user_id", "study_week"]))
+    return got.withColumn("shap", r6("shap"))
+
+
+@register("tree_attribution_rf")
+def q_tree_attribution_rf(spark, sf_dir):
+    """Exact Shapley values of the depth-2 forest on the whole final test side against the whole training side, as mean |attribution| per feature."""
+    tr, te, feats, fs = _final_split(spark, sf_dir)
+    paths = leaf_paths(spark, model_trees(fit(tr, feats, fs.target_col, "RF", {"n_estimators": 100, "max_depth": 2}, 42)))
+    rows = te.withColumn("_rid", F.monotonically_increasing_id())
+    return top_features(tree_attribution(paths, cut_lineage(rows), ["_rid"], feats, tr), n=len(feats))
+
+
+@register("results_io", O.with_cohort(_two_methods(
+    "SELECT 'events_score' AS featureset, '{method}' AS method, false AS features_selected, false AS tuned, type, "
+    + ", ".join(f"ROUND({'AVG' if s == 'mean' else 'stddev_samp' if s == 'std' else 'var_samp'}({m}{' * 100' if m != 'f1_score' else ''}), 6) + 0.0 AS {m}_{s}"
+                for m, s in (c.rsplit("_", 1) for c in _METRIC_COLS)) + " FROM {src} GROUP BY type"),
+    _preds_sql() + "," + _RUN_SQL + """,
+xrow AS (
+  SELECT run, type,
+    COALESCE(CAST(fn + fp AS DOUBLE) / NULLIF(tp + fp + tn + fn, 0), 0) AS accuracy,
+    COALESCE(CAST(fn AS DOUBLE) / NULLIF(fn + tn, 0), 0) AS precision,
+    COALESCE(CAST(fn AS DOUBLE) / NULLIF(fn + tp, 0), 0) AS sensitivity,
+    COALESCE(CAST(fp AS DOUBLE) / NULLIF(fp + tn, 0), 0) AS specificity,
+    COALESCE(CAST(2 * fn AS DOUBLE) / NULLIF(2 * fn + tn + tp, 0), 0) AS f1_score
+  FROM rcm
+)"""))
 def q_results_io(spark, sf_dir):
-    """Persist the per-run metric rows partitioned by configuration, read them back and summarise."""
-    base = ensure_checkpoint_dir(spark).rstrip("/") + "/dosewise-results/" + \
-        sf_dir.rstrip("/").split("/")[-1]
-    rows = pred_rows(spark, sf_dir).withColumn("final", F.lit(False))
-    write_results(rows, base, "pred")
-    back = read_results(spark, base, "pred", final=False)
-    out = summarize(back)
-    return out.withColumns({c: r6(c) for c in _SUM_COLS if c in out.columns})
+    """The metric rows of two methods written one after the other (the second by two runs' rows first, then by all), read back and summarised."""
+    base = _result_store(spark, sf_dir)
+    flipped = run_predictions(spark, sf_dir).withColumn("y_pred", 1 - F.col("y_pred"))
+    other = _with_cfg(classification_metrics(flipped, ["run", "type"])).withColumn("method", F.lit("threshold_flipped"))
+    write_results(pred_rows(spark, sf_dir).withColumn("final", F.lit(False)), base, "pred")
+    write_results(other.where("run < 2").withColumn("final", F.lit(False)), base, "pred")
+    write_results(other.withColumn("final", F.lit(False)), base, "pred")  # replaces its own configuration, not the other
+    out = summarize(read_results(spark, base, "pred", final=False))
+    return out.withColumns({c: r6(c) for c in _METRIC_COLS})
+
+
+@register("attributions_io", O.with_cohort("""
+SELECT 'weekly' AS featureset, 'LogisticR' AS method, feature, ROUND(AVG(ABS(shap)), 6) + 0.0 AS mean_abs_shap FROM la GROUP BY feature
+UNION ALL SELECT 'weekly_times' AS featureset, 'LogisticR' AS method, feature, ROUND(AVG(ABS(shap)), 6) + 0.0 AS mean_abs_shap
+FROM la WHERE feature LIKE 'event_time%' GROUP BY feature""", _ATTR_SQL))
+def q_attributions_io(spark, sf_dir):
+    """Attribution rows of two feature sets written one after the other and read back; mean |attribution| per set and feature."""
+    wk, coefs, bg = _attr_input(spark, sf_dir)
+    base = _result_store(spark, sf_dir)
+    for name, feats in (("weekly", _ATTR_FEATS), ("weekly_times", [f for f in _ATTR_FEATS if f.startswith("event_time")])):
+        rows = linear_attribution(wk, ["user_id", "study_week"], {f: coefs[f] for f in feats}, bg)
+        write_results(rows.select(F.lit(name).alias("featureset"), F.lit("LogisticR").alias("method"), "*"), base, "attr")
+    return top_features(read_results(spark, base, "attr"), by=("featureset", "method")).withColumn("mean_abs_shap", r6("mean_abs_shap"))
