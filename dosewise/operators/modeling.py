@@ -182,60 +182,84 @@ def param_points(method: str, grid: dict | None = None) -> list:
     return pts
 
 
+#: Method -> the grid's number of trees: a larger ensemble holds the smaller ones as its first trees.
+TREES = {"RF": "n_estimators", "XGB": "n_estimators"}
+
+
+def staged_scores(fitted: Fitted, df: DataFrame, sizes, label_col: str) -> dict:
+    """{n: specificity} of an ensemble's first n trees, for all ``sizes``, in one pass over ``df``.
+
+    The model names each row's leaf in every tree; the leaves' values are a constant of
+    the model's size.  A forest votes with its mean probability, boosted trees with
+    the sign of their weighted sum.
+    """
+    from .tree_attribution import model_trees
+
+    values = []
+    for nodes, weight in model_trees(df.sparkSession, fitted):  # leaves are numbered in the order of their ids
+        values.append([nodes[i][4] * weight for i in sorted(nodes) if nodes[i][0] < 0])
+    leaves = fitted.model.copy().setLeafCol("_leaf").transform(assemble(df, fitted.features, label_col)).select("label", vector_to_array("_leaf").alias("_leaf"))
+    table = F.from_json(F.lit(json.dumps(values)), "array<array<double>>")
+    votes = leaves.select("label", F.zip_with(table, "_leaf", lambda v, at: F.get(v, at.cast("int"))).alias("_votes"))
+    middle = {n: n / (2.0 * len(values)) if fitted.method == "RF" else 0.0 for n in sizes}
+    negative = F.col("label") == 0
+    right = [F.sum((negative & (F.aggregate(F.slice("_votes", 1, n), F.lit(0.0), lambda acc, v: acc + v) <= middle[n])).cast("int")).alias(f"n{n}") for n in sizes]
+    row = votes.agg(F.sum(negative.cast("int")).alias("all"), *right).first()
+    return {n: (row[f"n{n}"] / row["all"] if row["all"] else 0.0) for n in sizes}
+
+
 def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed: int, grid: dict | None = None,
          inner_folds: int = 5, parallelism: int = PARALLEL) -> Fitted:
     """Grid search maximising specificity over subject-grouped inner folds, then refit on all rows.
 
-    Logistic/forest/boosted grids run through ``CrossValidator(foldCol=...)``;
-    the SVM grid varies the feature map too, so each point is scored directly.
+    Logistic grids run through ``CrossValidator(foldCol=...)``.  Points of a tree grid that
+    differ in the number of trees only are one fit of the most trees, scored at each
+    number.  The SVM grid varies the feature map too, so each point is scored directly.
     """
     folds = group_folds(df, id_col, label_col, inner_folds, seed).select(id_col, "fold")
     data = cut_lineage(df.join(folds, id_col, "inner"))
     n = data.count()
     pts = param_points(method, grid)
-    if method == "SVM":
-        def score(point):
-            p, f = point
-            m = fit(data.where(F.col("fold") != f), features, label_col, method, p, seed)
-            pr = m.transform(data.where(F.col("fold") == f))
-            return classification_metrics(pr, [], label_col, "y_pred").first()["specificity"]
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(score, [(p, f) for p in pts for f in range(inner_folds)]))
-        means = [float(np.mean(scores[i * inner_folds:(i + 1) * inner_folds])) for i in range(len(pts))]
-        return fit(df, features, label_col, method, pts[int(np.argmax(means))], seed, n)
-    est = estimator(method, pts[0], n, seed)
-    builder = ParamGridBuilder()
     if method == "LogisticR":
-        builder = builder.addGrid(est.regParam, [1.0 / (p["C"] * n) for p in pts])
-    elif method == "RF":
-        g = grid or GRIDS["RF"]
-        builder = builder.addGrid(est.numTrees, g["n_estimators"]).addGrid(est.maxDepth, g["max_depth"]) \
-            .addGrid(est.minInstancesPerNode, g["min_samples_leaf"])
-    elif method == "XGB":
-        g = grid or GRIDS["XGB"]
-        builder = builder.addGrid(est.minInfoGain, [x / max(n, 1) for x in g["gamma"]]) \
-            .addGrid(est.stepSize, g["learning_rate"]).addGrid(est.maxDepth, g["max_depth"]) \
-            .addGrid(est.minInstancesPerNode, g["min_child_weight"]).addGrid(est.maxIter, g["n_estimators"])
-    cv = CrossValidator(estimator=Pipeline(stages=[est]), estimatorParamMaps=builder.build(), evaluator=specificity_evaluator(), numFolds=inner_folds,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
-    cvm = cv.fit(assemble(data, features, label_col).withColumn("fold", F.col("fold").cast("int")))
-    best = cvm.bestModel.stages[0]
-    return Fitted(method, best, list(features), {k.name: v for k, v in best.extractParamMap().items()
-                                                  if k.name in ("regParam", "numTrees", "maxDepth",
-                                                                "minInstancesPerNode", "stepSize", "maxIter",
-                                                                "minInfoGain")})
+        est = estimator(method, pts[0], n, seed)
+        points = ParamGridBuilder().addGrid(est.regParam, [1.0 / (p["C"] * n) for p in pts]).build()
+        cv = CrossValidator(estimator=Pipeline(stages=[est]), estimatorParamMaps=points, evaluator=specificity_evaluator(), numFolds=inner_folds,
+                            foldCol="fold", parallelism=parallelism, seed=seed)
+        cvm = cv.fit(assemble(data, features, label_col).withColumn("fold", F.col("fold").cast("int")))
+        best = cvm.bestModel.stages[0]
+        return Fitted(method, best, list(features), {k.name: v for k, v in best.extractParamMap().items() if k.name == "regParam"})
+    size = TREES.get(method)
+    sizes = sorted({p[size] for p in pts}) if size else []
+    shapes = [p for p in pts if p[size] == sizes[-1]] if size else pts
+
+    def score(task):
+        p, f = task
+        model = fit(data.where(F.col("fold") != f), features, label_col, method, p, seed)
+        held = data.where(F.col("fold") == f)
+        if size:
+            return {json.dumps({**p, size: m}): v for m, v in staged_scores(model, held, sizes, label_col).items()}
+        return {json.dumps(p): classification_metrics(model.transform(held), [], label_col, "y_pred").first()["specificity"]}
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        scored = list(pool.map(score, [(p, f) for p in shapes for f in range(inner_folds)]))
+    total: dict = {}
+    for part in scored:
+        for point, v in part.items():
+            total[point] = total.get(point, 0.0) + v / inner_folds
+    # grid order decides between equal scores
+    best = max(range(len(pts)), key=lambda i: (round(total[json.dumps({**pts[i]})], 12), -i))
+    return fit(df, features, label_col, method, pts[best], seed, n)
 
 
 def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_col: str, method: str, seed: int,
                params: dict | None = None, tuned: bool = False, select_feats: bool = False,
-               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None, ranges: dict | None = None, n_train: int | None = None):
+               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None, ranges: dict | None = None, n_train: int | None = None, grid: dict | None = None):
     """One train/test step: impute -> oversample (SMOTE / SMOTE-NC) -> (select) -> scale (LR/SVM)
     -> fit/tune -> predict.
 
     Imputer, oversampler and scaler see the training frame only; synthetic rows
     keep their base row's subject id.  ``ranges`` are the training columns' (min, max) and
-    ``n_train`` the number of training rows, if already known.  Returns (train predictions, test predictions, fitted model,
+    ``n_train`` the number of training rows, if already known; ``grid`` replaces the method's grid of a tuned step.  Returns (train predictions, test predictions, fitted model,
     features used).
     """
     from .oversample import smote
@@ -255,7 +279,7 @@ def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_c
     if method in ("LogisticR", "SVM"):
         rng = {f: ranges[f] for f in feats} if ranges else minmax_fit(train, feats)
         train, test = minmax_apply(train, rng), minmax_apply(test, rng)
-    model = tune(train, feats, label_col, id_col, method, seed) if tuned else \
+    model = tune(train, feats, label_col, id_col, method, seed, grid) if tuned else \
         fit(train, feats, label_col, method, params, seed if model_seed is None else model_seed, n_train)
     keep = [id_col, F.col(_q(label_col)).cast("int").alias("y_true")]
     tr = model.transform(train.select(*keep, *[_q(f) for f in feats]))

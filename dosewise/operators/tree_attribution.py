@@ -55,9 +55,8 @@ def leaf_paths(spark: SparkSession, trees: list) -> DataFrame:
     return spark.createDataFrame(rows, PATHS)
 
 
-def model_trees(fitted) -> list:
+def model_trees(spark: SparkSession, fitted) -> list:
     """The trees of a fitted forest (probability of class 1) or of boosted trees (margin), read from the saved model's node table."""
-    spark = SparkSession.getActiveSession()
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
     fitted.model.write().save(path)
     weights = fitted.model.treeWeights

@@ -111,6 +111,19 @@ def q_grid_search(spark, sf_dir):
     return _metric_rows(ptr, pte, "LogisticR").withColumn("regParam", F.lit(float(model.params["regParam"])))
 
 
+def _tuned(method, grid):
+    def q(spark, sf_dir):
+        tr, te, feats, fs = _final_split(spark, sf_dir)
+        ptr, pte, model, _ = train_test(tr, te, feats, fs.target_col, fs.id_col, method, 42, tuned=True, grid=grid, impute=False, nominal=list(fs.nominal_cols))
+        return _metric_rows(ptr, pte, method).withColumns({k: F.lit(v) for k, v in model.params.items()})
+    return q
+
+
+# tree grids: the analysis's numbers of trees and depths up to sizes that a benchmark run can wait for
+register("grid_search_rf")(_tuned("RF", {"n_estimators": [50, 100], "max_depth": [1, 2], "min_samples_leaf": [1]}))
+register("grid_search_gbt")(_tuned("XGB", {"gamma": [0.5], "learning_rate": [0.1, 0.3], "max_depth": [2], "min_child_weight": [1], "n_estimators": [10, 25]}))
+
+
 @register("repeated_cv")
 def q_repeated_cv(spark, sf_dir):
     """Logistic regression, 5 runs (seeds 0..4) of 5 subject-grouped folds; pooled metrics per run and side."""

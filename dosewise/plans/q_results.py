@@ -285,7 +285,7 @@ def q_tree_attribution(spark, sf_dir):
 def q_tree_attribution_rf(spark, sf_dir):
     """Exact Shapley values of the depth-2 forest on the whole final test side against the whole training side, as mean |attribution| per feature."""
     tr, te, feats, fs = _final_split(spark, sf_dir)
-    paths = leaf_paths(spark, model_trees(fit(tr, feats, fs.target_col, "RF", {"n_estimators": 100, "max_depth": 2}, 42)))
+    paths = leaf_paths(spark, model_trees(spark, fit(tr, feats, fs.target_col, "RF", {"n_estimators": 100, "max_depth": 2}, 42)))
     rows = te.withColumn("_rid", F.monotonically_increasing_id())
     return top_features(tree_attribution(paths, cut_lineage(rows), ["_rid"], feats, tr), n=len(feats))
 

@@ -60,7 +60,7 @@ def test_equals_all_coalitions(spark, method):
                  ({0: (-1, 0, 0, 0, 5.0)}, 1.0)]
     else:
         fitted = modeling.fit(df, FEATS, "y", method, {"n_estimators": 4, "max_depth": 3}, 7)
-        trees = T.model_trees(fitted)
+        trees = T.model_trees(spark, fitted)
     paths = T.leaf_paths(spark, trees)
     background = df.where("i < 15")
     got = _values(T.tree_attribution(paths, df.where("i >= 100"), ["i"], FEATS, background))
@@ -80,7 +80,7 @@ def test_equals_all_coalitions(spark, method):
 def test_equals_duckdb_on_the_path_table(spark):
     _, df = _frame(spark, 60, 3)
     fitted = modeling.fit(df, FEATS, "y", "RF", {"n_estimators": 6, "max_depth": 3}, 5)
-    paths = T.leaf_paths(spark, T.model_trees(fitted))
+    paths = T.leaf_paths(spark, T.model_trees(spark, fitted))
     got = _values(T.tree_attribution(paths, df, ["i"], FEATS, df.where("i < 20")))
     p, d = paths.where("feature is not null").toPandas(), df.toPandas()
     d = d.rename(columns=dict(zip(FEATS, ["f0", "f1", "f2"])))
