@@ -10,57 +10,45 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import co_moments
 from .reshape import _q
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def pearson(df: DataFrame, cols) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair: (col_a, col_b, r).
 
-    Uses the numerically stable built-in co-moment aggregates restricted to rows
-    where both values are present; a constant column gives NULL (no division
-    error under ANSI).
+    One pass of co-moments around the columns' means; a column that is constant
+    over a pair's rows gives NULL.
     """
     cols = list(cols)
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            both = F.col(_q(a)).isNotNull() & F.col(_q(b)).isNotNull()
-            xa, xb = F.when(both, F.col(_q(a)).cast("double")), F.when(both, F.col(_q(b)).cast("double"))
-            aggs += [F.covar_samp(xa, xb).alias(f"c{i}_{j}"), F.stddev_samp(xa).alias(f"a{i}_{j}"),
-                     F.stddev_samp(xb).alias(f"b{i}_{j}")]
-            r = f"try_divide(c{i}_{j}, a{i}_{j} * b{i}_{j})"
-            cells.append((a, b, r))
-            if i != j:
-                cells.append((b, a, r))
-    one = df.agg(*aggs)
-    stack = "stack({n}, {body}) AS (col_a, col_b, r)".format(
-        n=len(cells), body=", ".join(f"{_sql_str(a)}, {_sql_str(b)}, {r}" for a, b, r in cells))
-    return one.selectExpr(stack)
+    means = df.agg(*[F.avg(F.col(_q(c)).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    sums = co_moments(df, cols, [m or 0.0 for m in means]).where("n > 0")
+    other = sums.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))
+    both = sums.join(other, ["i", "j"])  # a row per pair of columns
+
+    def spread(total, squares):
+        """Centred squares; what is left of a constant by rounding is none."""
+        left = F.col(squares) - F.col(total) * F.col(total) / F.col("n")
+        return F.when((F.col("n") > 1) & (left > F.col(squares) * 1e-13), left)
+
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    names = F.array(*[F.lit(c) for c in cols])
+    found = both.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), r.alias("r"))
+    pairs = df.sparkSession.createDataFrame([(a, b) for a in cols for b in cols], "col_a string, col_b string")
+    return pairs.join(found, ["col_a", "col_b"], "left")  # columns that never meet have no r
 
 
 def gram(df: DataFrame, cols):
-    """(n, sums, G = X'X) over rows with no NULL in ``cols`` (one aggregate job)."""
+    """(n, sums, G = X'X) over rows with no NULL in ``cols``; one pass, p x p numbers to the driver."""
     cols = list(cols)
-    x = [F.col(_q(c)).cast("double") for c in cols]
-    complete = F.lit(True)
-    for c in x:
-        complete = complete & c.isNotNull()
-    d = df.where(complete)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)]
-    aggs += [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    row = d.agg(*aggs).first()
     p = len(cols)
-    g = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-    sums = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
-    return row["n"], sums, g
+    got = co_moments(df, cols, complete=True).toPandas()
+    g, sums, n = np.zeros((p, p)), np.zeros(p), 0
+    for r in got.itertuples():
+        g[r.i, r.j] = r.xy
+        if r.i == r.j:
+            sums[r.i], n = r.x, int(r.n)
+    return n, sums, g
 
 
 def vif_from_gram(n, sums, g) -> list:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
 from ..operators.adherence import cohort_split, whole_study_adherence
-from ..operators.collinearity import histogram, mean_days_between, pearson, row_stats, vif
+from ..operators.collinearity import correlated_to_drop, histogram, mean_days_between, pearson, row_stats, vif
 from ..operators.encoding import one_hot
 from ..operators.reshape import wide_to_long
+from ..session import ensure_checkpoint_dir
+from ..sources.export import read_wide_csv, write_wide_csv
 from ..sources.events import EXPORT_DATE_RE, EXPORT_SLOT_RE, daily_use, dose_events, wide_export
 from . import oracle as O
 from .featuresets import featureset, lagged_featureset
@@ -35,6 +37,26 @@ def q_wide_to_long(spark, sf_dir):
     return portable(long.withColumnRenamed("PtID", "user_id"), doubles=("interval_s",), dates=("enroll", "date"))
 
 
+@register("wide_csv", O.with_cohort("""
+SELECT user_id, strftime(enroll, '%Y-%m-%d') AS enroll, strftime(date, '%Y-%m-%d') AS date, day_idx, slot,
+       strftime(datetime, '%H:%M:%S') AS time, datetime, numtimes, CAST(interval_s AS DOUBLE) AS interval_s,
+       withinrange, CAST(2 AS BIGINT) AS n_quarantined
+FROM dose"""))
+def q_wide_csv(spark, sf_dir):
+    """The wide export written as CSV files, with a file of ragged rows among them, read back and unpivoted."""
+    wide = wide_export(events(spark, sf_dir), SPEC)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wide-csv-{sf_dir.rstrip('/').split('/')[-1]}"
+    write_wide_csv(wide, f"{base}/whole")
+    header = ",".join(wide.columns)
+    ragged = [header, "9999999,1/1/2020,too,few", ",".join(["8888888"] + ["1"] * len(wide.columns))]
+    spark.createDataFrame([(x,) for x in ["\n".join(ragged)]], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/ragged")
+    rows, quarantine = read_wide_csv(spark, f"{base}/whole", f"{base}/ragged")
+    long = wide_to_long(rows, "PtID", "DateEnroll", EXPORT_DATE_RE, EXPORT_SLOT_RE, date_fmt="M/d/yyyy")
+    long = long.select(F.col("PtID").cast(dict(wide.dtypes)["PtID"]).alias("user_id"), *[c for c in long.columns if c != "PtID"])
+    counted = quarantine.agg(F.count("*").alias("n")).scalar()
+    return portable(long, doubles=("interval_s",), dates=("enroll", "date")).withColumn("n_quarantined", counted)
+
+
 _DROP_SQL = """
 rk AS (
   SELECT user_id, date, strftime(date_trunc('second', ts), '%H:%M:%S') AS t,
@@ -257,6 +279,29 @@ def q_vif(spark, sf_dir):
     return vif(_weekly_raw(spark, sf_dir), _VIF_PAIR).withColumn("vif", r6("vif"))
 
 
+@register("correlated_columns", O.with_cohort("SELECT DISTINCT col_b AS column_name FROM (" + _pearson_sql(_WK_NUM) + ") p WHERE r > 0.85 AND list_position(["
+                                               + ", ".join(f"'{c}'" for c in _WK_NUM) + "], col_a) < list_position([" + ", ".join(f"'{c}'" for c in _WK_NUM) + "], col_b)", _WF_SQL))
+def q_correlated(spark, sf_dir):
+    """Weekly columns that the collinearity rule drops (later column of each pair above 0.85)."""
+    return spark.createDataFrame([(c,) for c in correlated_to_drop(_weekly_raw(spark, sf_dir), _WK_NUM)], "column_name string")
+
+
+_VIF_THREE = ("event_time_mean", "event_time_std", "between_event_time_std")
+
+
+@register("vif_three", O.with_cohort("""
+SELECT 'event_time_mean' AS feature, ROUND(aa * (bb * cc - bc * bc) / det, 6) AS vif FROM vd
+UNION ALL SELECT 'event_time_std', ROUND(bb * (aa * cc - ac * ac) / det, 6) FROM vd
+UNION ALL SELECT 'between_event_time_std', ROUND(cc * (aa * bb - ab * ab) / det, 6) FROM vd""", _WF_SQL + """,
+vv AS (SELECT CAST(event_time_mean AS DOUBLE) AS a, CAST(event_time_std AS DOUBLE) AS b, CAST(between_event_time_std AS DOUBLE) AS c FROM wf
+      WHERE event_time_mean IS NOT NULL AND event_time_std IS NOT NULL AND between_event_time_std IS NOT NULL),
+vg AS (SELECT SUM(a * a) AS aa, SUM(a * b) AS ab, SUM(a * c) AS ac, SUM(b * b) AS bb, SUM(b * c) AS bc, SUM(c * c) AS cc FROM vv),
+vd AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM vg)"""))
+def q_vif_three(spark, sf_dir):
+    """VIF of three weekly columns (the diagonal of the Gram matrix times that of its inverse)."""
+    return vif(_weekly_raw(spark, sf_dir), _VIF_THREE).withColumn("vif", r6("vif"))
+
+
 @register("vif_weekly")
 def q_vif_weekly(spark, sf_dir):
     """VIF of the weekly features kept after the analyst's review (no SQL matrix inverse)."""
