@@ -21,7 +21,7 @@ def _fold() -> np.ndarray:
         if ch.isalpha():
             low = ch.lower()
             out[c] = ord(low) if len(low) == 1 else c
-    for c in range(0xE000, 0x30000):
+    for c in range(0xE000, _POINTS):
         if chr(c).isalpha():
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c

@@ -60,7 +60,7 @@ SQL["op5_phrase_index"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
 q AS (
   SELECT DISTINCT item_id, array_to_string(ws[i:i+12], ' ') AS g, 13 AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM b WHERE len(ws) >= 13)
   UNION SELECT item_id, array_to_string(ws, ' '), len(ws) FROM b WHERE len(ws) BETWEEN 1 AND 12),

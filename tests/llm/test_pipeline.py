@@ -18,8 +18,8 @@ def test_registered():
     import __spark_entry__ as E
 
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in names if q.startswith("op") and q[2:3].isdigit()} and "pipeline" in names
-    assert {"op1_line_quality", "op3_jaccard_join", "op5_phrase_index", "op6_substring_dedup", "op9_line_runs"} <= set(E.oracle_sql())
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in names if q.startswith("op") and q[2:3].isdigit()} and "pipeline" in names
+    assert {"op1_line_quality", "op3_jaccard_join", "op5_phrase_index", "op6_substring_dedup", "op9_line_runs", "op11_phrase_mining"} <= set(E.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "byte_bpe"]
 
 
@@ -82,3 +82,19 @@ def test_pipeline_removes_long_passages_on_one_or_two_lines(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.unique_lines(spark, table(spark, rows), "").collect()}
     assert {i: got[i] for i in range(3)} == {r[0]: r[1] for r in rows if r[0] < 3}
     assert got[10] == own[0] + " tail" and got[11] == own[2] + " tail" and got[12] == short + "\n" + own[4] + " tail"
+
+
+def test_clashing_columns_keep_their_values(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, 30, 900)) for i in range(6)]
+    names = ["score", "lang_pred", "held_out", "n_lines", "n_removed", "longest_run", "gone", "node", "text_key"]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(77 + i) for i, c in enumerate(names)})
+    for stage in (corpus_pipeline.known_language, corpus_pipeline.unique_lines, corpus_pipeline.one_of_each_group):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 6
+        assert [tuple(r) for r in out.select(names).distinct().collect()] == [tuple(range(77, 77 + len(names)))]
+
+
+def test_letters_beyond_the_second_plane(spark):
+    docs = table(spark, [(i, "\U00030001\U00030002" if i == 7 else "some english words here") for i in range(8)])
+    assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").select("doc_id").collect()} == set(range(8))
