@@ -20,16 +20,23 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 PASSAGE_WORDS = 50
 
 
+def beside(docs: DataFrame, *read: str) -> tuple[DataFrame, list]:
+    """docs with the columns that a stage doesn't read under names of no operator, and the columns to select in the end."""
+    names = {c: c if c in read else f"__kept{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided; those without any letter go."""
-    named = language_id.language_id(docs)
-    return named.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    own, columns = beside(docs, "doc_id", "text", "lang")
+    return language_id.language_id(own).where(F.col("lang_pred") != language_id.UNKNOWN).select(columns)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs, nor of passages of one or two lines; documents that lose all their words go."""
-    cut = line_runs.line_dedup(docs, min_words=PASSAGE_WORDS).where("n_removed = 0 or n_removed < n_lines")
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    own, columns = beside(docs, "doc_id", "text")
+    cut = line_runs.line_dedup(own, min_words=PASSAGE_WORDS).where("n_removed = 0 or n_removed < n_lines")
+    return cut.select(columns).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
