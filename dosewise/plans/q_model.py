@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from ..operators.cleaning import assert_no_nulls
 from ..operators.evaluation import classification_metrics
 from ..operators.folds import first_fold_split
-from ..operators.modeling import repeated_cv, select_by_forest, train_test, tune
+from ..operators.lagging import one_hot_featureset
+from ..operators.modeling import repeated_cv, select_by_forest, train_test, tune, tune_lags
 from ..operators.oversample import smote
+from ..operators.results import lag_tuning_curve
 from ..operators.scaling import chained_impute, minmax, mode_fill
 from ..session import cut_lineage
 from . import oracle as O
 from .cohort import clocked_events
-from .featuresets import lagged_featureset
+from .featuresets import category_levels_for, featureset, lagged_featureset
 from .q_tables import _WF_SQL
 from .registry import SPEC, events, r6, register
 
@@ -136,6 +138,15 @@ def q_repeated_cv(spark, sf_dir):
     return mets
 
 
+@register("lag_tuning_curve")
+def q_lag_tuning_curve(spark, sf_dir):
+    """Specificity by lag count and forest depth on the weekly set: 1 and 2 lags, depth 2, 20 trees, one run of two folds."""
+    fs = featureset(events(spark, sf_dir), "study_week", SPEC)
+    fs = one_hot_featureset(fs, category_levels_for(SPEC))
+    rows = tune_lags(fs.with_df(cut_lineage(fs.df)), lag_range=(1, 2), depth_range=(2,), runs=1, k=2, exclusion={"study_week": 0}, params={"n_estimators": 20})
+    return lag_tuning_curve(rows)
+
+
 def _day_lagged(spark, sf_dir):
     fs = lagged_featureset(events(spark, sf_dir), "study_day", 3, SPEC, check_nulls=False)
     df = cut_lineage(fs.df)

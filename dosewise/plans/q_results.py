@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.attribution import linear_attribution, sampled_attribution
+from ..operators.attribution import fitted_linear_attribution, linear_attribution, sampled_attribution
 from ..operators.evaluation import auc, classification_metrics, interpolate_tpr, mean_auc, mean_roc, roc_points
 from ..operators.folds import seeded_hash, seeded_sample
 from ..operators.modeling import fit
 from ..operators.tree_attribution import leaf_paths, model_trees, tree_attribution
-from ..operators.results import (condense, featureset_title, legend_label, prettify, read_results, summarize,
+from ..operators.results import (condense, featureset_title, legend_label, prettify, rank_final, read_results, summarize,
                                  top_features, write_results, with_final_auc)
 from ..session import cut_lineage, ensure_checkpoint_dir
 from . import oracle as O
@@ -165,8 +165,7 @@ def q_final_ranking(spark, sf_dir):
     p = predictions(spark, sf_dir).where(seeded_hash(42, "user_id") % 2 == 0)
     m = _with_cfg(classification_metrics(p.withColumn("type", F.lit("test")), ["type"]))
     a = _with_cfg(auc(roc_points(p)).withColumn("type", F.lit("test")))
-    ranked = with_final_auc(m, a).where(F.col("type") == "test") \
-        .orderBy(F.col("featureset").asc(), F.col("specificity").desc())
+    ranked = rank_final(with_final_auc(m, a))
     ranked = ranked.withColumn("_auc9", F.round("auc", 9))
     return ranked.select("featureset", "method", "type", r6("specificity").alias("specificity"),
                          r6("auc").alias("auc"), legend_label("method", "_auc9").alias("legend_label"),
@@ -215,6 +214,14 @@ def q_top_features(spark, sf_dir):
         .withColumn("mean_abs_shap", r6("mean_abs_shap"))
 
 
+@register("linear_attribution_lr")
+def q_linear_attribution_lr(spark, sf_dir):
+    """Attributions of the fitted logistic regression on the whole final test side, as mean |attribution| per feature."""
+    tr, te, feats, fs = _final_split(spark, sf_dir)
+    model = fit(tr, feats, fs.target_col, "LogisticR", {"C": 1.0}, 42)
+    return top_features(fitted_linear_attribution(model, te, [fs.id_col], tr), n=len(feats))
+
+
 @register("sampled_attribution")
 def q_sampled_attribution(spark, sf_dir):
     """Permutation-sampled Shapley values of the depth-2 forest on the final test split (<= 1000 rows,
