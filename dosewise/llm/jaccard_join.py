@@ -120,18 +120,6 @@ def _full(batches, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(_node(token, bounds)[0].view(np.int64)), W.list_array(token, bounds)], names=["node", "tokens"])
 
 
-def _linked(batches, percent: int):
-    """Pairs whose full sets meet the threshold."""
-    for batch in batches:
-        a, b = batch.column("a_tokens"), batch.column("b_tokens")
-        ok = np.zeros(len(batch), bool)
-        for i in range(len(batch)):
-            x, y = a[i].values.to_numpy(zero_copy_only=False), b[i].values.to_numpy(zero_copy_only=False)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
-
-
 class TokenGroupJoin:
     """One join: its node table, full-set checks and steps; ``join`` below runs it."""
 
@@ -167,8 +155,8 @@ class TokenGroupJoin:
         side = F.broadcast(sets) if bytes_ <= BROADCAST_BYTES else sets
         full = pairs.join(side.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
             side.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-        percent = self.percent
-        return full.mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+        common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        return full.where(100 * common >= self.percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b")
 
     def leader_links(self) -> DataFrame:
         """Verified links of nodes with the leader of each of their min-hashes: the set with most exact copies, as the likely origin."""

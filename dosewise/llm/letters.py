@@ -8,7 +8,7 @@ import numpy as np
 
 from .words import _GRAM, mix
 
-RUN_CHARS = 1_000_000
+RUN_CHARS = 250_000
 _POINTS = 0x110000
 
 
