@@ -327,7 +327,7 @@ def cross_fitted(df: DataFrame, features, label_col: str, id_col: str, method: s
                 kept.unpersist()
             return part
 
-        with ThreadPoolExecutor(PARALLEL) as pool:
+        with ThreadPoolExecutor(k) as pool:  # a run's sides at once: none waits for a second round
             parts = list(pool.map(step, range(k)))
         preds = parts[0]
         for part in parts[1:]:
