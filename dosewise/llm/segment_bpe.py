@@ -35,9 +35,9 @@ from .store import ship
 #: Distinct pieces that a worker remembers at once.
 MEMORY_PIECES = 400_000
 #: Matrix cells of one batch of trees.
-TREE_CELLS = 1 << 21
+TREE_CELLS = 1 << 19
 #: Rows of a text batch are encoded together up to so many characters.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 NONE = np.int64(1) << 40
 
 
@@ -250,8 +250,8 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _chunks(column):
     """Runs of rows (first, texts) of about CHUNK_CHARS characters."""
     first, texts, size = 0, [], 0
-    for text in column.to_pylist():
-        texts.append(text or "")
+    for text in column:  # one Python text at a time: a batch as a list is as large as all its texts
+        texts.append(text.as_py() or "")
         size += len(texts[-1])
         if size >= CHUNK_CHARS:
             yield first, texts
