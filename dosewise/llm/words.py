@@ -107,6 +107,16 @@ def grams(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return mix(out[at]), at
 
 
+def heads(hashes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """By length, the hash of so many words from each word on; past a row's end the values mean nothing."""
+    total, out = np.zeros(len(hashes), np.uint64), {}
+    for j in range(max(lengths)):
+        total[:max(len(hashes) - j, 0)] += hashes[j:] * _GRAM[j]
+        if j + 1 in lengths:
+            out[j + 1] = mix(total + np.uint64(j + 1))
+    return out
+
+
 def runs(column: pa.Array, lower: bool = False, run_bytes: int = RUN_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[Run]:
     """Cut a string column (null: empty) into runs of about ``run_bytes``; words lie between the bytes of ``gaps``."""
     column = pc.fill_null(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, "")

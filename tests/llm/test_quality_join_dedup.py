@@ -148,6 +148,23 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch, heavy):
     assert substring_dedup.substring_dedup(table(spark, rows).limit(0)).count() == 0
 
 
+def test_substring_subtrees_do_not_depend_on_batches():
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(5)
+    rows = sorted((rnd.randrange(3), tuple(rnd.randrange(2) for _ in range(3)), rnd.randrange(6), i) for i in range(300))
+    whole = pa.RecordBatch.from_arrays([
+        pa.array([r[0] for r in rows]), pa.array([np.array(r[1], np.uint32).tobytes() for r in rows]), pa.array([r[2] for r in rows]),
+        pa.array([0] * len(rows)), pa.array([r[3] for r in rows], pa.int32())], names=["key", "rest", "doc_id", "text_key", "start"])
+    least = {}
+    for r in rows:
+        least[r[:2]] = min(least.get(r[:2], r[2]), r[2])
+    want = sorted(r[3] for r in rows if r[2] > least[r[:2]])
+    for size in (1, 2, 7, 300):
+        batches = (whole.slice(i, size) for i in range(0, len(rows), size))
+        assert sorted(x for b in substring_dedup._subtrees(batches, 3) for x in b.column("start").to_pylist()) == want
+
+
 # --- line runs
 def brute_runs(rows, n):
     seqs = []
