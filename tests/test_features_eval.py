@@ -161,3 +161,40 @@ def test_minmax_mode_fill_and_chained_impute(spark):
     (out,) = chained_impute(sdf, [sdf], ["a", "b"], rounds=2)
     filled = out.toPandas().b.to_numpy()[:30]
     np.testing.assert_allclose(filled, 2 * a[:30] + 1, atol=0.05)
+
+
+def test_evidence_ridge_matches_the_posterior_in_matrix_form():
+    from dosewise.operators.scaling import evidence_ridge
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)) * [1.0, 5.0, 0.1, 2.0]
+    y = x @ [0.5, -0.2, 3.0, 0.0] + rng.normal(scale=0.4, size=80)
+    x, y = x - x.mean(axis=0), y - y.mean()
+    noise, weight, last = 1 / (y.var() + np.finfo(float).eps), 1.0, None
+    for i in range(300):  # textbook form: the posterior's covariance and its trace
+        cov = np.linalg.inv(weight * np.eye(4) + noise * x.T @ x)
+        w = noise * cov @ x.T @ y
+        gamma = 4 - weight * np.trace(cov)
+        weight = (gamma + 2e-6) / (w @ w + 2e-6)
+        noise = (len(y) - gamma + 2e-6) / (((y - x @ w) ** 2).sum() + 2e-6)
+        if last is not None and np.abs(w - last).sum() < 1e-3:
+            break
+        last = w
+    want = noise * np.linalg.inv(weight * np.eye(4) + noise * x.T @ x) @ x.T @ y
+    np.testing.assert_allclose(evidence_ridge(80, x.T @ x, x.T @ y, y @ y), want, rtol=1e-9)
+    assert (evidence_ridge(80, x.T @ x, np.zeros(4), 0.0) == 0).all()
+
+
+def test_chained_impute_replays_and_stops(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=200)
+    rows = [(float(v), None if i % 9 == 0 else float(3 * v - 1), None, None if i % 7 == 0 else float(-v)) for i, v in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, never double, c double")
+    other = spark.createDataFrame([(0.5, None, None, -0.5), (None, 2.0, None, -1.0)], df.schema)
+    same, out = chained_impute(df, [df, other], ["a", "b", "never", "c"])
+    assert same.columns == df.columns and same.where("a is null or b is null or c is null or never != 0").count() == 0
+    got = same.toPandas()
+    np.testing.assert_allclose(got.b, 3 * got.a - 1, atol=0.02)
+    r = out.collect()
+    assert abs(r[0].b - 0.5) < 0.05 and abs(r[1].a - 1.0) < 0.05
+    assert chained_impute(df.limit(0), [df.limit(0)], ["a", "b"])[0].count() == 0

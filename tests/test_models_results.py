@@ -111,6 +111,33 @@ def test_sampled_attribution_is_additive(spark, data):
     np.testing.assert_allclose(sums, want, atol=1e-9)
 
 
+def test_sampled_attribution_is_exact_on_a_linear_score_and_stops(spark, data):
+    from dosewise.operators.attribution import _stride, sampled_attribution
+
+    class Linear:
+        calls = 0
+
+        def transform(self, df):
+            Linear.calls += 1
+            return df.withColumn("score", 2 * F.col("x1") - F.col("x2") + 0.5 * F.col("noise"))
+
+    feats, coefs = ["x1", "x2", "noise"], {"x1": 2.0, "x2": -1.0, "noise": 0.5}
+    rows = spark.createDataFrame([(i, float(i), float(i % 3), 1.0) for i in range(10)], "pid long, x1 double, x2 double, noise double")
+    bg = spark.createDataFrame([(i, i * 0.3, i * i * 0.1, 1.0 if i else 0.0) for i in range(4)], rows.schema)
+    means = {f: np.mean([r[f] for r in bg.collect()]) for f in feats}
+    attr = sampled_attribution(Linear(), rows, ["pid", *feats], feats, bg, n_samples=8, seed=2)  # 4 pairs: each background row once
+    by = {r.pid: r for r in rows.collect()}
+    got = attr.collect()
+    assert len(got) == 30 and all(abs(r.shap - coefs[r.feature] * (by[r.pid][r.feature] - means[r.feature])) < 1e-9 for r in got)
+    assert all(r.stderr is not None and r.stderr > 0 for r in got if r.feature != "noise")
+    Linear.calls = 0
+    assert sampled_attribution(Linear(), rows, ["pid", *feats], feats, bg.limit(1), n_samples=4, max_error=0.0).where("stderr > 0").count() == 0
+    assert Linear.calls == 1  # one background row: no spread, so the first batch is enough
+    sampled_attribution(Linear(), rows, ["pid", *feats], feats, bg, n_samples=4, max_error=1e-12, max_samples=12)
+    assert Linear.calls == 4  # never small enough: three batches of 4 orders
+    assert all(len({(k * _stride(n)) % n for k in range(n)}) == n for n in (1, 2, 3, 6, 10, 1000))
+
+
 def test_fitted_linear_attribution_adds_up_to_the_margin(spark, data):
     from dosewise.operators.attribution import fitted_linear_attribution
 
