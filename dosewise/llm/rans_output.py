@@ -14,8 +14,8 @@ per document i64 id, u8 id known, u32 ids; per symbol u32 symbol, u32 frequency
 u32; then per block its lane states as u64 and its words as u32; at the end the
 CRC-32 of all bytes before it.
 
-Scale: one shuffle of the texts (by range); a task's memory is one segment, or
-one document if that is longer.  The start of a partition is the sum of the
+Scale: one shuffle of the texts (by range); a task's memory is one segment (its
+ids and files once, everything else by block), or one document if that is longer.  The start of a partition is the sum of the
 totals before it, a list as long as the number of partitions.
 
 Defined cases: a null or empty text is the end id alone; null ids come last and
@@ -25,6 +25,8 @@ files and no rows; other input columns are ignored; a damaged segment raises.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -39,7 +41,7 @@ from . import words as W
 from .segment_bpe import ragged
 from .store import folder, ship
 
-SEGMENT_IDS = 8 << 20
+SEGMENT_IDS = 4 << 20
 BLOCK_IDS = 1 << 20
 MAX_LANES = 2048
 #: Frequencies of a table sum to 2**SCALE; lane states stay in [2**31, 2**63).
@@ -50,6 +52,10 @@ END_ID = 1
 #: Words of a generation of a worker's memory (about 40 bytes each), and letter strings kept beside it.
 MEMORY_WORDS = 1_000_000
 MEMORY_CORES = 200_000
+#: Bytes of text tokenized at once; one longer text is a run of its own.
+RUN_BYTES = 1 << 18
+#: Slots (a power of two) of the table of words met last, which most words of a text are found in.
+RECENT_BITS = 19
 
 SEGMENTS = "part int, start long, n_ids long, payload binary"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -58,8 +64,10 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # --- coding -----------------------------------------------------------------------------------------------------------
 def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in use and their frequencies, scaled to a sum of 2**SCALE with at least 1 each."""
-    if ids.max(initial=0) < 1 << 22:
-        counts = np.bincount(ids)
+    if (most := int(ids.max(initial=0))) < 1 << 22:
+        counts = np.zeros(most + 1, np.int64)
+        for first in range(0, len(ids), BLOCK_IDS):
+            counts += np.bincount(ids[first:first + BLOCK_IDS], minlength=most + 1)
         symbols = np.flatnonzero(counts)
         counts = counts[symbols]
     else:
@@ -125,29 +133,31 @@ def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     symbols, freq = table(ids)
     start = (np.cumsum(freq) - freq).astype(np.uint64)
     if symbols[-1:].max(initial=0) < 1 << 22:
-        place = np.zeros(int(symbols[-1:].max(initial=0)) + 1, np.int64)
+        place = np.zeros(int(symbols[-1:].max(initial=0)) + 1, np.int32)
         place[symbols] = np.arange(len(symbols))
-        index = place[ids]
     else:
-        index = np.searchsorted(symbols, ids)
+        place = None
     wide = freq.astype(np.uint64)
     heads, bodies = [], []
     for first in range(0, len(ids), BLOCK_IDS):
-        own = index[first:first + BLOCK_IDS]
+        own = ids[first:first + BLOCK_IDS]
         lanes = int(min(MAX_LANES, max(1, len(own) // 256)))
-        state, words = encode_block(own, wide, start, lanes)
-        heads.append(struct.pack("<4I", len(own), lanes, len(words), zlib.crc32(ids[first:first + BLOCK_IDS].astype("<u4").tobytes())))
+        state, words = encode_block(np.searchsorted(symbols, own) if place is None else place[own], wide, start, lanes)
+        heads.append(struct.pack("<4I", len(own), lanes, len(words), zlib.crc32(own.astype("<u4"))))
         bodies += [state.astype("<u8").tobytes(), words.astype("<u4").tobytes()]
     docs = b"".join((np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
                      np.array([d is not None for d in doc_ids], "u1").tobytes(), lengths.astype("<u4").tobytes()))
-    out = b"".join([MAGIC, struct.pack("<3I", len(doc_ids), len(symbols), len(heads)), docs,
-                    symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), *heads, *bodies])
-    return out + struct.pack("<I", zlib.crc32(out))
+    out = [MAGIC, struct.pack("<3I", len(doc_ids), len(symbols), len(heads)), docs,
+           symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), *heads, *bodies]
+    crc = 0
+    for part in out:
+        crc = zlib.crc32(part, crc)
+    return b"".join([*out, struct.pack("<I", crc)])
 
 
 def unpack(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Document ids, their lengths and all ids of a segment; raises on any damage."""
-    if payload[:4] != MAGIC or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
+    if payload[:4] != MAGIC or zlib.crc32(memoryview(payload)[:-4]) != struct.unpack("<I", payload[-4:])[0]:
         raise ValueError("not a whole rANS segment")
     n_docs, n_symbols, n_blocks = struct.unpack_from("<3I", payload, 4)
     at = 16
@@ -163,15 +173,15 @@ def unpack(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     heads = take("<u4", 4 * n_blocks).reshape(-1, 4)
     start = np.cumsum(freq) - freq
     slots = np.repeat(np.arange(n_symbols, dtype=np.int32), freq.astype(np.int64))
-    parts = []
+    out, done = np.empty(int(heads[:, 0].sum()), np.uint32), 0
     for n, lanes, n_words, crc in heads.tolist():
         state, words = take("<u8", lanes), take("<u4", n_words)
         ids = symbols[decode_block(n, state, words, freq, start, slots)]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids.astype("<u4", copy=False)) != crc:
             raise ValueError("rANS block checksum differs")
-        parts.append(ids)
-    ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-    return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, ids
+        out[done:done + n] = ids
+        done += n
+    return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, out
 
 
 # --- tokenizing -------------------------------------------------------------------------------------------------------
@@ -238,21 +248,27 @@ class WordTokenizer:
     _shared: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
-        import json
-
+        # the tasks of an executor are its threads; a pool of threads in each worker only takes more memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.size = max(self.whole.get_vocab(with_added_tokens=True).values()) + 1
-        said = json.loads(self.whole.to_str())
+        said = {k: json.loads(part.__getstate__()) if (part := getattr(self.whole, k)) else None for k in ASSUMED}
+        added = self.whole.get_added_tokens_decoder().values()
         # added tokens are found in the raw text: one that takes in white space reaches over words
-        self.by_word = all(said[k] == v for k, v in ASSUMED.items()) and said["model"]["type"] == "BPE" and not said["model"]["dropout"] and not any(
-            t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or set(t["content"]) & set(" \t\n\x0b\x0c\r") or _PLAIN(t["content"])
-            for t in said["added_tokens"])
+        self.by_word = said == ASSUMED and type(self.model).__name__ == "BPE" and not self.model.dropout and not any(
+            t.lstrip or t.rstrip or t.single_word or t.normalized or set(t.content) & set(" \t\n\x0b\x0c\r") or _PLAIN(t.content)
+            for t in added)
         self.letters = dict(enumerate(byte_letters()))
-        self.now, self.old = Generation(), Generation()
-        self.cores: dict[str, list[int]] = {}
+        self.old = Generation()
+        self._begin()
+        self.cores: dict[str, bytes] = {}
+
+    def _begin(self):
+        self.now = Generation()
+        self.recent, self.recent_codes = np.zeros(1 << RECENT_BITS, np.uint64), np.full(1 << RECENT_BITS, -1, np.int32)
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
@@ -260,37 +276,37 @@ class WordTokenizer:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def core(self, letters: str) -> list[int]:
+    def core(self, letters: str) -> bytes:
+        """Ids of some letters in lower case, as int32."""
         got = self.cores.get(letters)
         if got is None:
-            got = [t.id for t in self.model.tokenize(letters.lower().encode().decode("latin-1").translate(self.letters))]
+            ids = [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(self.letters))]
+            got = struct.pack(f"={len(ids)}i", *ids)
             if len(self.cores) >= MEMORY_CORES:
                 self.cores.clear()
             self.cores[letters] = got
         return got
 
-    def tokenize(self, texts: list[str]) -> list[list[int]]:
-        out, odd = [], []
+    def tokenize(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as int32."""
+        out, odd, core = [], [], self.core
         for i, text in enumerate(texts):
             if m := _PLAIN(text):
-                out.append(self.core(m[1]) + self.core(m[2]) if m[2] else self.core(m[1]))
+                letters, mark = m.groups()
+                got = core(letters.lower())
+                out.append(got + core(mark) if mark else got)
             else:
-                out.append(None)
+                out.append(b"")
                 odd.append(i)
         for i, got in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = got.ids
+            ids = got.ids
+            out[i] = struct.pack(f"={len(ids)}i", *ids)
         return out
 
-    def encode(self, run: W.Run) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a run's rows, and the bounds of each row's."""
-        data = run.data.tobytes()
-        if not self.by_word:
-            texts = [data[a:b].decode() for a, b in zip(run.offsets[:-1].tolist(), run.offsets[1:].tolist())]
-            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([i for x in got for i in x], np.int64), np.append(0, np.cumsum([len(x) for x in got])).astype(np.int64)
-        keys, first, inverse = np.unique(run.hashes(), return_index=True, return_inverse=True)
-        if len(self.now.keys) > MEMORY_WORDS:
-            self.now, self.old = Generation(), self.now
+    def learn(self, run: W.Run, data: bytes, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Codes of the words at these places of the run, which are added if they are new."""
+        keys, first, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
+        first = at[first]
         known = self.now.find(keys)
         lost = np.flatnonzero(known < 0)
         before = self.old.find(keys[lost])
@@ -299,29 +315,53 @@ class WordTokenizer:
             known[moved] = self.now.add(keys[moved], *self.old.read(before[before >= 0]))
         if len(new):
             got = self.tokenize([data[a:b].decode() for a, b in zip(run.starts[first[new]].tolist(), run.ends[first[new]].tolist())])
-            lengths = np.array([len(x) for x in got], np.int64)
-            known[new] = self.now.add(keys[new], np.fromiter((i for x in got for i in x), np.int64, int(lengths.sum())), lengths)
-        ids, lengths = self.now.read(known[inverse])
+            lengths = np.array([len(x) // 4 for x in got], np.int64)
+            known[new] = self.now.add(keys[new], np.frombuffer(b"".join(got), np.int32), lengths)
+        return known[inverse]
+
+    def encode(self, run: W.Run) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run's rows, and the bounds of each row's."""
+        data = run.data.tobytes()
+        if not self.by_word:
+            texts = [data[a:b].decode() for a, b in zip(run.offsets[:-1].tolist(), run.offsets[1:].tolist())]
+            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.int64), np.append(0, np.cumsum([len(x) for x in got])).astype(np.int64)
+        if len(self.now.keys) > MEMORY_WORDS:
+            self.old = self.now
+            self._begin()
+        hashes = run.hashes()
+        slot = (hashes >> np.uint64(64 - RECENT_BITS)).astype(np.int64)
+        codes = np.where(self.recent[slot] == hashes, self.recent_codes[slot], -1)
+        at = np.flatnonzero(codes < 0)
+        if len(at):
+            codes[at] = self.learn(run, data, hashes, at)
+            # the word that comes last in a slot keeps it, with its own code
+            self.recent[slot[at]] = hashes[at]
+            kept = at[self.recent[slot[at]] == hashes[at]]
+            self.recent_codes[slot[kept]] = codes[kept]
+        ids, lengths = self.now.read(codes)
         return ids, np.append(0, np.cumsum(lengths))[run.bounds]
 
 
 # --- files ------------------------------------------------------------------------------------------------------------
 def _write(batches, path: str, end_id: int):
     tokenizer, part = WordTokenizer.shared(path), TaskContext.get().partitionId()
+    kind = np.uint16 if max(tokenizer.size, end_id + 1) <= 1 << 16 else np.uint32
     docs, lengths, parts, size, start = [], [], [], 0, 0
 
     def flush():
         nonlocal docs, lengths, parts, size, start
-        payload = pack(docs, np.concatenate(lengths), np.concatenate(parts))
+        ids, parts = np.concatenate(parts), []
+        payload = pack(docs, np.concatenate(lengths), ids)
         row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start]), pa.array([size]), pa.array([payload], pa.binary())],
                                          names=["part", "start", "n_ids", "payload"])
-        docs, lengths, parts, start, size = [], [], [], start + size, 0
+        docs, lengths, start, size = [], [], start + size, 0
         return row
 
     for batch in batches:
-        for run in W.runs(batch.column("text")):
+        for run in W.runs(batch.column("text"), run_bytes=RUN_BYTES):
             ids, bounds = tokenizer.encode(run)
-            ids = np.insert(ids.astype(np.uint32), bounds[1:], end_id)
+            ids = np.insert(ids.astype(kind), bounds[1:], end_id)
             docs += batch.column("doc_id").slice(run.first, run.n).to_pylist()
             lengths.append(np.diff(bounds) + 1)
             parts.append(ids)
@@ -347,7 +387,7 @@ def _read(batches, base: dict[int, int]):
         for row in batch.to_pylist():
             docs, lengths, ids = unpack(row["payload"])
             ends = np.cumsum(lengths)
-            raw = ids.astype("<u4").tobytes()
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             yield pa.RecordBatch.from_arrays([
                 pa.array(docs, pa.int64()), pa.array(ends - lengths + row["start"] + base[row["part"]]), pa.array(lengths),
                 pa.array([zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())], pa.int64())],

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -97,6 +98,35 @@ def test_word_tokenizer_equals_the_library():
     assert own == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_takes_little_more_than_the_ids(monkeypatch):
+    monkeypatch.setattr(rans_output, "BLOCK_IDS", 1 << 14)
+    ids = np.random.default_rng(3).integers(0, 16, 1 << 18).astype(np.uint16)
+    tracemalloc.start()
+    payload = rans_output.pack([1], np.array([len(ids)]), ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(ids)  # positions of all ids at once as 64-bit numbers took 8 bytes an id
+    assert rans_output.unpack(payload)[2].tolist() == ids.tolist()
+
+
+def test_words_met_again_are_not_looked_up_again(monkeypatch):
+    monkeypatch.setattr(rans_output, "RECENT_BITS", 6)
+    monkeypatch.setattr(rans_output, "MEMORY_WORDS", 40)
+    monkeypatch.setattr(rans_output, "MEMORY_CORES", 10)
+    tokenizer, library, texts = rans_output.WordTokenizer(WORDS), Tokenizer.from_file(WORDS), odd_texts(60)
+    for texts in (texts, texts[:3] * 20, texts):  # slots shared by many words, and generations that pass
+        (run,) = W.runs(pa.array(texts))
+        ids, bounds = tokenizer.encode(run)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(rans_output, "RECENT_BITS", 19)
+    tokenizer, asked = rans_output.WordTokenizer(WORDS), []
+    learn = tokenizer.learn
+    monkeypatch.setattr(tokenizer, "learn", lambda run, data, hashes, at: asked.append(len(at)) or learn(run, data, hashes, at))
+    (run,) = W.runs(pa.array(["one two three", "three Two one"]))
+    first, again = tokenizer.encode(run)[0].tolist(), tokenizer.encode(run)[0].tolist()
+    assert asked == [6] and first == again
+
+
 def test_rans_files_in_id_order(spark, monkeypatch):
     rows = [r for r in edge_rows() if r[0] != 9]
     rnd = random.Random(0)
