@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .rans_output import WordTokenizer
+from .rans_output import RUN_BYTES, WordTokenizer
 from .segment_bpe import ragged
 from .store import keep, ship
 
@@ -50,6 +50,8 @@ END_ID = 2
 #: Documents and ids of one shard of the index.
 SHARD_DOCS = 1024
 SHARD_IDS = 4 << 20
+#: Ids whose rows and terms are sorted at once, few enough for a core's cache; one longer document by itself.
+SORTED_IDS = 1 << 16
 #: Heaviest terms that order the documents.
 TOPICS = 3
 #: Ids of one range at most, and at least while cores are idle.
@@ -78,20 +80,27 @@ def _ids(column: pa.Array, wide: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) of the distinct ids of each row, by row and term."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    small = ids.dtype.itemsize == 2 and len(bounds) <= 1 << 16
-    bits = 16 if small else 32
-    key = (row.astype(np.uint32 if small else np.uint64) << bits) | ids.astype(np.uint32 if small else np.uint64)
-    key, count = np.unique(key, return_counts=True)
-    return (key >> bits).astype(np.int64), (key & ((1 << bits) - 1)).astype(np.int64), count
+    """(row, term, count) of the distinct ids of each row, by row and term; ``SORTED_IDS`` are sorted at once."""
+    kind, bits = (np.uint32, 16) if ids.dtype.itemsize == 2 else (np.uint64, 32)
+    rows, terms, counts, first, n = [], [], [], 0, len(bounds) - 1
+    while first < n:
+        last = min(n, first + (1 << 16), max(first + 1, int(np.searchsorted(bounds, bounds[first] + SORTED_IDS, "right")) - 1))
+        key = np.repeat(np.arange(last - first, dtype=kind) << kind(bits), np.diff(bounds[first:last + 1])) | ids[bounds[first]:bounds[last]]
+        key.sort()
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        own = key[at]
+        rows.append((own >> kind(bits)).astype(np.int64) + first)
+        terms.append((own & kind((1 << bits) - 1)).astype(np.int64))
+        counts.append(np.diff(np.append(at, len(key))))
+        first = last
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, terms, counts))
 
 
 def _tokenize(batches, path: str, end_id: int, wide: bool):
     """(doc_id, n, ids)"""
     tokenizer = WordTokenizer.shared(path)
     for batch in batches:
-        for run in W.runs(batch.column("text")):
+        for run in W.runs(batch.column("text"), run_bytes=RUN_BYTES):
             ids, bounds = tokenizer.encode(run)
             ids = np.insert(ids, bounds[1:], end_id).astype(_kind(wide))
             bounds = bounds + np.arange(run.n + 1)
@@ -115,14 +124,17 @@ def _topics(batches, wide: bool, idf):
         ids, bounds = _ids(batch.column("ids"), wide)
         row, term, count = _terms(ids, bounds)
         weight = idf.value[term] * count / (count + K1)
-        order = np.lexsort((term, -weight, row))
-        row, term = row[order], term[order]
-        first = np.searchsorted(row, np.arange(len(batch) + 1))
+        opens = np.append(True, row[1:] != row[:-1])[:len(row)]
+        first, number = np.flatnonzero(opens), np.cumsum(opens) - 1
         tops = []
-        for i in range(TOPICS):
-            at = first[:-1] + i
-            held = at < first[1:]
-            tops.append(pa.array(np.where(held, term[np.minimum(at, len(term) - 1)], -1).astype(np.int32)))
+        for _ in range(TOPICS):  # a row's heaviest term left, the smallest of equal ones
+            top = np.full(len(batch), -1, np.int32)
+            most = np.maximum.reduceat(weight, first) if len(first) else weight
+            at = np.flatnonzero((weight == most[number]) & (weight > -np.inf))
+            at = at[np.append(True, row[at[1:]] != row[at[:-1]])[:len(at)]]
+            top[row[at]] = term[at]
+            weight[at] = -np.inf
+            tops.append(pa.array(top))
         yield pa.RecordBatch.from_arrays([*batch.columns, *tops], names=[*batch.schema.names, *KEYS])
 
 
@@ -138,7 +150,7 @@ class Shard:
         self.terms, self.term_bounds = term, np.searchsorted(row, np.arange(self.n + 1))
         length = np.diff(bounds)[row]
         weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term.astype(ids.dtype), kind="stable")  # two bytes are sorted by radix
         self.rows, self.weights = row[order].astype(np.int32), weight[order]
         self._starts(term[order])
 

@@ -7,9 +7,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import edge_rows, prose, table, words
 from pyspark.sql import functions as F
@@ -118,6 +120,23 @@ def checked_sequences(rows, got, window, end_id=2):
     return sequences
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_terms_and_heaviest_terms_in_small_pieces(monkeypatch, wide):
+    monkeypatch.setattr(R, "SORTED_IDS", 50)
+    rnd = random.Random(4)
+    docs = [[rnd.randrange(12) for _ in range(rnd.choice([0, 1, 2, 9, 40, 130]))] for _ in range(80)]
+    ids = np.array([i for d in docs for i in d], R._kind(wide))
+    row, term, count = R._terms(ids, np.append(0, np.cumsum([len(d) for d in docs])))
+    assert list(zip(row.tolist(), term.tolist(), count.tolist())) == [(r, t, n) for r, d in enumerate(docs) for t, n in sorted(Counter(d).items())]
+    idf = np.array([0.0, 1, 1, 1, 2, 2, 0.5, 0.5, 3, 1, 1, 0])  # equal weights: the smaller term
+    want = [([*sorted(n, key=lambda t: (-idf[t] * n[t] / (n[t] + R.K1), t)), -1, -1, -1][:R.TOPICS]) for n in map(Counter, docs)]
+    batch = pa.RecordBatch.from_arrays([pa.array([np.array(d, R._kind(wide)).tobytes() for d in docs], pa.binary())], names=["ids"])
+    (got,) = R._topics([batch], wide, SimpleNamespace(value=idf))
+    assert [list(x) for x in zip(*[got.column(k).to_pylist() for k in R.KEYS])] == want
+    (none,) = R._topics([batch.slice(0, 0)], wide, SimpleNamespace(value=idf))
+    assert none.num_rows == 0 and len(R._terms(ids[:0], np.zeros(1, np.int64))[0]) == 0
+
+
 @pytest.mark.parametrize("window,shard", [(64, 7), (4096, 1024)])
 def test_packing_covers_every_id_once(spark, window, shard):
     rows = edge_rows() + [(100 + i, t) for i, t in enumerate(["a <|endoftext|> b", "<|startoftext|>", "don't. Stop! \u00e9\u0301 \u4e2d\u6587 x1y22"])]
