@@ -18,14 +18,18 @@ groups whose bound reaches the needed overlap are opened and verified exactly:
    and n can't give the threshold never meet, which separates the members of a
    family of distant copies.  Of the s tokens the most frequent are set aside: the
    rarest s - t n + 4 hold 4 shared ones (prefix lemma), so passages shared by many
-   documents open nothing.  A group qualifies if it holds t n of the query's tokens.
+   documents open nothing.  A pair is found by its larger set only: the smaller one
+   shares 2 t n / (1 + t) of its tokens, so sets with a smaller s are not met, and
+   the others by their rarest s - 2 t n / (1 + t) + 4 only.  A group qualifies if it
+   holds t n of the query's tokens.
 4. Open: the members of qualifying groups are verified on their full sets, and a
    last pass of components joins the groups.
 
 Scale: sets stay in the text; only prefixes (a quarter of the tokens) are
-shuffled, in one exchange for the counts and the cells; tokens that a sample
-shows to be frequent stay out of it.  Joins on leaders are equi-joins
-that AQE can split.
+shuffled, in one exchange for the counts and the cells, as (token, node, group)
+without what a node's row holds; tokens that a sample shows to be frequent stay out
+of it.  Joins on leaders are equi-joins that AQE can split.  Python workers get texts
+in Arrow batches of ``BATCH_BYTES`` and work on ``RUN_BYTES`` of them at a time.
 No pair inside a group is ever emitted.
 
 Defined cases: a null text or one without words has an empty set and is linked
@@ -57,6 +61,9 @@ RARE_SHARED = 4
 HEAVY_SAMPLE = 64
 HEAVY_SHARE = 0.005
 HEAVY_LEAST = 16
+#: Bytes of an Arrow batch of texts, and of the texts worked on at once.
+BATCH_BYTES = 4 << 20
+RUN_BYTES = 1 << 18
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 PROFILE = "doc_id long, text_key long, n long, node long, check long, keys array<long>, prefix array<long>"
 
@@ -96,7 +103,7 @@ def _node(token, bounds):
 
 def _profile(batches, k: int, percent: int):
     for batch in batches:
-        for run in W.runs(batch.column("text"), lower=True):
+        for run in W.runs(batch.column("text"), lower=True, run_bytes=RUN_BYTES):
             token, row, bounds = _sets(run, k)
             n = np.diff(bounds)
             node, check = _node(token, bounds)
@@ -115,7 +122,7 @@ def _profile(batches, k: int, percent: int):
 
 def _full(batches, k: int):
     for batch in batches:
-        for run in W.runs(batch.column("text"), lower=True):
+        for run in W.runs(batch.column("text"), lower=True, run_bytes=RUN_BYTES):
             token, _, bounds = _sets(run, k)
             yield pa.RecordBatch.from_arrays([pa.array(_node(token, bounds)[0].view(np.int64)), W.list_array(token, bounds)], names=["node", "tokens"])
 
@@ -127,7 +134,7 @@ class TokenGroupJoin:
         ship(docs.sparkSession)
         self.k, self.percent = k, percent
         self.own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-        self.profile = keep(self.own.mapInArrow(lambda it: _profile(it, k, percent), PROFILE))
+        self.profile = keep(self.own.mapInArrow(lambda it: _profile(it, k, percent), PROFILE), batch_bytes=BATCH_BYTES)
         filled = self.profile.where("n > 0")
         # one row stands for a node: the copy with the least text key and id
         self.nodes = keep(filled.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("check").alias("check"),
@@ -150,7 +157,7 @@ class TokenGroupJoin:
         pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
             size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         pairs = keep(pairs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b").distinct())
-        sets = keep(self.stand_ins(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()))
+        sets = keep(self.stand_ins(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), batch_bytes=BATCH_BYTES)
         bytes_ = sets.agg(F.sum(F.size("tokens") * 8 + 32).alias("n")).first()["n"] or 0
         side = F.broadcast(sets) if bytes_ <= BROADCAST_BYTES else sets
         full = pairs.join(side.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
@@ -168,7 +175,7 @@ class TokenGroupJoin:
         return keep(self.verify(pairs.where(F.col("count") >= GROUP_SHARED).select("a", "b")))
 
     def spread(self, rows: DataFrame) -> DataFrame:
-        """Matrix cells (token, node, grp, n_rows, n) of ``rows`` (node, grp, n, tokens): tokens that occur in two groups or more.
+        """Matrix cells (token, node, n_rows) of ``rows`` (node, grp, tokens): tokens that occur in two groups or more.
 
         One exchange by token serves the counts and the cells.  Heavy tokens, in
         more than HEAVY_SHARE of a sample of the nodes, would make it uneven: they
@@ -178,25 +185,28 @@ class TokenGroupJoin:
         sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(HEAVY_SAMPLE)) == 0)
         counts = sample.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
         heavy = keep(counts.where(F.col("n") > max(HEAVY_LEAST, HEAVY_SHARE * sample.count())).select("token"))
-        all_ = rows.select(F.explode("tokens").alias("token"), "node", "grp", F.col("n").cast("int").alias("n")).join(
+        # most nodes are their own group: a null packs better than a second copy of the id
+        all_ = rows.select(F.explode("tokens").alias("token"), "node", F.when(F.col("grp") != F.col("node"), F.col("grp")).alias("grp")).join(
             small(heavy, 8).withColumn("heavy", F.lit(True)), "token", "left")
-        token = Window.partitionBy("token")
+        token, own = Window.partitionBy("token"), F.coalesce("grp", "node")
         light = all_.where("heavy is null").drop("heavy").withColumns({
-            "low": F.min("grp").over(token), "high": F.max("grp").over(token), "n_rows": F.count("*").over(token).cast("int")})
-        return light.where("low <> high").select("token", "node", "grp", "n_rows", "n").union(
-            all_.where("heavy").select("token", "node", "grp", F.lit(2**31 - 1).alias("n_rows"), "n"))
+            "low": F.min(own).over(token), "high": F.max(own).over(token), "n_rows": F.count("*").over(token).cast("int")})
+        return light.where("low <> high").select("token", "node", "n_rows").union(
+            all_.where("heavy").select("token", "node", F.lit(2**31 - 1).alias("n_rows")))
 
     def survivors(self, groups: DataFrame) -> DataFrame:
         """(node, grp, n, tokens): nodes whose prefix has ``needed`` cells, with their full sets."""
         one = small(self.nodes.select("node", "one.text_key", "one.doc_id"), 40)
         rows = self.profile.where("n > 0")
         rows = rows.join(one, (rows.node == one.node) & (rows.text_key == one.text_key) & rows.doc_id.eqNullSafe(one.doc_id), "left_semi")
-        rows = rows.select("node", "n", "prefix").dropDuplicates(["node"]) if self.repeated() else rows.select("node", "n", "prefix")
-        rows = rows.join(small(groups, 16), "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "n", F.col("prefix").alias("tokens"))
+        rows = rows.select("node", "prefix").dropDuplicates(["node"]) if self.repeated() else rows.select("node", "prefix")
+        groups = small(groups, 16)
+        own = self.nodes.select("node", "n").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), "n")
+        rows = rows.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"), F.col("prefix").alias("tokens"))
         need = F.greatest(F.lit(1), F.floor(F.floor(F.lit(self.percent) * F.col("n") / 100) / 10))
-        first = self.spread(rows).groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.count("*").alias("x"))
-        first = keep(first.where(F.col("x") >= need).select("node", "grp", "n"))
-        return keep(self.stand_ins(first.select("node")).join(first, "node").select("node", "grp", "n", "tokens"))
+        first = self.spread(rows).groupBy("node").agg(F.count("*").alias("x"))
+        first = keep(first.join(own, "node").where(F.col("x") >= need).select("node", "grp", "n"))
+        return keep(self.stand_ins(first.select("node")).join(first, "node").select("node", "grp", "n", "tokens"), batch_bytes=BATCH_BYTES)
 
     @cached_property
     def _repeated(self) -> bool:
@@ -215,33 +225,41 @@ class TokenGroupJoin:
         def possible(n, s, u, gn, gs, gu):
             return 100 * F.least(s, gs) >= self.percent * F.greatest(gn + u, n + gu)
 
-        cells = self.spread(self.survivors(groups)).groupBy("node").agg(
-            F.first("grp").alias("grp"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("n_rows", "token"))).alias("tokens"))
-        cells = cells.withColumns({"s": F.size("tokens"), "need": least_share(F.col("n"))}).withColumn("u", F.col("n") - F.col("s"))
+        # of a pair the smaller set, by (n, node), shares so many of its tokens
+        def smaller_share(n):
+            return F.ceil(F.lit(2 * self.percent) * n / (100 + self.percent)).cast("int")
+
+        def rarest(need):
+            return F.explode(F.slice("tokens", 1, F.col("s") - F.col(need) + F.least(F.lit(RARE_SHARED), F.col(need))))
+
+        left = self.survivors(groups)
+        cells = self.spread(left).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_rows", "token"))).alias("tokens"))
+        cells = cells.join(left.select("node", "grp", "n"), "node").withColumns(
+            {"s": F.size("tokens"), "need": least_share(F.col("n")), "need_less": smaller_share(F.col("n"))}).withColumn("u", F.col("n") - F.col("s"))
         queries = keep(cells.where("s >= need").withColumn("met", F.least(F.lit(RARE_SHARED), least_share(F.col("need")))))
-        rarest = F.expr(f"slice(tokens, 1, s - need + least({RARE_SHARED}, need))")
-        rare = keep(queries.select("node", "grp", "n", "s", "u", "met", F.explode(rarest).alias("x")).select(
-            F.col("x.token").alias("token"), "node", "grp", "n", "s", "u", "met"))
-        best = queries.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("gn"), F.max("s").alias("gs"), F.min("u").alias("gu"),
-                                                                F.count("*").alias("members"))
-        other = rare.select("token", F.col("grp").alias("other")).distinct().join(best, "other")
+        less = queries.where("s >= need_less")
+        rare = queries.select("node", "grp", "n", "s", "u", "met", rarest("need").alias("x")).select(F.col("x.token").alias("token"), "node", "grp", "n", "s", "u", "met")
+        best = less.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("gn"), F.max("s").alias("gs"), F.min("u").alias("gu"),
+                                                             F.min(F.struct("n", "node")).alias("least"), F.count("*").alias("members"))
+        other = less.select(rarest("need_less").alias("x"), F.col("grp").alias("other")).select("x.token", "other").distinct().join(best, "other")
         col = F.col
-        reached = rare.join(other, (rare.token == other.token) & (col("grp") != col("other")) & possible(
+        reached = rare.join(other, (rare.token == other.token) & (col("grp") != col("other")) & (F.struct("n", "node") > col("least")) & possible(
             col("n"), col("s"), col("u"), col("gn"), col("gs"), col("gu"))).groupBy("node", "other").agg(
             F.count("*").alias("shared"), F.first("met").alias("met"), F.first("members").alias("members"))
         reached = keep(reached.where("shared >= met").select("node", "other", "members"))
         # a group of one is opened at once: its bound is the comparison itself
-        matrix = queries.select(F.col("grp").alias("other"), F.explode("tokens.token").alias("token")).distinct()
+        matrix = less.select(F.col("grp").alias("other"), F.explode("tokens.token").alias("token")).distinct()
         bound = (reached.where("members > 1").join(queries.select("node", "need", F.col("tokens.token").alias("token")), "node")
                  .select("node", "other", "need", F.explode("token").alias("token"))
                  .join(matrix, ["token", "other"])
                  .groupBy("node", "other").agg(F.count("*").alias("overlap"), F.first("need").alias("need"))
                  .where("overlap >= need").select("node", "other"))
         bound = keep(bound.union(reached.where("members = 1").select("node", "other")))
-        # a link qualifies in both directions, so one of them opens it
-        a = bound.join(queries.select("node", "grp", "n", "s", "u"), "node").select(col("node").alias("a"), col("grp").alias("ga"), "other", "n", "s", "u")
-        b = queries.select(col("node").alias("b"), col("grp").alias("other"), col("n").alias("gn"), col("s").alias("gs"), col("u").alias("gu"))
-        return a.where("ga < other").join(b, "other").where(possible(col("n"), col("s"), col("u"), col("gn"), col("gs"), col("gu"))).select("a", "b")
+        # the smaller sets of the qualifying groups
+        a = bound.join(queries.select("node", "n", "s", "u"), "node").select(col("node").alias("a"), "other", "n", "s", "u")
+        b = less.select(col("node").alias("b"), col("grp").alias("other"), col("n").alias("gn"), col("s").alias("gs"), col("u").alias("gu"))
+        smaller = (col("gn") < col("n")) | ((col("gn") == col("n")) & (col("b") < col("a")))
+        return a.join(b, "other").where(smaller & possible(col("n"), col("s"), col("u"), col("gn"), col("gs"), col("gu"))).select("a", "b")
 
 
 def join(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:

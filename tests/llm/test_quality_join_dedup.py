@@ -9,7 +9,7 @@ from cases import edge_rows, prose, table, words
 from pyspark.sql import functions as F
 
 from dosewise.llm import components as C
-from dosewise.llm import jaccard_join, line_quality, line_runs, phrase_index, substring_dedup
+from dosewise.llm import jaccard_join, line_quality, line_runs, phrase_index, store, substring_dedup
 
 
 def rows_of(df, *cols):
@@ -106,6 +106,63 @@ def test_jaccard_edges_and_short_sets(spark, monkeypatch):
     assert jaccard_join.jaccard_components(table(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_pairs_of_unequal_sets_without_leaders(spark, monkeypatch):
+    """Every link has to be found by its larger set, also into groups of several sizes."""
+    monkeypatch.setattr(jaccard_join, "GROUP_SHARED", 3)
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(8):
+        base = prose(rnd, 90, 10**6).split()
+        rows += [(len(rows) + i, " ".join(base[a:b] + [f"q{rnd.randrange(10**6)}"] * c)) for i, (a, b, c) in enumerate(
+            [(0, 90, 0), (0, 90, 1), (3, 90, 0), (0, 84, 1), (7, 90, 0), (0, 80, 0), (0, 77, 0), (12, 90, 1), (15, 90, 0)])]
+    rnd.shuffle(rows)
+    got = rows_of(jaccard_join.jaccard_components(table(spark, rows), k=4, percent=85), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_jaccard_family_under_the_threshold_meets_rarely(spark, monkeypatch):
+    """Copies that lie just under the threshold meet in one direction only, by the smaller one's short prefix."""
+    made = {}
+    own_keep = jaccard_join.keep
+
+    def counted(df, *args, **kw):
+        out = own_keep(df, *args, **kw)
+        if set(df.columns) == {"node", "other", "members"}:
+            made["reached"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "keep", counted)
+    rnd = random.Random(4)
+    base, rows = prose(rnd, 200, 10**6).split(), []
+    for i in range(40):  # each pair differs in about eight of a few places
+        text = list(base)
+        for at in rnd.sample(range(0, 200, 8), 7):
+            text[at] = f"y{rnd.randrange(3)}"
+        rows.append((i, " ".join(text)))
+    got = rows_of(jaccard_join.jaccard_components(table(spark, rows), k=4, percent=85), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 4, 85)
+    assert made["reached"] <= 40 * 39 // 2
+
+
+def test_jaccard_exchange_and_batches_are_small(spark):
+    """Cells carry no column that a node's row holds; workers get texts in bounded batches, and the session's setting comes back."""
+    run = jaccard_join.TokenGroupJoin(table(spark, near_rows(3, 2, 4)), 4, 85, "doc_id", "text")
+    cells = run.spread(run.profile.select("node", F.col("node").alias("grp"), "n", F.col("prefix").alias("tokens")))
+    assert cells.columns == ["token", "node", "n_rows"]
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get(store.ARROW_BYTES)
+    texts = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 1000) as text")
+    kept = store.keep(texts.mapInArrow(sizes, "n long"), batch_bytes=200_000)
+    assert kept.agg(F.max("n")).first()[0] <= 400_000
+    assert spark.conf.get(store.ARROW_BYTES) == before
+
+
 def test_components_of_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (100, 101), (129, 100)]
     got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "u long, v long")).collect()}
