@@ -27,8 +27,8 @@ groups whose bound reaches the needed overlap are opened and verified exactly:
 
 Scale: sets stay in the text; only prefixes (a quarter of the tokens) are
 shuffled, in one exchange for the counts and the cells, as (token, node, group)
-without what a node's row holds; tokens that a sample shows to be frequent stay out
-of it.  Joins on leaders are equi-joins that AQE can split.  Python workers get texts
+without what a node's row holds; tokens that a sample shows to be frequent are dealt
+out by node as well.  Joins on leaders are equi-joins that AQE can split.  Python workers get texts
 in Arrow batches of ``BATCH_BYTES`` and work on ``RUN_BYTES`` of them at a time.
 No pair inside a group is ever emitted.
 
@@ -61,6 +61,8 @@ RARE_SHARED = 4
 HEAVY_SAMPLE = 64
 HEAVY_SHARE = 0.005
 HEAVY_LEAST = 16
+#: Places among which the rows of a heavy token are dealt.
+HEAVY_PARTS = 1024
 #: Bytes of an Arrow batch of texts, and of the texts worked on at once.
 BATCH_BYTES = 4 << 20
 RUN_BYTES = 1 << 18
@@ -159,9 +161,13 @@ class TokenGroupJoin:
         pairs = keep(pairs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b").distinct())
         sets = keep(self.stand_ins(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()), batch_bytes=BATCH_BYTES)
         bytes_ = sets.agg(F.sum(F.size("tokens") * 8 + 32).alias("n")).first()["n"] or 0
-        side = F.broadcast(sets) if bytes_ <= BROADCAST_BYTES else sets
-        full = pairs.join(side.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(
-            side.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
+        if bytes_ <= BROADCAST_BYTES:
+            first = second = F.broadcast(sets)
+        else:  # the pairs go to the sets, which stay where they are on one side and are thinned out on the other
+            pairs, first = small(pairs, 16), sets
+            second = sets.join(pairs.select(F.col("a").alias("node")), "node", "left_semi")
+        full = pairs.join(first.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b").join(
+            second.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a")
         common = F.size(F.array_intersect("a_tokens", "b_tokens"))
         return full.where(100 * common >= self.percent * (F.size("a_tokens") + F.size("b_tokens") - common)).select("a", "b")
 
@@ -179,7 +185,7 @@ class TokenGroupJoin:
 
         One exchange by token serves the counts and the cells.  Heavy tokens, in
         more than HEAVY_SHARE of a sample of the nodes, would make it uneven: they
-        stay where they are and rank after all others.  There are at most tokens
+        are dealt out by node too, are cells without a count and rank after all others.  There are at most tokens
         per node / HEAVY_SHARE of them, whatever the number of nodes.
         """
         sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(HEAVY_SAMPLE)) == 0)
@@ -188,11 +194,11 @@ class TokenGroupJoin:
         # most nodes are their own group: a null packs better than a second copy of the id
         all_ = rows.select(F.explode("tokens").alias("token"), "node", F.when(F.col("grp") != F.col("node"), F.col("grp")).alias("grp")).join(
             small(heavy, 8).withColumn("heavy", F.lit(True)), "token", "left")
-        token, own = Window.partitionBy("token"), F.coalesce("grp", "node")
-        light = all_.where("heavy is null").drop("heavy").withColumns({
-            "low": F.min(own).over(token), "high": F.max(own).over(token), "n_rows": F.count("*").over(token).cast("int")})
-        return light.where("low <> high").select("token", "node", "n_rows").union(
-            all_.where("heavy").select("token", "node", F.lit(2**31 - 1).alias("n_rows")))
+        all_ = all_.select("token", "node", "grp", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(HEAVY_PARTS)).cast("int")).alias("part"))
+        place, own = Window.partitionBy("token", "part"), F.coalesce("grp", "node")
+        cells = all_.withColumns({"low": F.min(own).over(place), "high": F.max(own).over(place), "n_rows": F.count("*").over(place).cast("int")})
+        return cells.where("part is not null or low <> high").select(
+            "token", "node", F.when(F.col("part").isNull(), F.col("n_rows")).otherwise(F.lit(2**31 - 1)).alias("n_rows"))
 
     def survivors(self, groups: DataFrame) -> DataFrame:
         """(node, grp, n, tokens): nodes whose prefix has ``needed`` cells, with their full sets."""
@@ -206,7 +212,7 @@ class TokenGroupJoin:
         need = F.greatest(F.lit(1), F.floor(F.floor(F.lit(self.percent) * F.col("n") / 100) / 10))
         first = self.spread(rows).groupBy("node").agg(F.count("*").alias("x"))
         first = keep(first.join(own, "node").where(F.col("x") >= need).select("node", "grp", "n"))
-        return keep(self.stand_ins(first.select("node")).join(first, "node").select("node", "grp", "n", "tokens"), batch_bytes=BATCH_BYTES)
+        return keep(self.stand_ins(first.select("node")).join(small(first, 24), "node").select("node", "grp", "n", "tokens"), batch_bytes=BATCH_BYTES)
 
     @cached_property
     def _repeated(self) -> bool:

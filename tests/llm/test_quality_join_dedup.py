@@ -144,6 +144,21 @@ def test_jaccard_family_under_the_threshold_meets_rarely(spark, monkeypatch):
     assert made["reached"] <= 40 * 39 // 2
 
 
+def test_jaccard_sets_beyond_a_broadcast_and_heavy_tokens(spark, monkeypatch):
+    """Sets over the broadcast bound are joined with the pairs brought to them; heavy tokens take part in the cells' one exchange."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jaccard_join, "HEAVY_LEAST", 1)
+    monkeypatch.setattr(jaccard_join, "HEAVY_SAMPLE", 1)
+    rows = near_rows(8, 4, 8)
+    got = rows_of(jaccard_join.jaccard_components(table(spark, rows), k=4, percent=85), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 4, 85)
+    run = jaccard_join.TokenGroupJoin(table(spark, rows), 4, 85, "doc_id", "text")
+    cells = run.spread(run.profile.select("node", F.col("node").alias("grp"), "n", F.col("prefix").alias("tokens")))
+    assert cells.where(F.col("n_rows") == 2**31 - 1).count() > 0
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "Join Inner" not in plan and "Union" not in plan
+
+
 def test_jaccard_exchange_and_batches_are_small(spark):
     """Cells carry no column that a node's row holds; workers get texts in bounded batches, and the session's setting comes back."""
     run = jaccard_join.TokenGroupJoin(table(spark, near_rows(3, 2, 4)), 4, 85, "doc_id", "text")
