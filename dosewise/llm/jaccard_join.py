@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .store import BROADCAST_BYTES, keep, ship, small
+from .worker import tidy
 
 GROUP_HASHES = 4
 #: Min-hashes that a node shares with a leader before the two are compared; which are not compared here are found from the matrix.
@@ -136,7 +137,7 @@ class TokenGroupJoin:
         ship(docs.sparkSession)
         self.k, self.percent = k, percent
         self.own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-        self.profile = keep(self.own.mapInArrow(lambda it: _profile(it, k, percent), PROFILE), batch_bytes=BATCH_BYTES)
+        self.profile = keep(self.own.mapInArrow(lambda it: tidy(_profile(it, k, percent)), PROFILE), batch_bytes=BATCH_BYTES)
         filled = self.profile.where("n > 0")
         # one row stands for a node: the copy with the least text key and id
         self.nodes = keep(filled.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.min("check").alias("check"),
@@ -150,7 +151,7 @@ class TokenGroupJoin:
         wanted = small(wanted, 48)
         same = (self.own.text_key == wanted.text_key) & self.own.doc_id.eqNullSafe(wanted.doc_id)
         k = self.k
-        sets = self.own.join(wanted, same, "left_semi").select("text").mapInArrow(lambda it: _full(it, k), "node long, tokens array<long>")
+        sets = self.own.join(wanted, same, "left_semi").select("text").mapInArrow(lambda it: tidy(_full(it, k)), "node long, tokens array<long>")
         return sets.dropDuplicates(["node"]) if self.repeated() else sets
 
     def verify(self, pairs: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import ship
+from .worker import tidy
 
 #: Distinct pieces that a worker remembers at once.
 MEMORY_PIECES = 400_000
@@ -163,28 +164,71 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class Memory:
-    """Keys with their id sequences, appended to and read in bulk."""
+def _put(array: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` after its first n values; a full one is copied to one of twice the size."""
+    if n + len(more) > len(array):
+        old, array = array, np.empty(max(2 * len(array), n + len(more)), array.dtype)
+        array[:n] = old[:n]
+    array[n:n + len(more)] = more
+    return array
 
-    def __init__(self):
-        self.codes: dict[str, int] = {}
-        self.ids, self.lengths, self.starts = (np.empty(0, np.int64) for _ in range(3))
-
-    def new(self, keys) -> list[str]:
-        return [k for k in dict.fromkeys(keys) if k not in self.codes]
 
-    def add(self, keys: list[str], ids: np.ndarray, bounds: np.ndarray):
-        base = len(self.codes)
-        self.codes.update(zip(keys, range(base, base + len(keys))))
-        self.starts = np.append(self.starts, len(self.ids) + bounds[:-1])
-        self.lengths = np.append(self.lengths, np.diff(bounds))
-        self.ids = np.append(self.ids, ids)
+class Generation:
+    """Keys (sorted) with their id sequences, read and added to in bulk."""
 
-    def get(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all keys, and the bounds of each key's."""
-        codes = np.fromiter(map(self.codes.__getitem__, keys), np.int64, len(keys))
-        lengths = self.lengths[codes]
-        return self.ids[ragged(self.starts[codes], lengths)], np.append(0, np.cumsum(lengths))
+    def __init__(self):
+        self.keys = np.empty(0, np.uint64)
+        self.codes = np.empty(0, np.int32)
+        self.n_ids = 0
+        self.starts, self.lengths = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.ids = np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Code of each key, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.codes[at], -1)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Codes of new keys (sorted) and their concatenated ids."""
+        n = len(self.keys)
+        codes = np.arange(n, n + len(keys), dtype=np.int32)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.codes = np.insert(self.keys, at, keys), np.insert(self.codes, at, codes)
+        if self.n_ids + len(ids) > np.iinfo(self.starts.dtype).max:
+            self.starts = self.starts.astype(np.int64)
+        self.starts = _put(self.starts, n, self.n_ids + np.cumsum(lengths) - lengths)
+        self.lengths, self.ids = _put(self.lengths, n, lengths), _put(self.ids, self.n_ids, ids)
+        self.n_ids += len(ids)
+        return codes
+
+    def read(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.lengths[codes].astype(np.int64)
+        return self.ids[ragged(self.starts[codes].astype(np.int64), lengths)], lengths
+
+
+def _hashes(keys: list[str]) -> np.ndarray:
+    return np.fromiter(map(hash, keys), np.int64, len(keys)).view(np.uint64)
+
+
+class Memory(Generation):
+    """Strings, told apart by Python's own 64-bit hash, with their id sequences; the strings themselves are not kept."""
+
+    def new(self, texts: list[str]) -> list[str]:
+        distinct = list(dict.fromkeys(texts))
+        return [distinct[i] for i in np.flatnonzero(self.find(_hashes(distinct)) < 0).tolist()]
+
+    def learn(self, texts: list[str], ids: np.ndarray, bounds: np.ndarray):
+        """Add new strings with all their ids and the bounds of each one's."""
+        keys = _hashes(texts)
+        order, lengths = np.argsort(keys), np.diff(bounds)
+        self.add(keys[order], ids[ragged(bounds[:-1][order], lengths[order])], lengths[order])
+
+    def get(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings, and the bounds of each one's."""
+        ids, lengths = self.read(self.find(_hashes(texts)))
+        return ids, np.append(0, np.cumsum(lengths))
 
 
 #: A space before more white space or the end: there the pattern looks across it.
@@ -226,9 +270,9 @@ class Encoder:
         flat = [p for pieces in found for p in pieces]
         new = self.pieces.new(flat)
         if new:
-            self.pieces.add(new, *self.ranks.merge([p.encode() for p in new]))
+            self.pieces.learn(new, *self.ranks.merge([p.encode() for p in new]))
         ids, bounds = self.pieces.get(flat)
-        self.words.add(keys, ids, bounds[np.append(0, np.cumsum([len(p) for p in found])).astype(np.int64)])
+        self.words.learn(keys, ids, bounds[np.append(0, np.cumsum([len(p) for p in found])).astype(np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the bounds of each text's."""
@@ -286,9 +330,9 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col="doc_id", text_col="text") -> DataFrame:
     """Per input row: doc_id, its ids, and the text decoded from them."""
-    return _own(docs, id_col, text_col).mapInArrow(lambda it: _encode(it, ranks_path, pattern, False), SCHEMA)
+    return _own(docs, id_col, text_col).mapInArrow(lambda it: tidy(_encode(it, ranks_path, pattern, False)), SCHEMA)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, id_col="doc_id", text_col="text") -> DataFrame:
     """Per input row: doc_id, n_tokens and the SHA-256 of the ids (little-endian 32 bit) and of the decoded bytes."""
-    return _own(docs, id_col, text_col).mapInArrow(lambda it: _encode(it, ranks_path, pattern, True), DIGESTS)
+    return _own(docs, id_col, text_col).mapInArrow(lambda it: tidy(_encode(it, ranks_path, pattern, True)), DIGESTS)

@@ -16,7 +16,7 @@ import tiktoken
 from cases import edge_rows, prose, table
 from tokenizers import Tokenizer
 
-from dosewise.llm import language_id, letters, pii_anchors, rans_output, segment_bpe, toxicity
+from dosewise.llm import language_id, letters, pii_anchors, rans_output, segment_bpe, toxicity, worker
 from dosewise.llm import words as W
 from dosewise.llm.store import folder
 
@@ -71,6 +71,31 @@ def test_bpe_memory_is_bounded():
     assert one_by_one == [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] and len(encoder.words.codes) < 300
 
 
+def test_bpe_memory_holds_no_strings():
+    encoder = segment_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    for first in range(0, 20_000, 500):
+        encoder.encode([" ".join(f"w{i * 7919:x}" for i in range(first, first + 500))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(encoder.words.codes) >= 20_000 and held < 20_000 * 200  # words and pieces as keys of two dicts took more than twice that
+
+
+def test_letters_of_texts_that_come_one_by_one(monkeypatch):
+    monkeypatch.setattr(letters, "RUN_CHARS", 10)
+    texts = ["ab cd", None, "", "efghij kl", "x"]
+    for made in (texts, texts[:-1], []):
+        want = [(first, folded.tolist(), row.tolist(), n) for first, folded, row, n in letters.runs(made)]
+        got = [(first, folded.tolist(), row.tolist(), n) for first, folded, row, n in letters.runs(t for t in made)]
+        assert got == want and sum(n for *_, n in got) == len(made)
+
+
+def test_a_worker_gives_memory_back_after_its_last_batch():
+    done = []
+    batches = (done.append(i) or i for i in range(3))
+    assert list(worker.tidy(batches)) == done == [0, 1, 2]
+
+
 # --- rans
 def test_rans_round_trip_and_damage(monkeypatch):
     monkeypatch.setattr(rans_output, "BLOCK_IDS", 700)
