@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .segment_bpe import ragged
+from .segment_bpe import Generation, ragged
 from .store import folder, ship
 
 SEGMENT_IDS = 4 << 20
@@ -49,9 +49,9 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 MAGIC = b"RNS1"
 END_ID = 1
-#: Words of a generation of a worker's memory (about 40 bytes each), and letter strings kept beside it.
+#: Words of a generation of a worker's memory (about 40 bytes each), and lower-case letter strings and marks kept beside it.
 MEMORY_WORDS = 1_000_000
-MEMORY_CORES = 200_000
+MEMORY_CORES = 500_000
 #: Bytes of text tokenized at once; one longer text is a run of its own.
 RUN_BYTES = 1 << 18
 #: Slots (a power of two) of the table of words met last, which most words of a text are found in.
@@ -196,7 +196,7 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-#: What ``core`` and the split at white space take for granted of a tokenizer file.
+#: What ``core_ids`` and the split at white space take for granted of a tokenizer file.
 ASSUMED = {
     "normalizer": {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -206,34 +206,21 @@ ASSUMED = {
 }
 
 
-class Generation:
-    """Keys (sorted) with their id sequences, read and added to in bulk."""
-
-    def __init__(self):
-        self.keys = np.empty(0, np.uint64)
-        self.codes = np.empty(0, np.int32)
-        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Code of each key, -1 if unknown."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.codes[at], -1)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Codes of new keys (sorted) and their concatenated ids."""
-        codes = np.arange(len(self.lengths), len(self.lengths) + len(keys), dtype=np.int32)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.codes = np.insert(self.keys, at, keys), np.insert(self.codes, at, codes)
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
-        self.lengths, self.ids = np.append(self.lengths, lengths), np.append(self.ids, ids.astype(np.int32))
-        return codes
-
-    def read(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.lengths[codes]
-        return self.ids[ragged(self.starts[codes], lengths)], lengths
+def spell(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of these spans (UTF-8) with Latin letters in lower case, their bounds, which spans are plain as by ``_PLAIN``, and
+    which of all end in a mark after something."""
+    lengths = ends - starts
+    own, bounds = data[ragged(starts, lengths)], np.append(0, np.cumsum(lengths))
+    folded = own | np.uint8(32)
+    ascii_ = (folded >= 97) & (folded <= 122)
+    # the letters from À to ÿ are 0xC3 and a second byte
+    second = np.append(False, own[:-1] == 0xC3)[:len(own)] & (own >= 0x80) & (own <= 0xBF) & (own != 0x97) & (own != 0xB7)
+    letter = ascii_ | second
+    letter[:-1] |= (own[:-1] == 0xC3) & second[1:]
+    own[(ascii_ & (own < 97)) | (second & (own <= 0x9E))] += np.uint8(32)
+    last = own[bounds[1:] - 1]
+    mark = ((last == ord(".")) | (last == ord(","))) & (lengths > 1)
+    return own, bounds, W.per_row(letter, bounds) == lengths - mark, mark
 
 
 class WordTokenizer:
@@ -264,7 +251,7 @@ class WordTokenizer:
         self.letters = dict(enumerate(byte_letters()))
         self.old = Generation()
         self._begin()
-        self.cores: dict[str, bytes] = {}
+        self.cores = Generation()
 
     def _begin(self):
         self.now = Generation()
@@ -276,32 +263,38 @@ class WordTokenizer:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
-    def core(self, letters: str) -> bytes:
-        """Ids of some letters in lower case, as int32."""
-        got = self.cores.get(letters)
-        if got is None:
-            ids = [t.id for t in self.model.tokenize(letters.encode().decode("latin-1").translate(self.letters))]
-            got = struct.pack(f"={len(ids)}i", *ids)
-            if len(self.cores) >= MEMORY_CORES:
-                self.cores.clear()
-            self.cores[letters] = got
-        return got
-
-    def tokenize(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as int32."""
-        out, odd, core = [], [], self.core
-        for i, text in enumerate(texts):
-            if m := _PLAIN(text):
-                letters, mark = m.groups()
-                got = core(letters.lower())
-                out.append(got + core(mark) if mark else got)
-            else:
-                out.append(b"")
-                odd.append(i)
-        for i, got in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            ids = got.ids
-            out[i] = struct.pack(f"={len(ids)}i", *ids)
-        return out
+    def core_ids(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of spans of lower-case letters or of one mark, and how many each has."""
+        if len(self.cores.keys) > MEMORY_CORES:
+            self.cores = Generation()
+        keys, first, inverse = np.unique(W.span_hashes(W._BYTE[low], starts, ends), return_index=True, return_inverse=True)
+        codes = self.cores.find(keys)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            text, tokenize = low.tobytes().decode("latin-1").translate(self.letters), self.model.tokenize
+            got = [[t.id for t in tokenize(text[a:b])] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            codes[new] = self.cores.add(keys[new], np.array([i for ids in got for i in ids], np.int32), np.array([len(ids) for ids in got], np.int64))
+        return self.cores.read(codes[inverse])
+
+    def tokenize(self, run: W.Run, data: bytes, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these numbers, and how many each has."""
+        low, bounds, plain, mark = spell(run.data, run.starts[index], run.ends[index])
+        own, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        # a plain word is its letters, and a mark after some of them
+        marked, cut = mark[own], bounds[own + 1] - mark[own]
+        first = np.arange(len(own)) + np.cumsum(marked) - marked
+        starts, ends = np.empty((2, len(own) + int(marked.sum())), np.int64)
+        starts[first], ends[first] = bounds[own], cut
+        starts[first[marked] + 1], ends[first[marked] + 1] = cut[marked], cut[marked] + 1
+        ids, n = self.core_ids(low, starts, ends)
+        texts = [data[a:b].decode() for a, b in zip(run.starts[index[odd]].tolist(), run.ends[index[odd]].tolist())]
+        got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.empty(len(index), np.int64)
+        lengths[own], lengths[odd] = np.add.reduceat(n, first) if len(own) else 0, [len(x) for x in got]
+        order = np.append(own, odd)
+        place = np.empty(len(index), np.int64)
+        place[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.append(ids, np.array([i for x in got for i in x], np.int32))[ragged(place, lengths)], lengths
 
     def learn(self, run: W.Run, data: bytes, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Codes of the words at these places of the run, which are added if they are new."""
@@ -314,9 +307,7 @@ class WordTokenizer:
         if len(moved):
             known[moved] = self.now.add(keys[moved], *self.old.read(before[before >= 0]))
         if len(new):
-            got = self.tokenize([data[a:b].decode() for a, b in zip(run.starts[first[new]].tolist(), run.ends[first[new]].tolist())])
-            lengths = np.array([len(x) // 4 for x in got], np.int64)
-            known[new] = self.now.add(keys[new], np.frombuffer(b"".join(got), np.int32), lengths)
+            known[new] = self.now.add(keys[new], *self.tokenize(run, data, first[new]))
         return known[inverse]
 
     def encode(self, run: W.Run) -> tuple[np.ndarray, np.ndarray]:
