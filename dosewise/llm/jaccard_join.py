@@ -7,7 +7,9 @@ groups whose bound reaches the needed overlap are opened and verified exactly:
 
 1. Groups: nodes that share a min-hash (``GROUP_HASHES`` permutations) are
    compared with the one leader of that min-hash; verified links join nodes into
-   groups (their components).  Linear in the nodes, whatever a group's size.
+   groups (their components).  Linear in the nodes, whatever a group's size.  The first
+   leader is the set with most copies; the queries of step 3 are compared once more with
+   the one that has the fewest tokens of its own, the middle of a family whose members differ.
 2. Matrix: of a set of n tokens the first n - ceil(t n) + n/10 in hash order can
    decide: linked sets share at least ``needed(n)`` of these (prefix lemma).
    A token found in one group only can't link across groups and drops out of
@@ -174,9 +176,17 @@ class TokenGroupJoin:
 
     def leader_links(self) -> DataFrame:
         """Verified links of nodes with the leader of each of their min-hashes: the set with most exact copies, as the likely origin."""
-        keys = self.profile.where("n > 0").select("node", F.posexplode("keys").alias("j", "key")).distinct()
-        keys = keep(keys.join(self.nodes.select("node", "copies"), "node"))
-        leaders = keys.groupBy("j", "key").agg(F.max(F.struct("copies", "node")).alias("m"), F.count("*").alias("n")).where("n > 1")
+        return self.led(self.nodes.select("node", "copies"), "copies")
+
+    def central_links(self, queries: DataFrame) -> DataFrame:
+        """Verified links of queries with the one of each of their min-hashes that has the fewest tokens outside other groups."""
+        return self.led(small(keep(queries.select("node", (-F.col("u")).alias("few"))), 24), "few")
+
+    def led(self, nodes: DataFrame, by: str) -> DataFrame:
+        """Verified links of ``nodes`` (node, by) with the one of each of their min-hashes that has the greatest ``by``."""
+        keys = self.profile.where("n > 0").select("node", F.posexplode("keys").alias("j", "key"))
+        keys = keep(keys.join(nodes, "node").distinct())
+        leaders = keys.groupBy("j", "key").agg(F.max(F.struct(by, "node")).alias("m"), F.count("*").alias("n")).where("n > 1")
         leaders = leaders.select("j", "key", F.col("m.node").alias("leader"))
         pairs = keys.join(leaders, ["j", "key"]).where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).count()
         return keep(self.verify(pairs.where(F.col("count") >= GROUP_SHARED).select("a", "b")))
@@ -223,27 +233,34 @@ class TokenGroupJoin:
         """Whether any (doc_id, text) occurs in two rows."""
         return self._repeated
 
-    def opened(self, groups: DataFrame) -> DataFrame:
-        """Pairs of a node and the members of its qualifying groups whose sizes and own tokens allow a link."""
-        def least_share(n):
-            return F.ceil(F.lit(self.percent) * n / 100).cast("int")
-
-        # s tokens of a node occur in other groups, u = n - s don't: two nodes share min(s) at most, and have max(n + other's u) at least
-        def possible(n, s, u, gn, gs, gu):
-            return 100 * F.least(s, gs) >= self.percent * F.greatest(gn + u, n + gu)
+    def least_share(self, n):
+        return F.ceil(F.lit(self.percent) * n / 100).cast("int")
 
+    def queries(self, groups: DataFrame) -> DataFrame:
+        """Nodes whose tokens in other groups can be enough for a link: these tokens, rarest first, s of them and u others."""
         # of a pair the smaller set, by (n, node), shares so many of its tokens
         def smaller_share(n):
             return F.ceil(F.lit(2 * self.percent) * n / (100 + self.percent)).cast("int")
 
-        def rarest(need):
-            return F.explode(F.slice("tokens", 1, F.col("s") - F.col(need) + F.least(F.lit(RARE_SHARED), F.col(need))))
-
         left = self.survivors(groups)
         cells = self.spread(left).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n_rows", "token"))).alias("tokens"))
         cells = cells.join(left.select("node", "grp", "n"), "node").withColumns(
-            {"s": F.size("tokens"), "need": least_share(F.col("n")), "need_less": smaller_share(F.col("n"))}).withColumn("u", F.col("n") - F.col("s"))
-        queries = keep(cells.where("s >= need").withColumn("met", F.least(F.lit(RARE_SHARED), least_share(F.col("need")))))
+            {"s": F.size("tokens"), "need": self.least_share(F.col("n")), "need_less": smaller_share(F.col("n"))}).withColumn("u", F.col("n") - F.col("s"))
+        return keep(cells.where("s >= need").withColumn("met", F.least(F.lit(RARE_SHARED), self.least_share(F.col("need")))))
+
+    def opened(self, queries: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs of a node and the members of its qualifying groups whose sizes and own tokens allow a link.
+
+        ``groups`` may have been joined further since ``queries`` were found: s is then an upper bound, as is all that follows from it.
+        """
+        # s tokens of a node occur in other groups, u = n - s don't: two nodes share min(s) at most, and have max(n + other's u) at least
+        def possible(n, s, u, gn, gs, gu):
+            return 100 * F.least(s, gs) >= self.percent * F.greatest(gn + u, n + gu)
+
+        def rarest(need):
+            return F.explode(F.slice("tokens", 1, F.col("s") - F.col(need) + F.least(F.lit(RARE_SHARED), F.col(need))))
+
+        queries = queries.drop("grp").join(small(groups, 16), "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
         less = queries.where("s >= need_less")
         rare = queries.select("node", "grp", "n", "s", "u", "met", rarest("need").alias("x")).select(F.col("x.token").alias("token"), "node", "grp", "n", "s", "u", "met")
         best = less.groupBy(F.col("grp").alias("other")).agg(F.min("n").alias("gn"), F.max("s").alias("gs"), F.min("u").alias("gu"),
@@ -275,7 +292,12 @@ def join(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent:
     run = TokenGroupJoin(docs, k, percent, id_col, text_col)
     links = run.leader_links()
     groups = keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    more = keep(run.verify(run.opened(groups)))
+    queries = run.queries(groups)
+    more = run.central_links(queries)
+    if more.limit(1).count():
+        links = links.union(more)
+        groups = keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    more = keep(run.verify(run.opened(queries, groups)))
     links = links.union(more)
     if more.limit(1).count():
         groups = keep(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -144,6 +144,31 @@ def test_jaccard_family_under_the_threshold_meets_rarely(spark, monkeypatch):
     assert made["reached"] <= 40 * 39 // 2
 
 
+def test_jaccard_family_around_one_middle_is_joined_by_it(spark, monkeypatch):
+    """Texts linked with one that has no copies, and not with each other, are joined by it and don't meet in pairs."""
+    made = {}
+    own_keep = jaccard_join.keep
+
+    def counted(df, *args, **kw):
+        out = own_keep(df, *args, **kw)
+        if set(df.columns) == {"node", "other", "members"}:
+            made["reached"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "keep", counted)
+    rnd = random.Random(5)
+    base = prose(rnd, 200, 10**6).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):
+        text = list(base)
+        for at in rnd.sample(range(4, 190, 5), 3):
+            text[at] = f"y{i}x{at}"
+        rows.append((i, " ".join(text)))
+    got = rows_of(jaccard_join.jaccard_components(table(spark, rows), k=4, percent=85), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 4, 85)
+    assert made["reached"] <= 2 * 40
+
+
 def test_jaccard_sets_beyond_a_broadcast_and_heavy_tokens(spark, monkeypatch):
     """Sets over the broadcast bound are joined with the pairs brought to them; heavy tokens take part in the cells' one exchange."""
     monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
