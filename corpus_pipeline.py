@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosewise.llm import jaccard_join, language_id, line_runs, phrase_index, segment_bpe
-from dosewise.llm.store import keep
+from dosewise.llm.store import keep, small
 from dosewise.session import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -41,15 +41,15 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (5-word shingles, similarity 0.8)."""
-    groups = jaccard_join.jaccard_components(docs).where("n_shingles = 0 or doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = keep(groups)
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    groups = jaccard_join.jaccard_components(docs).groupBy("doc_id").agg(F.bool_or(F.expr("n_shingles = 0 or doc_id is null or doc_id = component_id")).alias("kept"))
+    # the later copies are few: the texts stay where they are, and a null id, always kept, equals none of them
+    return docs.join(small(keep(groups.where("not kept").select("doc_id")), 16), "doc_id", "left_anti").select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold benchmark passages."""
     marked = phrase_index.decontaminate(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    bad = keep(marked)
+    bad = small(keep(marked), 16)
     return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
 
 

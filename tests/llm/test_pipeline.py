@@ -98,3 +98,19 @@ def test_clashing_columns_keep_their_values(spark):
 def test_letters_beyond_the_second_plane(spark):
     docs = table(spark, [(i, "\U00030001\U00030002" if i == 7 else "some english words here") for i in range(8)])
     assert {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").select("doc_id").collect()} == set(range(8))
+
+
+def test_copies_go_without_moving_the_texts(spark):
+    """The ids of later copies are brought to the documents; null ids, texts without words and repeated ids are kept as before."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = table(spark, [(1, text), (2, text), (2, "other words of the same id"), (3, text), (None, text), (4, ""), (5, None)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = corpus_pipeline.one_of_each_group(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(0, text), (1, text), (2, text), (2, "other words of the same id"), (4, ""), (5, "")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert out.columns == docs.columns
