@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import cut_lineage
+from .boosting import boosted_scores
 from .evaluation import auc, classification_metrics, interpolate_tpr, mean_auc, mean_roc, roc_points
 from .folds import group_folds
 from .reshape import _q
@@ -184,6 +185,8 @@ def param_points(method: str, grid: dict | None = None) -> list:
 
 #: Method -> the grid's number of trees: a larger ensemble holds the smaller ones as its first trees.
 TREES = {"RF": "n_estimators", "XGB": "n_estimators"}
+#: Fits of a boosted grid up to which each is one of its own; more are grown together.
+SEPARATE = 16
 
 
 def staged_scores(fitted: Fitted, df: DataFrame, sizes, label_col: str) -> dict:
@@ -208,13 +211,25 @@ def staged_scores(fitted: Fitted, df: DataFrame, sizes, label_col: str) -> dict:
     return {n: (row[f"n{n}"] / row["all"] if row["all"] else 0.0) for n in sizes}
 
 
+def _scored_together(data: DataFrame, features, label_col: str, pts: list, seed: int, folds: int) -> list:
+    """[{point: specificity}] of every fold, by ``boosted_scores``."""
+    points = []
+    for p in pts:
+        est = estimator("XGB", p, 1, seed)  # n_train of 1: minInfoGain is gamma
+        points.append((est.getStepSize(), est.getMaxDepth(), est.getMinInfoGain(), est.getMinInstancesPerNode(), est.getMaxIter()))
+    rows = cut_lineage(assemble(data, features, label_col).select("label", "fold", vector_to_array("features").alias("_x")))
+    scores = boosted_scores(rows, len(features), points, folds)
+    return [{json.dumps(p): s[f] for p, s in zip(pts, scores)} for f in range(folds)]
+
+
 def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed: int, grid: dict | None = None,
          inner_folds: int = 5, parallelism: int = PARALLEL) -> Fitted:
     """Grid search maximising specificity over subject-grouped inner folds, then refit on all rows.
 
     Logistic grids run through ``CrossValidator(foldCol=...)``.  Points of a tree grid that
     differ in the number of trees only are one fit of the most trees, scored at each
-    number.  The SVM grid varies the feature map too, so each point is scored directly.
+    number; a boosted grid of more than ``SEPARATE`` fits is grown together (``boosting``).
+    The SVM grid varies the feature map too, so each point is scored directly.
     """
     folds = group_folds(df, id_col, label_col, inner_folds, seed).select(id_col, "fold")
     data = cut_lineage(df.join(folds, id_col, "inner"))
@@ -240,8 +255,11 @@ def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed
             return {json.dumps({**p, size: m}): v for m, v in staged_scores(model, held, sizes, label_col).items()}
         return {json.dumps(p): classification_metrics(model.transform(held), [], label_col, "y_pred").first()["specificity"]}
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        scored = list(pool.map(score, [(p, f) for p in shapes for f in range(inner_folds)]))
+    if method == "XGB" and len(shapes) * inner_folds > SEPARATE:
+        scored = _scored_together(data, features, label_col, pts, seed, inner_folds)
+    else:
+        with ThreadPoolExecutor(parallelism) as pool:
+            scored = list(pool.map(score, [(p, f) for p in shapes for f in range(inner_folds)]))
     total: dict = {}
     for part in scored:
         for point, v in part.items():

@@ -13,7 +13,7 @@ from ..operators.cleaning import assert_no_nulls
 from ..operators.evaluation import classification_metrics
 from ..operators.folds import first_fold_split
 from ..operators.lagging import one_hot_featureset
-from ..operators.modeling import repeated_cv, select_by_forest, train_test, tune, tune_lags
+from ..operators.modeling import GRIDS, repeated_cv, select_by_forest, train_test, tune, tune_lags
 from ..operators.oversample import smote
 from ..operators.results import lag_tuning_curve
 from ..operators.scaling import chained_impute, minmax, mode_fill
@@ -121,9 +121,10 @@ def _tuned(method, grid):
     return q
 
 
-# tree grids: the analysis's numbers of trees and depths up to sizes that a benchmark run can wait for
+# forest grid: the analysis's numbers of trees and depths up to sizes that a benchmark run can wait for
 register("grid_search_rf")(_tuned("RF", {"n_estimators": [50, 100], "max_depth": [1, 2], "min_samples_leaf": [1]}))
-register("grid_search_gbt")(_tuned("XGB", {"gamma": [0.5], "learning_rate": [0.1, 0.3], "max_depth": [2], "min_child_weight": [1], "n_estimators": [10, 25]}))
+# the analysis's whole boosted grid: 243 points on five inner folds
+register("grid_search_gbt")(_tuned("XGB", GRIDS["XGB"]))
 
 
 @register("repeated_cv")
