@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .folds import group_folds, seeded_hash
 from .nearest import nearest
-from .oversample import distinct_vectors, feature_arrays, row_hash, synthetic_rows
+from .oversample import distinct_vectors, drawn_lists, feature_arrays, row_hash, synthetic_rows, vector_id
 from .reshape import _q
 from .scan import running_sums
 
@@ -108,9 +108,9 @@ class CrossFit:
 
     # --- neighbours ---------------------------------------------------------------------------------------------------
     def _graph(self, label):
-        """Per distinct minority vector the neighbours on each side: (_vid, steps, _nb), one row per different list."""
+        """Per distinct minority vector what synthetic rows take of its neighbours on each side: (_vid, steps, _nb, _mode), one row per different list."""
         rows = cut_lineage(feature_arrays(self.data.where(F.col(_q(self.label_col)) == label), self.id_col, self.continuous, self.nominal,
-                                          F.array(*[f"_fold{r}" for r in range(self.runs)]).alias("_folds")))
+                                          F.array(*[f"_fold{r}" for r in range(self.runs)]).alias("_folds")).withColumn("_vid", vector_id()))
         base, penalties = self._penalties(rows)
         counts = F.array(*[F.sum((F.col("_folds")[r] == f).cast("int")).cast("int") for r in range(self.runs) for f in range(self.folds)])
         points = cut_lineage(distinct_vectors(rows, counts.alias("_held")))
@@ -140,7 +140,7 @@ class CrossFit:
         copies = ready.select("_vid", "steps", F.posexplode("_ids").alias("at", "nb"))
         full = points.select(F.col("_vid").alias("nb"), F.struct("_v", "_nv").alias("_x"))
         lists = copies.join(full, "nb").groupBy("_vid", "steps").agg(F.sort_array(F.collect_list(F.struct("at", "_x"))).alias("_l"))
-        self.lists[label] = cut_lineage(lists.select("_vid", "steps", F.transform("_l", lambda e: e["_x"]).alias("_nb")))
+        self.lists[label] = cut_lineage(drawn_lists(lists.select("_vid", "steps", F.transform("_l", lambda e: e["_x"]).alias("_nb")), self.nominal))
         self.points[label] = rows
 
     @staticmethod
@@ -172,10 +172,9 @@ class CrossFit:
             reps = F.col("_s.q") + F.when(F.col("_pid") <= F.col("_s.m"), 1).otherwise(0)
             rows = rows.withColumn("_j", F.explode(F.when(reps > 0, F.sequence(F.lit(1), reps)).otherwise(F.array().cast("array<int>"))))
             rows = rows.withColumns({"_pick": (seeded_hash(run, "_pid", "_j") % F.col("_s.k")).cast("int"), "_gap": seeded_hash(run + 1, "_pid", "_j") / F.lit(float(2 ** 32))})
-            vid = F.md5(F.concat_ws("|", F.transform("_v", lambda x: x.cast("string")), F.lit("#"), F.coalesce(F.to_json("_nv"), F.lit(""))))
             step = F.lit(run * self.folds) + F.col("_s.f")
-            lists = self.lists[label].select("_vid", F.explode("steps").alias("_step"), "_nb").where(F.col("_step").between(run * self.folds, run * self.folds + self.folds - 1))
-            base = rows.select("_id", "_v", "_pick", "_gap", F.col("_s.f").alias("_side"), vid.alias("_vid"), step.alias("_step")).join(lists, ["_vid", "_step"])
+            lists = self.lists[label].select("_vid", F.explode("steps").alias("_step"), "_nb", "_mode").where(F.col("_step").between(run * self.folds, run * self.folds + self.folds - 1))
+            base = rows.select("_id", "_v", "_pick", "_gap", F.col("_s.f").alias("_side"), "_vid", step.alias("_step")).join(lists, ["_vid", "_step"])
             base = base.withColumn("_to", F.get("_nb", F.col("_pick") % F.size("_nb")))
             names = [(c, t) for c, t in self.data.dtypes if not c.startswith("_fold")] + [("_side", "int")]
             types = dict(names)

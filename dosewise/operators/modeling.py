@@ -132,8 +132,8 @@ class Fitted:
     rff: RFF | None = None
     platt: object | None = None
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Predictions with ``y_pred`` and positive-class ``score`` columns."""
+    def transform(self, df: DataFrame, assembled: bool = False) -> DataFrame:
+        """Predictions with ``y_pred`` and positive-class ``score`` columns; ``assembled`` rows have their ``features`` vector."""
         if self.rff is not None:
             p = self.model.transform(self.rff.transform(df, self.features))
             # hard label from the SVM decision; probability from the Platt model
@@ -142,13 +142,13 @@ class Fitted:
             p = self.platt.transform(assemble(p, ["_margin"], None))
             return p.withColumn("score", vector_to_array("probability")[1]) \
                 .drop("features", "rawPrediction", "probability", "prediction", "_margin")
-        p = self.model.transform(assemble(df, self.features, None))
+        p = self.model.transform(df if assembled else assemble(df, self.features, None))
         return p.withColumn("y_pred", F.col("prediction").cast("int")).withColumn(
             "score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def fit(df: DataFrame, features, label_col: str, method: str, params: dict | None = None, seed: int = 42,
-        n_train: int | None = None) -> Fitted:
+        n_train: int | None = None, assembled: bool = False) -> Fitted:
     params = dict(params or {})
     n = n_train if n_train is not None else df.count()
     if method == "SVM":
@@ -162,7 +162,7 @@ def fit(df: DataFrame, features, label_col: str, method: str, params: dict | Non
         platt = LogisticRegression(regParam=0.0).fit(assemble(margins, ["_margin"], None))
         data.unpersist()
         return Fitted(method, svm, list(features), params, rff, platt)
-    model = estimator(method, params, n, seed).fit(assemble(df, features, label_col))
+    model = estimator(method, params, n, seed).fit(df if assembled else assemble(df, features, label_col))
     return Fitted(method, model, list(features), params)
 
 
@@ -271,13 +271,14 @@ def tune(df: DataFrame, features, label_col: str, id_col: str, method: str, seed
 
 def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_col: str, method: str, seed: int,
                params: dict | None = None, tuned: bool = False, select_feats: bool = False,
-               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None, ranges: dict | None = None, n_train: int | None = None, grid: dict | None = None):
+               impute: bool = True, oversample: bool = True, nominal=(), model_seed: int | None = None, ranges: dict | None = None, n_train: int | None = None, grid: dict | None = None, held: list | None = None):
     """One train/test step: impute -> oversample (SMOTE / SMOTE-NC) -> (select) -> scale (LR/SVM)
     -> fit/tune -> predict.
 
     Imputer, oversampler and scaler see the training frame only; synthetic rows
     keep their base row's subject id.  ``ranges`` are the training columns' (min, max) and
-    ``n_train`` the number of training rows, if already known; ``grid`` replaces the method's grid of a tuned step.  Returns (train predictions, test predictions, fitted model,
+    ``n_train`` the number of training rows, if already known; ``grid`` replaces the method's grid of a tuned step.
+    With ``held`` an untuned step keeps its training rows' vectors for the fit and the predictions; the caller unpersists what it appends.  Returns (train predictions, test predictions, fitted model,
     features used).
     """
     from .oversample import smote
@@ -297,10 +298,16 @@ def train_test(train: DataFrame, test: DataFrame, features, label_col: str, id_c
     if method in ("LogisticR", "SVM"):
         rng = {f: ranges[f] for f in feats} if ranges else minmax_fit(train, feats)
         train, test = minmax_apply(train, rng), minmax_apply(test, rng)
-    model = tune(train, feats, label_col, id_col, method, seed, grid) if tuned else \
-        fit(train, feats, label_col, method, params, seed if model_seed is None else model_seed, n_train)
     keep = [id_col, F.col(_q(label_col)).cast("int").alias("y_true")]
-    tr = model.transform(train.select(*keep, *[_q(f) for f in feats]))
+    seed_of = seed if model_seed is None else model_seed
+    if held is not None and not tuned and method != "SVM":
+        rows = assemble(train, feats, label_col).select(*keep, "label", "features").persist()
+        held.append(rows)
+        model = fit(rows, feats, label_col, method, params, seed_of, n_train, assembled=True)
+        tr = model.transform(rows, assembled=True)
+    else:
+        model = tune(train, feats, label_col, id_col, method, seed, grid) if tuned else fit(train, feats, label_col, method, params, seed_of, n_train)
+        tr = model.transform(train.select(*keep, *[_q(f) for f in feats]))
     te = model.transform(test.select(*keep, *[_q(f) for f in feats]))
     return tr.select(id_col, "y_true", "y_pred", "score"), te.select(id_col, "y_true", "y_pred", "score"), model, feats
 
@@ -337,12 +344,15 @@ def cross_fitted(df: DataFrame, features, label_col: str, id_col: str, method: s
 
         def step(f, run=run, made=made):
             train, test = sides.side(run, f, made)
-            kept = train if made is None else train.persist()
+            held = []
+            if made is not None and (kw.get("tuned") or kw.get("select_feats") or method == "SVM"):  # the columns are read more than once
+                train = train.persist()
+                held.append(train)
             n = sides.sides[run, f]["n"] + sides.sides[run, f]["new"]
-            ptr, pte, _, _ = train_test(kept, test, features, label_col, id_col, method, run, impute=False, oversample=False, ranges=sides.ranges[run, f], n_train=n, **kw)
+            ptr, pte, _, _ = train_test(train, test, features, label_col, id_col, method, run, impute=False, oversample=False, ranges=sides.ranges[run, f], n_train=n, held=held, **kw)
             part = cut_lineage(ptr.withColumn("type", F.lit("train")).unionByName(pte.withColumn("type", F.lit("test"))).withColumn("fold", F.lit(f)))
-            if made is not None:
-                kept.unpersist()
+            for rows in held:
+                rows.unpersist()
             return part
 
         with ThreadPoolExecutor(k) as pool:  # a run's sides at once: none waits for a second round

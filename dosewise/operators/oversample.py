@@ -10,7 +10,7 @@ seeded neighbour among the base row's k nearest and a seeded gap u in [0, 1):
 x + u (x_nn - x).  Continuous features are doubles in the result, so
 interpolated values keep their fraction whatever the input type.  Nominal
 columns (SMOTE-NC) take the most frequent value among the k neighbours (lowest
-on ties) and add ``median_std^2`` to the squared distance per mismatch.  A
+on ties; found once per list of neighbours) and add ``median_std^2`` to the squared distance per mismatch.  A
 synthetic row keeps its base row's subject id, so grouped folds never split a
 subject's synthetic rows from it.
 """
@@ -28,10 +28,14 @@ from .reshape import _q
 from .scan import running_sums
 
 
+def vector_id():
+    """An id of the values of a vector (_v, _nv)."""
+    return F.md5(F.concat_ws("|", F.transform("_v", lambda x: x.cast("string")), F.lit("#"), F.coalesce(F.to_json("_nv"), F.lit(""))))
+
+
 def distinct_vectors(rows: DataFrame, *counts) -> DataFrame:
     """(_v, _nv, _m, ..., _vid): the distinct vectors, how many rows each has (and further aggregates), and an id of their values."""
-    vid = F.md5(F.concat_ws("|", F.transform("_v", lambda x: x.cast("string")), F.lit("#"), F.coalesce(F.to_json("_nv"), F.lit(""))))
-    return rows.groupBy("_v", "_nv").agg(F.count(F.lit(1)).alias("_m"), *counts).withColumn("_vid", vid)
+    return rows.groupBy("_v", "_nv").agg(F.count(F.lit(1)).alias("_m"), *counts).withColumn("_vid", vector_id())
 
 
 def neighbours(rows: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, block: int = ROWS) -> DataFrame:
@@ -47,20 +51,25 @@ def neighbours(rows: DataFrame, k: int, seed: int = 0, penalty: float = 0.0, blo
         joined.select(copies.alias("c")).schema["c"].dataType)).otherwise(others)), 1, k).alias("_nb"))
 
 
+def drawn_lists(lists: DataFrame, nominal) -> DataFrame:
+    """``lists`` with what synthetic rows take of their ``_nb``: the neighbours' vectors, and ``_mode``, the most frequent value of each nominal (lowest on ties)."""
+    def most(vals):
+        return F.array_min(F.transform(F.array_distinct(vals), lambda v: F.struct((-F.size(F.filter(vals, lambda x: x.eqNullSafe(v)))).alias("n"), v.alias("v"))))["v"]
+
+    def values(i):
+        return F.transform("_nb", lambda x: F.get(x["_nv"], i))
+
+    mode = F.transform(F.array(*[values(i) for i in range(len(nominal))]), most) if nominal else F.array().cast("array<string>")
+    return lists.withColumns({"_nb": F.transform("_nb", lambda x: x["_v"]), "_mode": mode})
+
+
 def synthetic_rows(base: DataFrame, dtypes, feats, nominal, own: dict) -> DataFrame:
-    """Rows of the columns ``dtypes`` from base rows (_v, _nv), their neighbours ``_nb``, the one taken ``_to`` and the gap ``_gap``; ``own`` are columns given outright."""
+    """Rows of the columns ``dtypes`` from base rows (_v), their neighbours' ``_mode``, the neighbour taken ``_to`` and the gap ``_gap``; ``own`` are columns given outright."""
     types = dict(dtypes)
-    step = F.zip_with("_v", F.col("_to")["_v"], lambda a, b: (b - a))
+    step = F.zip_with("_v", "_to", lambda a, b: (b - a))
     base = base.withColumn("_new", F.zip_with("_v", step, lambda a, d: a + F.col("_gap") * d))
-
-    def most(i):
-        """Most frequent value of nominal i among the neighbours, lowest on ties."""
-        vals = F.array_sort(F.transform("_nb", lambda x: F.get(x["_nv"], i)))
-        ranked = F.transform(F.array_distinct(vals), lambda v: F.struct((-F.size(F.filter(vals, lambda x: x.eqNullSafe(v)))).alias("n"), v.alias("v")))
-        return F.array_min(ranked)["v"]
-
     made = {f: F.get("_new", i) for i, f in enumerate(feats)}
-    made |= {c: most(i).cast(types[c]) for i, c in enumerate(nominal)}
+    made |= {c: F.get("_mode", i).cast(types[c]) for i, c in enumerate(nominal)}
     made |= own
     return base.select(*[made[c].alias(c) if c in made else F.lit(None).cast(types[c]).alias(c) for c in types])
 
@@ -107,7 +116,7 @@ def smote(df: DataFrame, features, label_col: str, id_col: str, k: int = 5, seed
     if nominal:
         sds = mino.select(F.posexplode("_v")).groupBy("pos").agg(F.stddev_samp("col").alias("s")).collect()
         penalty = float(np.median([r["s"] or 0.0 for r in sds])) ** 2 if sds else 1.0
-    nn = cut_lineage(neighbours(mino, k_eff, seed, penalty))
+    nn = cut_lineage(drawn_lists(neighbours(mino, k_eff, seed, penalty), nominal))  # once per distinct vector, not per synthetic row
     # deal n_new synthetic rows round-robin over the minority rows (in seeded order = _pid)
     q, rem = divmod(n_new, n_min)
     reps = F.lit(q) + F.when(F.col("_pid") <= rem, 1).otherwise(0)
